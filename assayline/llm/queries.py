@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayline.llm import quality, toxicity
+from assayline.llm import quality, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_token_output": tokens.op6_token_output,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
 
