@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayline.llm import quality, tokens, toxicity
+from assayline.llm import neardup, quality, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_warc": warc.op4_warc,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_token_output": tokens.op6_token_output,
+    "op8_chosen_path": neardup.op8_chosen_path,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
 
