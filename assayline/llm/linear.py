@@ -81,13 +81,13 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, cfg: LinearConfig) -> tuple
     """FTRL-proximal with a rate for each coordinate; the intercept carries no penalty. Returns intercept, features, weights."""
     if not rows:
         return 0.0, np.zeros(0, np.int64), np.zeros(0, np.float32)
-    flat = np.concatenate(rows)
-    known, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    counts = np.zeros(1 << cfg.bits, np.int32)
+    for r in rows:
+        counts[r] += 1
     keep = counts >= cfg.min_rows  # a feature of a few rows can't outweigh the L1 penalty
-    place = np.cumsum(keep) - 1
-    cuts = np.cumsum([len(r) for r in rows])[:-1]
-    compact = [place[x[keep[x]]] for x in np.split(inverse, cuts)]
-    z, n = np.zeros(keep.sum()), np.zeros(keep.sum())
+    known, place = np.flatnonzero(keep), (np.cumsum(keep) - 1).astype(np.int32)
+    compact = [place[r[keep[r]]] for r in rows]
+    z, n = np.zeros(len(known)), np.zeros(len(known))
     bz = bn = 0.0
     rng = np.random.default_rng(7)
 
@@ -109,7 +109,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, cfg: LinearConfig) -> tuple
             bn += g2
     w = weights(z, n)
     used = w != 0
-    return float(-bz / ((cfg.beta + np.sqrt(bn)) / cfg.alpha)), known[keep][used], w[used].astype(np.float32)
+    return float(-bz / ((cfg.beta + np.sqrt(bn)) / cfg.alpha)), known[used], w[used].astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, cfg: LinearConfig) -> LinearModel:
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, cfg: LinearConfig) -> Li
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "y"], kind="stable")
-        rows = [np.frombuffer(x, "<u4").astype(np.int64) for x in pdf["x"]]
+        rows = [np.frombuffer(x, "<u4") for x in pdf["x"]]
         b, index, w = ftrl(rows, pdf["y"].to_numpy(), cfg)
         return pd.DataFrame({"i": np.append(index, -1), "w": np.append(w, b).astype(float)})
 
