@@ -98,7 +98,7 @@ class Vectors:
             k = len(offsets) - 1
             counts[first : first + k] = np.bincount(owner * size + (h % np.uint64(size)).astype(np.int64), weights=sign, minlength=k * size).reshape(k, size)
             total[first : first + k] = np.bincount(owner, minlength=k)
-        counts /= np.sqrt(np.maximum(total, 1))[:, None]
+        counts = np.clip(counts / np.sqrt(np.maximum(total, 1))[:, None], -2, 2)  # a word said over and over is no outlier
         cache: dict[tuple, np.ndarray] = {}
         paths = np.empty((n, 2 * self.cfg.path_size))
         for i, b in enumerate(every):
