@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from assayline.plans import q_evals, q_issues, q_runs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**q_runs.QUERIES, **q_evals.QUERIES, **q_issues.QUERIES}
+ORACLE_SQL: dict[str, str] = {**q_runs.SQL, **q_evals.SQL, **q_issues.SQL}
