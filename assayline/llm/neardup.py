@@ -31,6 +31,8 @@ from assayline.llm.shared import short_batches, stored
 from assayline.sources.tables import ship, table
 
 FUNCTIONS = 128
+#: Bits of the parity sketch; two sets differ in at least as many members as their sketches in bits.
+PARITY = 1024
 _SEEDS = wordhash.mix(np.arange(2 * FUNCTIONS, dtype=np.uint64), 99)
 _FACTORS = (_SEEDS[:FUNCTIONS] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _MASKS = (_SEEDS[FUNCTIONS:] >> np.uint64(32)).astype(np.uint32)
@@ -41,7 +43,8 @@ class PathConfig:
     """shingle: words in a shingle. percent: least Jaccard similarity, in hundredths. trees: independent trees; a pair
     at the threshold misses all with a chance of about 0.4 to the power of trees. first_depth: levels every class walks.
     leaf: classes up to which a node is a leaf. depth: the last level, whose nodes are leaves of any size.
-    far: unequal sketch bits beyond which a pair is dropped, over four deviations from what the threshold gives."""
+    far: unequal minwise bits beyond which a pair is dropped, over four deviations from what the threshold gives.
+    deviations: of the parity sketch. broadcast_ids: ids up to which a list of them is broadcast."""
 
     shingle: int = 5
     percent: int = 80
@@ -50,6 +53,8 @@ class PathConfig:
     leaf: int = 64
     depth: int = 6
     far: int = 30
+    deviations: float = 5.0
+    broadcast_ids: int = 2_000_000
 
 
 # --- inside tasks ----------------------------------------------------------------------
@@ -93,20 +98,23 @@ def children(signature: np.ndarray, who: np.ndarray, node: np.ndarray, branch: f
 
 
 def signatures(docs: DataFrame, cfg: PathConfig) -> DataFrame:
-    """(doc_id, n, f1, f2, sig) of (doc_id, text): the set's size, its 128-bit fingerprint and minwise values."""
+    """(doc_id, n, f1, f2, sig, parity) of (doc_id, text): the set's size, its 128-bit fingerprint, minwise values and
+    the parity of the number of its members in each of PARITY buckets."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, f1, f2, sig = [], [], [], []
+            n, f1, f2, sig, parity = [], [], [], [], []
             for s in shingle_sets(b.column("text"), cfg.shingle):
                 n.append(len(s))
                 with np.errstate(over="ignore"):
                     f1.append(np.int64(wordhash.mix(s, 11).sum(dtype=np.uint64).astype(np.int64)))
                     f2.append(np.int64(wordhash.mix(s, 12).sum(dtype=np.uint64).astype(np.int64)))
                 sig.append(minima(s).tobytes() if len(s) else None)
-            yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n", "f1", "f2", "sig"])
+                odd = np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+                parity.append(np.packbits(odd.astype(np.uint8)).tobytes() if len(s) else None)
+            yield pa.record_batch([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in (n, f1, f2)), *(pa.array(c, pa.binary()) for c in (sig, parity))], ["doc_id", "n", "f1", "f2", "sig", "parity"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, sig binary, parity binary")
 
 
 def _walk(rows: DataFrame, cfg: PathConfig, start: bool) -> DataFrame:
@@ -138,6 +146,17 @@ def _near(a: str, b: str, cfg: PathConfig) -> Column:
     return sizes & (F.bit_count(xa.bitwiseXOR(xb)) + F.bit_count(ya.bitwiseXOR(yb)) <= cfg.far)
 
 
+def _close(a: str, b: str, cfg: PathConfig) -> Column:
+    """Parity sketches that allow the threshold: no more unequal bits than members the sets may differ in, and no more
+    than cfg.deviations above what that many members would leave unequal."""
+    n = F.col(f"{a}.n") + F.col(f"{b}.n")
+    most = F.floor(n * (100 - cfg.percent) / F.lit(100 + cfg.percent) + 1e-9)
+    unequal = sum((F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}"))) for i in range(1, PARITY // 64)), F.bit_count(F.col(f"{a}.p0").bitwiseXOR(F.col(f"{b}.p0"))))
+    mean = PARITY / 2 * (1 - F.pow(F.lit(1 - 2 / PARITY), most))
+    spread = F.sqrt(PARITY / 4 * (1 - F.pow(F.lit(1 - 4 / PARITY), most)))
+    return (unequal <= most) & (unequal <= mean + cfg.deviations * spread + 2)
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, cfg: PathConfig) -> DataFrame:
     """Those of pairs (u, v) whose full shingle sets reach the threshold."""
 
@@ -153,7 +172,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, cfg: PathConfig) -> DataFrame:
                     good.append(both > 0 and 100 * both >= cfg.percent * (len(x) + len(y) - both))
             yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "candidate-ids")
+    if ids.count() <= cfg.broadcast_ids:  # the texts then stay where they are
+        ids = F.broadcast(ids)
     texts = docs.select("doc_id", "text").where("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = stored(texts, "candidate-texts")
     held = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
@@ -191,7 +212,7 @@ def link(docs: DataFrame, cfg: PathConfig = PathConfig()) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(signatures(docs, cfg), "signatures")
     real = signed.where("n > 0 and doc_id is not null")
-    classes = stored(real.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    classes = stored(real.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("parity").alias("parity")), "classes")
     sig = classes.select("rep", "sig")
     leaves = stored(_leaves(sig, cfg), "leaves")
     sketches = stored(_sketches(classes), "sketches")
@@ -206,11 +227,12 @@ def link(docs: DataFrame, cfg: PathConfig = PathConfig()) -> DataFrame:
     labelled = members.join(grouped.withColumnRenamed("u", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     shares = labelled.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k"))
     mixed = shares.groupBy("node").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("top")).where("comps > 1").select("node", F.col("top.comp").alias("top"))
-    labelled = stored(labelled.join(mixed, "node"), "mixed-nodes")
+    labelled = labelled.select("node", "rep", "n", "s1", "s2", "comp").join(mixed, "node")
+    labelled = stored(labelled.join(_parities(classes), "rep"), "mixed-nodes")
     # The side that is walked for each partner never holds a node's largest component.
     a, b = labelled.where("comp <> top").alias("a"), labelled.alias("b")
     once = (F.col("b.comp") == F.col("b.top")) | (F.col("a.rep") < F.col("b.rep"))
-    rest = a.join(b, F.col("a.node") == F.col("b.node")).where((F.col("a.comp") != F.col("b.comp")) & once & _near("a", "b", cfg))
+    rest = a.join(b, F.col("a.node") == F.col("b.node")).where((F.col("a.comp") != F.col("b.comp")) & once & _near("a", "b", cfg) & _close("a", "b", cfg))
     rest = rest.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct()
     rest = stored(rest.join(stars, ["u", "v"], "left_anti"), "rest-tried")
     more = stored(_confirmed(rest, docs, cfg), "links-2")
@@ -218,7 +240,7 @@ def link(docs: DataFrame, cfg: PathConfig = PathConfig()) -> DataFrame:
         grouped = components(grouped.select("u", F.col("component").alias("v")).union(more))
 
     named = classes.select("n", "f1", "f2", "rep").join(grouped.withColumnRenamed("u", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.drop("sig").join(named, ["n", "f1", "f2"], "left")
+    out = signed.drop("sig", "parity").join(named, ["n", "f1", "f2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -237,6 +259,12 @@ def _sketches(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "n", "sig").mapInArrow(sketch, "rep long, n long, s1 long, s2 long")
 
 
+def _parities(classes: DataFrame) -> DataFrame:
+    """(rep, p0, p1, ...): the parity sketch as longs."""
+    word = lambda i: F.conv(F.hex(F.substring("parity", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"p{i}")
+    return classes.select("rep", *(word(i) for i in range(PARITY // 64)))
+
+
 def drop_near_duplicates(docs: DataFrame, cfg: PathConfig = PathConfig()) -> DataFrame:
     """docs without those that are near copies of one with a smaller doc_id that stays; all columns.
 
