@@ -1,41 +1,16 @@
-"""What several corpus operators share: the shared work folder, durable cuts of lineage, labels, batches."""
+"""What several corpus operators share: durable cuts of lineage, folds of documents, batches."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Texts may be long, so batches are kept short.
-ARROW_ROWS = 1024
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        base = os.environ.get("ASSAYLINE_SHARED_DIR") or tempfile.mkdtemp(prefix="assayline-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
+from assayline.sources.workdir import shared_dir, stored, work_path
 
+__all__ = ["ARROW_ROWS", "id_remainder", "shared_dir", "short_batches", "stored", "work_path"]
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder as Parquet and read again: lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows in one Arrow batch. Texts may be long, so batches are kept short.
+ARROW_ROWS = 1024
 
 
 def short_batches(spark: SparkSession) -> None:
