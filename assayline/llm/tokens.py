@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,15 +67,33 @@ class ChunkEncoder:
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
         self.mark = self.plain.encode(MARK, add_special_tokens=False).ids
-        self.forget()
+        # Whether the normaliser changes plain chunks by lower-casing only.
+        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str(PROBE) == PROBE.lower()
+        self.empty()
 
     def forget(self) -> None:
+        """Keeps only chunks that were met more than once, or none where these fill half of the memory."""
+        kept = np.flatnonzero(self.uses[: len(self.place)] > 1)
+        kept = kept[kept > 0] if len(kept) <= self.cfg.known_chunks // 2 else kept[:0]
+        names = list(self.place)
+        lengths = self.lengths[kept]
+        chunks, flat, uses = [names[i] for i in kept.tolist()], self.ids_of(kept), self.uses[kept] // 2
+        self.empty()
+        self.remember(chunks, flat, lengths)
+        self.uses[1 : len(uses) + 1] = uses
+
+    def empty(self) -> None:
         self.place: dict[str, int] = {"": 0}
-        self.flat = np.zeros(0, np.uint32)
-        self.starts, self.lengths = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.filled = 0
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.starts, self.lengths, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(3))
 
     def learn(self, chunks: list[str]) -> None:
-        odd = chunks if len(self.mark) != 1 or not self.lowers() else [c for c in chunks if UNUSUAL.search(c)]
+        if len(self.mark) != 1 or not self.lowers:
+            odd = chunks
+        else:
+            blocks = (chunks[k : k + 512] for k in range(0, len(chunks), 512))
+            odd = [c for b in blocks if UNUSUAL.search("\n".join(b)) for c in b if UNUSUAL.search(c)]
         if odd:
             got = [e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
             self.remember(odd, np.fromiter((i for ids in got for i in ids), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
@@ -88,37 +107,46 @@ class ChunkEncoder:
             lengths.append(np.diff(ends, prepend=-1) - 1)
         self.remember(chunks, np.concatenate(flat), np.concatenate(lengths))
 
-    def lowers(self) -> bool:
-        """Whether the normaliser changes plain chunks by lower-casing only."""
-        return self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str(PROBE) == PROBE.lower()
+    def ids_of(self, which: np.ndarray) -> np.ndarray:
+        """The ids of known chunks, one after the other."""
+        lengths = self.lengths[which]
+        return self.flat[np.repeat(self.starts[which] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))]
 
     def remember(self, chunks: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
-        first = len(self.flat)
-        self.flat = np.concatenate([self.flat, flat])
-        self.starts = np.concatenate([self.starts, first + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.place.update(zip(chunks, range(len(self.place), len(self.place) + len(chunks)), strict=True))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        first, known, more = self.filled, len(self.place), len(chunks)
+        if first + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(flat), np.uint32)])
+        if known + more > len(self.starts):
+            self.starts, self.lengths, self.uses = (np.concatenate([a, np.zeros(len(a) + more, np.int64)]) for a in (self.starts, self.lengths, self.uses))
+        self.flat[first : first + len(flat)] = flat
+        self.starts[known : known + more] = first + np.cumsum(lengths) - lengths
+        self.lengths[known : known + more] = lengths
+        self.filled += len(flat)
+        self.place.update(zip(chunks, range(known, known + more), strict=True))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; ids of each text)."""
-        if len(self.place) > self.cfg.known_chunks:
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        sizes = np.diff(split.offsets.to_numpy())
+        coded = split.flatten().dictionary_encode()  # from here on each distinct chunk of the batch once
+        chunks = coded.dictionary.to_pylist()
+        new = [c for c in chunks if c not in self.place]
+        if len(self.place) + len(new) > self.cfg.known_chunks:
             self.forget()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        place = self.place
-        new = list({c for chunks in split for c in chunks if c not in place})
+            new = [c for c in chunks if c not in self.place]
         if new:
             self.learn(new)
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        which = np.fromiter((place[c] for chunks in split for c in chunks), np.int64, int(sizes.sum()))
+        place = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+        self.uses[place] += np.bincount(coded.indices.to_numpy(), minlength=len(chunks))
+        which = place[coded.indices.to_numpy()]
         lengths = self.lengths[which]
-        per_text = np.zeros(len(texts), np.int64)
-        np.add.at(per_text, np.repeat(np.arange(len(texts)), sizes), lengths)
-        before = np.cumsum(lengths) - lengths
-        own = np.repeat(self.starts[which] - before, lengths) + np.arange(int(lengths.sum()))
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        ends = np.cumsum(sizes)
+        per_text = upto[ends] - upto[ends - sizes]
         out = np.full(int(per_text.sum()) + len(texts), self.cfg.end_id, np.uint32)
         inside = np.ones(len(out), bool)
         inside[np.cumsum(per_text + 1) - 1] = False
-        out[inside] = self.flat[own]
+        out[inside] = self.ids_of(which)
         return out, per_text + 1
 
 
@@ -153,15 +181,16 @@ def write_shards(docs: DataFrame, folder: str, cfg: TokenConfig = TokenConfig())
             return row
 
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
+            texts = b.column("text").fill_null("")
+            sizes = pc.binary_length(texts).to_pylist()
             doc_ids = b.column("doc_id").to_pylist()
             first = 0
             while first < len(texts):  # a few long texts are as much as many short ones
                 last, size = first, 0
-                while last < len(texts) and (last == first or size + len(texts[last]) < 4 << 20):
-                    size += len(texts[last])
+                while last < len(texts) and (last == first or size + sizes[last] < 4 << 20):
+                    size += sizes[last]
                     last += 1
-                got, n = encoder.encode(texts[first:last])
+                got, n = encoder.encode(texts.slice(first, last - first))
                 ids.append(got), lengths.append(n), names.extend(doc_ids[first:last])
                 first = last
                 if sum(map(len, ids)) >= cfg.segment_ids:
