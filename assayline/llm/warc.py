@@ -206,7 +206,7 @@ def write_archives(pages: DataFrame, folder: str, cfg: WarcConfig = WarcConfig()
         if held:
             yield file()
 
-    rows = with_revisits(pages, cfg).repartition("page_id", "url").sortWithinPartitions("page_id", "url", "html")
+    rows = with_revisits(pages, cfg).sortWithinPartitions("page_id", "url", "html")
     return stored(rows.mapInArrow(write, "file string, n_records long, n_bytes long"), "warc-manifest")
 
 
