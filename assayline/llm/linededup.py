@@ -27,6 +27,8 @@ from assayline.sources.tables import ship, table
 
 #: Buckets of the rarity counts: a bounded table, whatever the corpus.
 BUCKETS = 1 << 14
+#: Columns that name a set of words.
+SET = ("k1", "m1", "m2", "n")
 _HASH_BITS = 49
 _HASH_MASK = (1 << _HASH_BITS) - 1
 
@@ -69,13 +71,20 @@ def rarity(docs: DataFrame) -> list[int]:
     return ranks
 
 
-def _keyed(docs: DataFrame, ranks: list[int]) -> DataFrame:
-    """(doc_id, line_no, sorted, n, k1, bits): words from rarest on, and what names the set."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, words, n, k1, m1, m2): what names a set is its size, a hash, and its least and greatest word hash."""
+    return _lines(docs).select("doc_id", "line_no", "words", F.size("words").alias("n"), F.xxhash64(F.sort_array("words")).alias("k1"), F.array_min("words").alias("m1"), F.array_max("words").alias("m2"))
+
+
+def _from_rarest(words: Column, ranks: list[int]) -> Column:
+    """Word hashes ordered by rarity, then hash; a word is its rank and 49 bits of its hash."""
     table_ = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")  # folded into one constant
-    place = lambda h: F.call_function("shiftleft", F.get(table_, _bucket(h)).cast("long"), F.lit(_HASH_BITS)).bitwiseOR(h.bitwiseAND(_HASH_MASK))
-    rows = _lines(docs).select("doc_id", "line_no", F.array_sort(F.transform("words", place)).alias("sorted"))
-    bits = F.aggregate("sorted", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))))
-    return rows.select("doc_id", "line_no", "sorted", F.size("sorted").alias("n"), F.xxhash64("sorted").alias("k1"), bits.alias("bits"))
+    return F.sort_array(F.transform(words, lambda h: F.call_function("shiftleft", F.get(table_, _bucket(h)).cast("long"), F.lit(_HASH_BITS)).bitwiseOR(h.bitwiseAND(_HASH_MASK))))
+
+
+def _parity(words: Column) -> Column:
+    """64 bits: the parity of the number of words in each of 64 buckets."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))))
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -95,7 +104,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, cfg: LineConfig) -> DataFrame:
     per_doc = stored(per_doc, "lines-by-document")
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("d"), "text")
     parts = rows.join(_small(per_doc, cfg), "d").select("d", F.split("text", "\n").alias("lines"), F.explode("ls").alias("l"))
-    sets = parts.where(F.col("l") < F.size("lines")).select("d", "l", F.array_distinct(_words(F.get("lines", F.col("l")))).alias("w"))
+    sets = parts.where(F.col("l") < F.size("lines")).select("d", "l", F.array_distinct(F.transform(_words(F.get("lines", F.col("l"))), lambda w: F.xxhash64(w))).alias("w"))
     sets = stored(sets.dropDuplicates(["d", "l"]), "line-words")
     a, b = sets.select("d", "l", F.col("w").alias("wa")), sets.select(F.col("d").alias("ed"), F.col("l").alias("el"), F.col("w").alias("wb"))
     both = pairs.join(a, ["d", "l"]).join(b, ["ed", "el"]).withColumn("o", F.size(F.array_intersect("wa", "wb")))
@@ -113,13 +122,11 @@ def mark_lines(docs: DataFrame, cfg: LineConfig = LineConfig()) -> DataFrame:
     docs = docs.select("doc_id", "text")
     ranks = rarity(docs)
     p = F.col("n") - F.ceil(F.col("n") * cfg.percent / F.lit(100) - 1e-9).cast("int") + 1
-    keyed = _keyed(docs, ranks)
-    rows = keyed.select(
-        "k1", "bits", "n", F.struct("doc_id", "line_no").alias("at"), F.transform(F.slice("sorted", F.lit(1), p), lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix"),
-        F.array_min(F.transform("sorted", lambda h: F.xxhash64(h))).alias("m1"), F.array_min(F.transform("sorted", lambda h: F.xxhash64(F.lit(1), h))).alias("m2"),
-    )
-    classes = rows.groupBy("k1", "bits", "n").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("lines"), *(F.first(c).alias(c) for c in ("prefix", "m1", "m2")))
-    classes = stored(classes.select("k1", "bits", "n", F.col("at.doc_id").alias("d"), F.col("at.line_no").alias("l"), "lines", "prefix", "m1", "m2"), "line-classes")
+    rows = _keyed(docs).select("k1", "m1", "m2", "n", F.struct("doc_id", "line_no").alias("at"), _parity(F.col("words")).alias("bits"), _from_rarest(F.col("words"), ranks).alias("ordered"))
+    prefix = F.transform(F.slice("ordered", F.lit(1), p), lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int"))
+    rows = rows.select("k1", "m1", "m2", "n", "at", "bits", prefix.alias("prefix"))
+    classes = rows.groupBy(*SET).agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("lines"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    classes = stored(classes.select(*SET, F.col("at.doc_id").alias("d"), F.col("at.line_no").alias("l"), "lines", "bits", "prefix"), "line-classes")
 
     # The earliest class with an equal minwise value, where it is similar.
     by_min = classes.select(F.explode(F.array("m1", "m2")).alias("m"), "d", "l", "n", "bits")
@@ -132,19 +139,21 @@ def mark_lines(docs: DataFrame, cfg: LineConfig = LineConfig()) -> DataFrame:
 
     # Prefix join; a: the later class, b: an earlier one, earlier too than what a has found.
     known = classes.select("d", "l", "n", "bits", "prefix").join(_small(first, cfg), ["d", "l"], "left")
-    posted = known.select("d", "l", "n", "bits", "ed", "el", F.posexplode("prefix").alias("pos", "w"))
+    bound = (F.coalesce("ed", "d").alias("bd"), F.when(F.col("ed").isNull(), F.col("l")).otherwise(F.col("el")).alias("bl"))
+    posted = known.select("d", "l", "n", "bits", *bound, F.posexplode("prefix").alias("pos", "w"))
     a, b = posted.alias("a"), posted.alias("b")
     na, nb = F.col("a.n"), F.col("b.n")
-    bound = F.struct(F.coalesce("a.ed", "a.d"), F.when(F.col("a.ed").isNull(), F.col("a.l")).otherwise(F.col("a.el")))
     room = F.least(na - F.col("a.pos"), nb - F.col("b.pos")) >= _needed(na, nb, cfg.percent)
-    found = a.join(b, F.col("a.w") == F.col("b.w")).where((F.struct("b.d", "b.l") < bound) & room & _compatible(na, nb, F.col("a.bits"), F.col("b.bits"), cfg.percent))
+    # What is asked of b's bound always holds; with it both sides read the same columns, and so one exchange serves both.
+    earlier = (F.struct("b.d", "b.l") < F.struct("a.bd", "a.bl")) & (F.struct("b.bd", "b.bl") <= F.struct("b.d", "b.l"))
+    found = a.join(b, F.col("a.w") == F.col("b.w")).where(earlier & room & _compatible(na, nb, F.col("a.bits"), F.col("b.bits"), cfg.percent))
     found = stored(found.select("a.d", "a.l", F.col("b.d").alias("ed"), F.col("b.l").alias("el")).distinct(), "line-candidates")
     second = stored(_verified(found, docs, cfg), "line-matches")
     earliest = first.union(second).groupBy("d", "l").agg(F.min(F.struct("ed", "el")).alias("e"))
 
-    flagged = classes.select("k1", "bits", "n", "d", "l", "lines").join(_small(stored(earliest, "line-earliest"), cfg), ["d", "l"], "left").where("lines > 1 or e is not null")
-    flagged = stored(flagged.select("k1", "bits", "n", F.coalesce("e.ed", "d").alias("fd"), F.coalesce("e.el", "l").alias("fl")), "lines-flagged")
-    gone = keyed.join(_small(flagged, cfg), ["k1", "bits", "n"]).where(F.struct("doc_id", "line_no") > F.struct(F.col("fd").alias("doc_id"), F.col("fl").alias("line_no")))
+    flagged = classes.select(*SET, "d", "l", "lines").join(_small(stored(earliest, "line-earliest"), cfg), ["d", "l"], "left").where("lines > 1 or e is not null")
+    flagged = stored(flagged.select(*SET, F.coalesce("e.ed", "d").alias("fd"), F.coalesce("e.el", "l").alias("fl")), "lines-flagged")
+    gone = _keyed(docs).drop("words").join(_small(flagged, cfg), list(SET)).where(F.struct("doc_id", "line_no") > F.struct(F.col("fd").alias("doc_id"), F.col("fl").alias("line_no")))
     gone = stored(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines")), "lines-gone")
     none = F.array().cast("array<int>")
     counted = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n")).select("doc_id", F.greatest("n", F.lit(0)).alias("n_lines"))
@@ -153,11 +162,13 @@ def mark_lines(docs: DataFrame, cfg: LineConfig = LineConfig()) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame, cfg: LineConfig = LineConfig()) -> DataFrame:
-    """docs with repeated lines taken out of text; all columns."""
-    marks = mark_lines(docs, cfg).where("n_removed > 0 and doc_id is not null").select(F.col("doc_id").alias("marked_id"), F.map_from_arrays("removed_lines", F.transform("removed_lines", lambda i: F.lit(True))).alias("gone")).dropDuplicates(["marked_id"])
-    held = docs.join(marks, docs["doc_id"] == F.col("marked_id"), "left")
+    """docs with repeated lines taken out of text; all columns, whatever their names."""
+    marks = mark_lines(docs, cfg).where("n_removed > 0 and doc_id is not null").dropDuplicates(["doc_id"])
+    marks = marks.select(F.col("doc_id").alias("marked_id"), F.map_from_arrays("removed_lines", F.transform("removed_lines", lambda i: F.lit(True))).alias("gone"))
+    held = docs.select("doc_id", "text", F.struct("*").alias("line_row")).join(marks, F.col("doc_id") == F.col("marked_id"), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: F.element_at("gone", i).isNull()), "\n")
-    return held.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
+    return held.select(F.col("line_row").withField("text", text).alias("r")).select("r.*")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
