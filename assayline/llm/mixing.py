@@ -103,8 +103,9 @@ def weigh(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
 
 
 def sample(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
-    """The sampled rows of docs, with its columns."""
-    return weigh(docs, cfg).where("mix_kept").select(*docs.columns)
+    """The sampled rows of docs, with its columns, whatever their names."""
+    held = docs.select("doc_id", "text", "source", "lang", F.struct("*").alias("mix_row"))
+    return weigh(held, cfg).where("mix_kept").select("mix_row.*")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

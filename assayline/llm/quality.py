@@ -24,6 +24,11 @@ def score(docs: DataFrame, model: linear.LinearModel) -> DataFrame:
     return docs.withColumn("quality_score", linear.score(F.col("text"), model, docs))
 
 
+def keep(docs: DataFrame, model: linear.LinearModel, least: float = 0.5) -> DataFrame:
+    """Rows of docs that score least or more, with its columns."""
+    return docs.where(linear.score(F.col("text"), model, docs) >= least)
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
