@@ -113,3 +113,36 @@ def failed_cases(turns: DataFrame, n: int = 10, width: int = 200) -> DataFrame:
 def first_of(raw: Column, paths: tuple[str, ...] = ("$.answer", "$.response", "$.text", "$.output", "$.message.content", "$.message", "$.choices[0].message.content", "$.choices[0].text")) -> Column:
     """The first non-null of some JSON paths of an answer."""
     return F.coalesce(*(F.get_json_object(raw, p) for p in paths))
+
+
+def criteria_dsl(rows: DataFrame) -> DataFrame:
+    """rows (case_id, criteria, status int, raw) → (case_id, passed): all conditions of ' AND '-joined criteria hold.
+
+    status_code=N, raw~r/pattern/ and json.path~r/pattern/ are known; any other condition fails. Blank criteria ask for
+    status 200. Patterns stand in a column, so each row is matched with its own.
+    """
+    one = rows.select("case_id", "status", "raw", F.coalesce("criteria", F.lit("")).alias("criteria"))
+    each = one.select("case_id", "status", "raw", F.col("criteria"), F.explode(F.split("criteria", " AND ")).alias("c")).withColumn("c", F.trim("c"))
+    pattern = F.regexp_replace(F.regexp_extract("c", r"~r/([\s\S]*)$", 1), "/$", "")
+    each = each.withColumn("p", pattern).withColumn("v", F.expr("get_json_object(raw, concat('$.', regexp_extract(c, '^json[.](.*?)~r/', 1)))"))
+    held = (
+        F.when(F.col("criteria") == "", F.col("status") == 200)
+        .when(F.col("c").startswith("status_code="), F.col("status").cast("string") == F.trim(F.substr(F.col("c"), F.lit(13))))
+        .when(F.col("c").startswith("raw~r/"), F.expr("coalesce(raw, '') rlike p"))
+        .when(F.col("c").startswith("json.") & F.col("c").contains("~r/"), F.expr("coalesce(v rlike p, false)"))
+        .otherwise(False)
+    )
+    return each.groupBy("case_id").agg(F.bool_and(F.coalesce(held, F.lit(False))).alias("passed"))
+
+
+def task_score(dsl: Column, mode: Column, contains: Column, judged: Column, status: Column) -> Column:
+    """1 or 0 from rules where there are any, else the judge's score, else whether the status is below 400."""
+    return F.when(mode == "dsl", dsl.cast("double")).when(contains.isNotNull(), contains.cast("double")).otherwise(F.coalesce(judged, (status < 400).cast("double")))
+
+
+def valid_answer() -> Column:
+    """Of the column raw: an object with a text answer that is not empty and, if there are docs, a list of texts."""
+    kind = lambda path: F.expr(f"schema_of_variant(variant_get(try_parse_json(raw), '{path}', 'variant'))")
+    answer = F.expr("try_variant_get(try_parse_json(raw), '$.answer', 'string')")
+    docs = kind("$.docs")
+    return F.coalesce((kind("$.answer") == "STRING") & (F.length(answer) > 0) & (docs.isNull() | docs.isin("ARRAY<STRING>", "ARRAY<VOID>")), F.lit(False))

@@ -221,8 +221,8 @@ def sort_turns(spark: SparkSession, d: str) -> DataFrame:
 
 def step_markers(spark: SparkSession, d: str) -> DataFrame:
     """Marker lines planted after each turn, read back as rows."""
-    c = table(spark, d, "conversations").select("conv_id", F.concat("text", F.lit("\nZTQA_STEP|"), "turn", F.lit("|click|role="), "role", F.lit("|v|d\n")).alias("t"))
-    m = c.select("conv_id", F.explode(F.regexp_extract_all("t", F.lit(r"(?m)^(ZTQA_STEP\|[^\n]*)$"), F.lit(1))).alias("m")).select("conv_id", F.split("m", r"\|").alias("p"))
+    c = table(spark, d, "conversations").select("conv_id", F.concat("text", F.lit("\nSTEP_MARK|"), "turn", F.lit("|click|role="), "role", F.lit("|v|d\n")).alias("t"))
+    m = c.select("conv_id", F.explode(F.regexp_extract_all("t", F.lit(r"(?m)^(STEP_MARK\|[^\n]*)$"), F.lit(1))).alias("m")).select("conv_id", F.split("m", r"\|").alias("p"))
     return m.select("conv_id", F.col("p")[1].cast("int").alias("step"), F.col("p")[2].alias("action"), F.col("p")[3].alias("target"))
 
 
