@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from assayline.llm import decontaminate, mixing, neardup, quality, tokens
 from assayline.llm.shared import stored
@@ -16,7 +15,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at 0.5 or more."""
     ship(spark)
     model = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    return quality.score(docs, model).where(F.col("quality_score") >= 0.5).select(*docs.columns)
+    return quality.keep(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
