@@ -4,8 +4,10 @@ Texts become sequences of tokens in which numbers, names and units are typed
 placeholders. Windows of template tokens of documents are hash-joined with those of the
 benchmark; each alignment that shares a window is then compared token by token over the
 whole item. Placeholders must be filled consistently: one value of the item always
-stands for one value of the document and the other way round. All of it is DataFrame
-expressions.
+stands for one value of the document; different values may become equal. Whether an
+item's first word looks like a name depends on what precedes it in the document, so it
+also agrees by its word alone. Items too short for a template are found by their exact
+sequence of words. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ _NAME_MARK = "\u0001"
 
 @dataclass(frozen=True)
 class TemplateConfig:
-    """window: template tokens of a window; shorter items are one window. min_tokens: items below this are not compared,
-    as they say nothing. cover: least share of an item's tokens that an alignment must match.
+    """window: template tokens of a window; shorter items are one window. min_tokens: items below this must occur word by
+    word, as their templates say nothing. cover: least share of an item's tokens that an alignment must match.
     broadcast_windows: benchmark windows up to which they are broadcast; beyond, they are shuffled."""
 
     window: int = 8
@@ -47,10 +49,9 @@ def tokens(text: Column) -> Column:
 
 def template(found: Column) -> Column:
     """Tokens with their slots as placeholders."""
-    units = F.array(*map(F.lit, UNITS))
     return F.transform(
         found,
-        lambda t: F.when(t.startswith(_NAME_MARK), F.lit(NAME)).when(t.rlike(r"^\p{N}"), F.lit(NUMBER)).when(F.array_contains(units, t), F.lit(UNIT)).otherwise(t),
+        lambda t: F.when(t.startswith(_NAME_MARK), F.lit(NAME)).when(t.rlike(r"^\p{N}"), F.lit(NUMBER)).when(t.isin(*UNITS), F.lit(UNIT)).otherwise(t),
     )
 
 
@@ -59,58 +60,92 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _windows(df: DataFrame, keys: list[str], hashes: Column, sizes: list[int]) -> DataFrame:
-    """keys, pos and hash h of each window of the given sizes over an array of token hashes."""
+def _bare(token: Column) -> Column:
+    """The token without a name's mark."""
+    return F.ltrim(token, F.lit(_NAME_MARK))
 
-    def of_size(th: Column, k: int) -> Column:
-        some = F.transform(F.sequence(F.lit(1), F.greatest(F.size(th) - k + 1, F.lit(1))), lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.lit(k), F.slice(th, i, k)).alias("h")))
-        return F.when(F.size(th) >= k, some).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
 
-    each = _bound(hashes, lambda th: F.flatten(F.array(*(of_size(th, k) for k in sizes))))
-    return df.select(*keys, F.explode(each).alias("w")).select(*keys, "w.pos", "w.h")
+def _windows(df: DataFrame, keys: list[str], found: Column, sizes: list[int], exact_sizes: list[int]) -> DataFrame:
+    """keys, pos and hash h of each window over tokens: of templates in sizes, of the bare words in exact_sizes.
+
+    A template window that begins with a name is there twice, with its placeholder and with the bare word.
+    """
+    none = F.array().cast("array<struct<pos:int,h:bigint>>")
+
+    def starts(h: Column, k: int) -> Column:
+        return F.sequence(F.lit(1), F.greatest(F.size(h) - k + 1, F.lit(1)))
+
+    def of_size(th: Column, names: Column, k: int) -> Column:
+        some = F.transform(starts(th, k), lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.lit(k), F.element_at(th, i), F.slice(th, i + 1, k - 1)).alias("h")))
+        named = F.filter(starts(th, k), lambda i: F.element_at(names, i).isNotNull())
+        more = F.transform(named, lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.lit(k), F.element_at(names, i), F.slice(th, i + 1, k - 1)).alias("h")))
+        return F.when(F.size(th) >= k, F.concat(some, more)).otherwise(none)
+
+    def of_words(wh: Column, k: int) -> Column:
+        some = F.transform(starts(wh, k), lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.lit(-k), F.slice(wh, i, k)).alias("h")))
+        return F.when(F.size(wh) >= k, some).otherwise(none)
+
+    def of_tokens(t: Column) -> Column:
+        th = F.transform(template(t), lambda x: F.xxhash64(x))
+        names = F.transform(t, lambda x: F.when(x.startswith(_NAME_MARK), F.xxhash64(_bare(x))))
+        typed = [_bound(F.struct(th.alias("th"), names.alias("names")), lambda b: F.flatten(F.array(*(of_size(b["th"], b["names"], k) for k in sizes))))] if sizes else []
+        plain = [_bound(F.transform(t, lambda x: F.xxhash64(_bare(x))), lambda wh: F.flatten(F.array(*(of_words(wh, k) for k in exact_sizes))))] if exact_sizes else []
+        return F.concat(*typed, *plain)
+
+    return df.select(*keys, F.explode(_bound(found, of_tokens)).alias("w")).select(*keys, "w.pos", "w.h")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, cfg: TemplateConfig = TemplateConfig()) -> DataFrame:
     """(doc_id, item_id, item_tokens, matched, slots, changed, kind): pairs of document and item that it contains.
 
     matched: item tokens that agree in the best alignment; slots: placeholders among them, changed: those whose value
-    differs. kind: 'exact' where no value differs, else 'reparameterised'. Rows without id or text, and items of under
-    min_tokens tokens, take no part. Repeated rows give one result. Empty tables give no rows.
+    differs. kind: 'exact' where no value differs, else 'reparameterised'. Items of under min_tokens tokens are only found
+    exactly. Rows without id or text, and items without a token, take no part. Repeated rows give one result. Empty
+    tables give no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     words = items.where("item_id is not null and text is not null").select("item_id", tokens(F.col("text")).alias("it")).distinct()
-    words = words.where(F.size("it") >= cfg.min_tokens).withColumn("tt", template(F.col("it"))).withColumn("th", F.transform("tt", lambda t: F.xxhash64(t)))
+    words = words.where(F.size("it") > 0).withColumn("tt", template(F.col("it"))).withColumn("short", F.size("it") < cfg.min_tokens)
     words = stored(words.withColumn("item_key", F.xxhash64("item_id", "it")), "benchmark-items")
-    sizes = sorted(r[0] for r in words.select(F.least(F.size("th"), F.lit(cfg.window)).alias("k")).distinct().collect())  # at most window values
-    if not sizes:
+    kinds = words.select("short", F.when(F.col("short"), F.size("it")).otherwise(F.least(F.size("it"), F.lit(cfg.window))).alias("k")).distinct().collect()  # at most window + min_tokens values
+    sizes, exact_sizes = (sorted(r["k"] for r in kinds if r["short"] == short) for short in (False, True))
+    if not kinds:
         return spark.createDataFrame([], "doc_id long, item_id long, item_tokens int, matched int, slots int, changed int, kind string")
     per_item = None
-    for k in sizes:
-        own = words.where(F.least(F.size("th"), F.lit(cfg.window)) == k)
-        one = _windows(own, ["item_key"], F.col("th"), [k])
+    for k, exact in [(k, False) for k in sizes] + [(k, True) for k in exact_sizes]:
+        own = words.where((F.col("short") == exact) & ((F.size("it") if exact else F.least(F.size("it"), F.lit(cfg.window))) == k))
+        one = _windows(own, ["item_key", "short"], F.col("it"), [] if exact else [k], [k] if exact else [])
         per_item = one if per_item is None else per_item.union(one)
-    per_item = stored(per_item.withColumnRenamed("pos", "item_pos"), "benchmark-windows")
+    per_item = stored(per_item.withColumnRenamed("pos", "item_pos").distinct(), "benchmark-windows")
     bounded = per_item.count() <= cfg.broadcast_windows
 
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    hashes = F.transform(template(tokens(F.col("text"))), lambda t: F.xxhash64(t))
-    seen = _windows(rows.withColumn("text_key", F.xxhash64("text")), ["doc_id", "text_key"], hashes, sizes).join(F.broadcast(per_item) if bounded else per_item, "h")
-    at = stored(seen.select("doc_id", "text_key", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct(), "alignments")
+    seen = _windows(rows.withColumn("text_key", F.xxhash64("text")), ["doc_id", "text_key"], tokens(F.col("text")), sizes, exact_sizes).join(F.broadcast(per_item) if bounded else per_item, "h")
+    shift = F.col("pos") - F.col("item_pos")
+    seen = seen.select("doc_id", "text_key", "item_key", shift.alias("shift"), F.when(~F.col("short"), shift).alias("place"))
+    at = stored(seen.groupBy("doc_id", "text_key", "item_key", "place").agg(F.min("shift").alias("shift")).drop("place"), "alignments")  # one of an exact sequence's places is enough
 
     hit = at.select("doc_id", "text_key").distinct()
     texts = rows.withColumn("text_key", F.xxhash64("text")).join(hit, ["doc_id", "text_key"], "left_semi").distinct()
     texts = stored(texts.select("doc_id", "text_key", tokens(F.col("text")).alias("dt")), "hit-texts")
-    both = at.join(texts, ["doc_id", "text_key"]).join(words.select("item_key", "item_id", "it", "tt"), "item_key")
+    both = at.join(texts, ["doc_id", "text_key"]).join(words.select("item_key", "item_id", "it", "tt", "short"), "item_key")
     n = F.size("it")
-    aligned = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when((F.col("shift") + i >= 0) & (F.col("shift") + i < F.size("dt")), F.get("dt", F.col("shift") + i)))
-    both = stored(both.select("doc_id", "item_id", "it", "tt", aligned.alias("seen")), "aligned").withColumn("seen_t", template(F.col("seen")))
+
+    def facing(i: Column) -> Column:
+        own = F.when((F.col("shift") + i >= 0) & (F.col("shift") + i < F.size("dt")), F.get("dt", F.col("shift") + i))
+        by_word = F.when(_bare(own) == _bare(F.get("it", i)), F.get("it", i))
+        return F.when(F.col("short"), by_word).when(i == 0, F.coalesce(by_word, own)).otherwise(own)
+
+    aligned = F.transform(F.sequence(F.lit(0), n - 1), facing)
+    both = stored(both.select("doc_id", "item_id", "it", "tt", "short", aligned.alias("seen")), "aligned").withColumn("seen_t", template(F.col("seen")))
     pairs = F.zip_with(F.arrays_zip("it", "tt"), F.arrays_zip("seen", "seen_t"), lambda a, b: F.when(a["tt"] == b["seen_t"], F.struct(a["tt"].alias("t"), a["it"].alias("a"), b["seen"].alias("b"))))
-    both = stored(both.select("doc_id", "item_id", n.alias("item_tokens"), F.filter(pairs, lambda p: p.isNotNull()).alias("same")), "agreeing")
+    both = stored(both.select("doc_id", "item_id", "short", n.alias("item_tokens"), F.filter(pairs, lambda p: p.isNotNull()).alias("same")), "agreeing")
     slots = F.filter("same", lambda p: p["t"].isin(NUMBER, NAME, UNIT))
     both = both.withColumn("slot", slots).withColumn("fills", F.array_distinct("slot"))
-    one_to_one = (F.size(F.array_distinct(F.transform("fills", lambda p: F.struct(p["t"], p["a"])))) == F.size("fills")) & (F.size(F.array_distinct(F.transform("fills", lambda p: F.struct(p["t"], p["b"])))) == F.size("fills"))
-    found = both.where(one_to_one & (F.size("same") >= F.col("item_tokens") * cfg.cover)).select(
+    one_value = F.size(F.array_distinct(F.transform("fills", lambda p: F.struct(p["t"], p["a"])))) == F.size("fills")
+    least = F.when(F.col("short"), F.col("item_tokens")).otherwise(F.col("item_tokens") * cfg.cover)
+    found = both.where(one_value & (F.size("same") >= least)).select(
         "doc_id", "item_id", "item_tokens", F.size("same").alias("matched"), F.size("slot").alias("slots"), F.size(F.filter("slot", lambda p: p["a"] != p["b"])).alias("changed"),
     )
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", (-F.col("changed")).alias("kept"), "slots", "item_tokens")).alias("m"))

@@ -63,6 +63,28 @@ def test_templates(spark):
     assert decontaminate.contaminated(df, items.limit(0)).count() == 0 and decontaminate.contaminated(df.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("item", "text", "kind"),
+    [
+        ("A car drives 60 km in 3 hours on the road to town", "A car drives 5 km in 5 hours on the road to town", "reparameterised"),
+        ("Add 2 and then 4 to the number of red apples here", "Add 4 and then 4 to the number of red apples here", "reparameterised"),
+        ("Add 2 and then 2 to the number of red apples here", "Add 3 and then 4 to the number of red apples here", None),
+        ("What is the capital of France", "Question: What is the capital of France", "exact"),
+        ("What is the capital of France", "Question: What is the capital of Spain", "reparameterised"),
+        (", What is the capital of France", "What is the capital of France", "exact"),
+        ("What is the capital of France", "Question: Where is the capital of France", None),
+        ("Name the largest planet", "He said: Name the largest planet. And again: name the largest planet", "exact"),
+        ("Name the largest planet", "Name the smallest planet", None),
+        ("Add 2 and 3", "Add 2 and 4", None),
+        ("?!", "?!", None),
+    ],
+)
+def test_template_slots_and_short_items(spark, item, text, kind):
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text), (2, "nothing of it")], "doc_id long, text string")
+    assert [(r["doc_id"], r["kind"]) for r in decontaminate.contaminated(docs, items).collect()] == ([(1, kind)] if kind else [])
+
+
 def test_mixing_reaches_the_targets(spark):
     rng = random.Random(4)
     rows = [(i, "w " * rng.randint(1, 900), "big" if rng.random() < 0.6 else f"s{i % 3}", rng.choice(["en", "en", "de", None])) for i in range(900)]
