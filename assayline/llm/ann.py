@@ -62,10 +62,13 @@ def usable(vector: Column) -> Column:
 
 
 def index(vectors: DataFrame, cfg: CodeConfig = CodeConfig()) -> DataFrame:
-    """(vec_id, dim, code, length, cosine, vector) of every usable row of (vec_id, embedding); vector is packed doubles."""
+    """(vec_id, dim, code, length, cosine, vector) of every usable row of (vec_id, embedding); vector is packed doubles.
+
+    Repeated rows give one; different vectors under one vec_id all stay.
+    """
     short_batches(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).distinct()
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,19 +103,25 @@ def _search_block(data: pd.DataFrame, queries: pd.DataFrame, cfg: CodeConfig) ->
         asked, wanted = queries["query_id"].to_numpy(), np.frombuffer(b"".join(queries["vector"]), np.float64).reshape(-1, dim)
         turned = (wanted @ rotation(dim, cfg.seed)).astype(np.float32)
         norms = np.linalg.norm(wanted, axis=1).astype(np.float32)
+        own = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))  # where each vec_id begins
         for first in range(0, len(asked), cfg.stack):
             part = slice(first, first + cfg.stack)
             estimate = (turned[part] @ signs.T) * scale
             error = norms[part, None] * spread
             low = estimate - error
-            take = min(cfg.k + 1, len(ids))  # one more, as the query itself may be among them
+            if len(own) < len(ids):
+                low = np.maximum.reduceat(low, own, axis=1)
+            take = min(cfg.k + 1, len(own))  # one more, as the query itself may be among them
             floor = -np.partition(-low, take - 1, axis=1)[:, take - 1]
             reach = estimate + error >= floor[:, None]
             for i in range(len(floor)):
                 q = first + i
                 near = np.flatnonzero(reach[i] & (ids != asked[q]))
                 exact = np.einsum("ij,j->i", vectors[near], wanted[q])
-                best = np.lexsort((ids[near], -exact))[: cfg.k]
+                best = np.lexsort((ids[near], -exact))
+                if len(own) < len(ids):
+                    best = best[np.sort(np.unique(ids[near[best]], return_index=True)[1])]
+                best = best[: cfg.k]
                 out["query_id"] += [asked[q]] * len(best)
                 out["vec_id"] += ids[near[best]].tolist()
                 out["score"] += exact[best].tolist()
@@ -122,7 +131,8 @@ def _search_block(data: pd.DataFrame, queries: pd.DataFrame, cfg: CodeConfig) ->
 def search(codes: DataFrame, queries: DataFrame, cfg: CodeConfig = CodeConfig()) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest of each query; ties go to the smaller vec_id.
 
-    codes: what index() gives; queries: (query_id, dim, vector). A query's own vec_id is no candidate. Vectors of
+    codes: what index() gives; queries: (query_id, dim, vector). An id with several vectors, on either side, counts by
+    the pair with the largest product and takes one place. A query's own vec_id is no candidate. Vectors of
     another dimension than the query's are none either. Fewer candidates than k give fewer rows; empty tables none.
     """
     spark = codes.sparkSession
@@ -138,12 +148,12 @@ def search(codes: DataFrame, queries: DataFrame, cfg: CodeConfig = CodeConfig())
     keys = ["dim", "db", "qb"]
     found = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(both, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.k)
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.k)
     return best.select("query_id", "rank", "vec_id", "score")
 
 
 def op3_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every vector whose id is divisible by 20, among all."""
     codes = stored(index(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")), "codes")
-    queries = codes.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "dim", "vector").dropDuplicates(["query_id"])
+    queries = codes.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "dim", "vector")
     return search(codes, queries)

@@ -145,6 +145,24 @@ def test_nearest_neighbours(spark):
     assert ann.search(codes.limit(0), queries.limit(0)).count() == 0
 
 
+def test_repeated_rows_take_one_place(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((60, 16))
+    v[1] = 3 * v[0]
+    more = {0: rng.standard_normal(16), 2: 2 * v[0], 3: -v[3]}  # second vectors under an id
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(1, v[1].tolist())] * 30 + [(0, v[0].tolist())] * 5 + [(i, x.tolist()) for i, x in more.items()] * 15
+    rows += [(2, (v[0] * (1 + j / 50)).tolist()) for j in range(30)]  # more than k vectors under one id
+    codes = ann.index(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3))
+    queries = codes.where("vec_id = 0").selectExpr("vec_id as query_id", "dim", "vector")
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in ann.search(codes, queries, ann.CodeConfig(k=10)).collect())
+    score = np.full(60, -np.inf)
+    for i, x in rows:
+        score[i] = max(score[i], *(float(np.dot(x, q)) for q in (v[0], more[0])))
+    want = [i for i in np.lexsort((np.arange(60), -score)) if i != 0][:10]
+    assert [i for _, i, _ in got] == want and [k for k, _, _ in got] == list(range(1, 11))
+    assert np.allclose([s for _, _, s in got], score[want])
+
+
 def test_mixing_sql_matches(spark):
     import os
 
