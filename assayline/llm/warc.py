@@ -4,7 +4,10 @@ An archive is a run of gzip members with one record each (or, uncompressed, a ru
 records). The reader checks every record: the member's own checksum, the record's
 length, its block digest. After a failed check it searches for the next member or
 version line from which a whole record can be read, goes on there, and logs the bytes
-between as a quarantined gap.
+between as a quarantined gap. Within an inflated member it searches the next version
+line there; the gap is then the member's, and its reason names the inflated bytes. Of a
+damaged or cut member, what could be inflated is read in the same way; where the
+inflating failed, only records with a block digest count.
 
 Equal payloads are stored once: of rows with equal payloads the one with the largest
 page_id is the response, the others are revisits that refer to it. Null html counts as
@@ -89,22 +92,28 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, ki
     return VERSION + "\r\n".join(lines).encode() + END + block + END
 
 
-def _parse(data: bytes, at: int) -> tuple[Record, int]:
+def _parse(data: bytes, at: int, need_digest: bool = False) -> tuple[Record, int]:
     """The record that starts at a version line, and where it ends. ValueError says which check failed."""
     if data[at : at + 5] != b"WARC/":
         raise ValueError("no version line")
-    head_end = data.find(END, at, at + (1 << 16))
-    if head_end < 0:
-        raise ValueError("headers do not end")
     headers: dict[str, str] = {}
-    for line in data[at:head_end].split(b"\r\n")[1:]:
+    begin = data.find(b"\r\n", at) + 2
+    while begin > 1:
+        line_end = data.find(b"\r\n", begin)
+        if line_end < 0:
+            begin = 0
+            break
+        line, begin = data[begin:line_end], line_end + 2
+        if not line:
+            break
         name, colon, value = line.decode("utf-8", "replace").partition(":")
         if not colon:
             raise ValueError("malformed header")
         headers[name.strip().lower()] = value.strip()
+    if begin < 2:
+        raise ValueError("headers do not end")
     if not headers.get("content-length", "").isdigit():
         raise ValueError("no content length")
-    begin = head_end + 4
     end = begin + int(headers["content-length"])
     if data[end : end + 4] != END:
         raise ValueError("block is not as long as declared")
@@ -112,55 +121,99 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
     declared = headers.get("warc-block-digest", "")
     if declared.startswith("sha1:") and declared[5:] != sha1_base32(block):
         raise ValueError("block digest differs")
+    if need_digest and not declared.startswith("sha1:"):
+        raise ValueError("no block digest in a damaged member")
     return Record(headers, block, at), end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member at a place, and where it ends."""
-    d = zlib.decompressobj(31)
-    try:
-        got = d.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise ValueError(f"member: {e}") from None
-    if not d.eof:
-        raise ValueError("member: cut short")
-    return got, len(data) - len(d.unused_data)
+def _run(data: bytes, need_digest: bool = False) -> Iterator[tuple[Record | Gap, int]]:
+    """The records of an inflated member and the gaps between them, each with its end."""
+    at = 0
+    while at < len(data):
+        probe, reason = at, ""
+        while True:  # the next version line from which a record can be read whole
+            try:
+                r, end = _parse(data, probe, need_digest)
+                break
+            except ValueError as e:
+                reason = reason or str(e)
+            probe = data.find(b"WARC/1.", probe + 1)
+            if probe < 0:
+                yield Gap(at, len(data), reason), len(data)
+                return
+        if probe > at:
+            yield Gap(at, probe, reason), probe
+        yield r, end
+        at = end
 
 
-def _one(data: bytes, at: int) -> tuple[list[Record], int]:
-    """The records of the next unit (a member, or one plain record) and where it ends."""
-    if data[at : at + 3] == MEMBER:
-        inner, end = _member(data, at)
-        found, place = [], 0
-        while place < len(inner):
-            r, place = _parse(inner, place)
-            found.append(Record(r.headers, r.block, at))
-        return found, end
-    r, end = _parse(data, at)
-    return [r], end
+def _inflated(data: bytes, at: int) -> bytes:
+    """What comes out of a damaged member before inflating fails."""
+    d, out, step = zlib.decompressobj(31), [], 4096
+    while at < len(data):
+        before = d.copy() if step > 1 else None  # a single byte that fails ends it
+        try:
+            out.append(d.decompress(data[at : at + step]))
+        except zlib.error:
+            if before is None:
+                break
+            d, step = before, 1
+            continue
+        at += step
+    return b"".join(out)
+
+
+def _unit(data: bytes, at: int) -> tuple[list[Record | Gap], int, str]:
+    """What the next unit (a member, or one plain record) holds, where what was read of it ends, and what is wrong with the rest."""
+    if data[at : at + 3] != MEMBER:
+        try:
+            r, end = _parse(data, at)
+        except ValueError as e:
+            return [], at, str(e)
+        return [r], end, ""
+    rest, d, wrong, corrupt = memoryview(data)[at:], zlib.decompressobj(31), "", False
+    try:
+        inner = d.decompress(rest)
+        if not d.eof:
+            wrong = "member: cut short"
+    except zlib.error as e:
+        wrong, corrupt, inner = f"member: {e}", True, _inflated(data, at)
+    parts = list(_run(inner, corrupt))
+    if not any(isinstance(p, Record) for p, _ in parts):
+        if wrong or parts:
+            return [], at, wrong or parts[0][0].reason
+        return [], len(data) - len(d.unused_data), ""
+    if wrong:
+        while isinstance(parts[-1][0], Gap):
+            parts.pop()  # it is part of the rest
+        d = zlib.decompressobj(31)
+        d.decompress(rest, parts[-1][1] - 1)  # with its last byte, the member's checksum might fail
+        end = len(data) - len(d.unconsumed_tail)
+    else:
+        end = len(data) - len(d.unused_data)
+    return [Record(p.headers, p.block, at) if isinstance(p, Record) else Gap(at, end, f"{p.reason}; inflated bytes {p.start} to {p.end}") for p, _ in parts], end, wrong
 
 
 def read_archive(data: bytes) -> Iterator[Record | Gap]:
     """All records that pass their checks, in order, and the gaps between them."""
     at = 0
     while at < len(data):
-        try:
-            found, end = _one(data, at)
-        except ValueError as e:
-            reason, probe = str(e), at + 1
-            while True:  # the next place from which a unit can be read whole
-                places = [p for p in (data.find(MEMBER, probe), data.find(b"WARC/1.", probe)) if p >= 0]
+        found, end, wrong = _unit(data, at)
+        yield from found
+        if wrong:
+            probe = max(end - 1, at)
+            while True:  # the next place from which a record can be read whole
+                places = [p for p in (data.find(MEMBER, probe + 1), data.find(b"WARC/1.", probe + 1)) if p >= 0]
                 if not places:
-                    yield Gap(at, len(data), reason)
+                    yield Gap(end, len(data), wrong)
                     return
                 probe = min(places)
-                try:
-                    found, end = _one(data, probe)
+                found, _, more = _unit(data, probe)
+                if found or not more:
                     break
-                except ValueError:
-                    probe += 1
-            yield Gap(at, probe, reason)
-        yield from found
+            if probe > end:
+                yield Gap(end, probe, wrong)
+            end = probe
         at = end
 
 

@@ -89,3 +89,43 @@ def test_salvage(compressed):
     first = len(units[0])
     assert (gaps[0].start, gaps[0].end) == (first, first + 7) and gaps[-1].end == len(data)
     assert list(warc.read_archive(b"")) == []
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+def test_long_urls(spark, tmp_path, compressed):
+    df = spark.createDataFrame([(1, "http://a/" + "b" * 100_000, "x"), (2, "http://a/" + "\n" * 40_000, "y")], "page_id long, url string, html string")
+    folder = str(tmp_path / "w")
+    warc.write_archives(df, folder, warc.WarcConfig(compressed=compressed)).count()
+    got = {r["page_id"]: r["url"] for r in warc.read_archives(spark, folder).collect()}
+    assert got == {1: "http://a/" + "b" * 100_000, 2: "http://a/" + "%20" * 40_000} and warc.read_gaps(spark, folder).count() == 0
+
+
+def test_salvage_within_a_member():
+    rng = random.Random(3)
+    raws = []
+    for i in range(3):
+        page = rng.randbytes(3000).hex().encode()
+        raws.append(warc.record(i, f"http://p/{i}", page, warc.sha1_base32(page), "response", None))
+
+    def gz(raw, level=6):
+        c = zlib.compressobj(level, zlib.DEFLATED, 31)
+        return c.compress(raw) + c.flush()
+
+    def read(data):
+        found = list(warc.read_archive(data))
+        return [r.headers["warc-record-id"][10:-1] for r in found if isinstance(r, warc.Record)], [g for g in found if isinstance(g, warc.Gap)]
+
+    for damaged in (raws[1].replace(b"Content-Length: 6", b"Content-Length: 7"), raws[1][:-40] + b"?" + raws[1][-39:], raws[1][: len(raws[1]) // 2]):
+        one = gz(raws[0] + damaged + raws[2])
+        ids, gaps = read(one + gz(raws[1]))
+        assert ids == ["0", "2", "1"] and [(g.start, g.end) for g in gaps] == [(0, len(one))] and "inflated bytes" in gaps[0].reason
+    for level in (0, 6):
+        one = gz(b"".join(raws), level)
+        cut = one[: len(one) * 5 // 6]
+        ids, gaps = read(cut)
+        assert ids == ["0", "1"] and len(gaps) == 1 and gaps[0].end == len(cut)
+        ids, gaps = read(cut + gz(raws[0]))
+        assert ids == ["0", "1", "0"] and [g.end for g in gaps] == [len(cut)]
+        bad = bytearray(one)
+        bad[-6] ^= 1  # the checksum alone
+        assert read(bytes(bad))[0] == ["0", "1", "2"]
