@@ -61,7 +61,7 @@ def crawl_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_trace_pair(spark: SparkSession, d: str) -> DataFrame:
     """Each purchase with the views of its user in the ten minutes before, as rows arrive."""
-    e = logs.source(spark, f"{d}/events.parque[t]", table(spark, d, "events").schema)
+    e = logs.source(spark, f"{d}/events.parque[t]", table(spark, d, "events").schema, files_per_batch=None)  # as in q_streams
     first = e.where("event_type = 'view'").select("event_id", "user_id", "ts")
     after = e.where("event_type = 'purchase'").select("user_id", "ts")
     return logs.run(logs.followed(first, after, "user_id", 600), "stream-pair").groupBy("user_id").agg(F.count(F.lit(1)).alias("pairs"))

@@ -12,8 +12,9 @@ from assayline.streaming import logs
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    # A glob, as the table may be one file or a folder of files.
-    return logs.source(spark, f"{d}/events.parque[t]", table(spark, d, "events").schema)
+    # A glob, as the table may be one file or a folder of files. These are in no order of ts, so a stored table is
+    # replayed as one batch, in which no row is late and a crawl's pages are all there, at any number of files.
+    return logs.source(spark, f"{d}/events.parque[t]", table(spark, d, "events").schema, files_per_batch=None)
 
 
 def stream_llm_sla(spark: SparkSession, d: str) -> DataFrame:

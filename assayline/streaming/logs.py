@@ -12,9 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from assayline.sources.workdir import work_path
 
 
-def source(spark: SparkSession, path: str, schema, files_per_batch: int = 64) -> DataFrame:
-    """Files of a folder or glob as a stream, ts as an instant."""
-    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def source(spark: SparkSession, path: str, schema, files_per_batch: int | None = 64) -> DataFrame:
+    """Files of a folder or glob as a stream, ts as an instant. files_per_batch None: all files that are there are one batch."""
+    reader = spark.readStream.schema(schema)
+    df = (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(path)
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
