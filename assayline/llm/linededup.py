@@ -3,34 +3,40 @@
 A line is the set of its lower-case words. Words are ordered by rarity, known from
 counts of word hashes in a fixed number of buckets, ties by hash; any one order makes
 the prefix filter exact, a good one makes it fast. Lines of equal sets form a class,
-named by its first line in the order of (doc_id, line number). A class is removed from
-where an earlier line of a similar class stands: all its lines if that class begins
-earlier, else all but its own first.
-
-The join has three filters on top of the shared prefix word: sizes, positions, and the
-parity bitmaps of both sets, whose Hamming distance never exceeds the number of words
-the sets differ by. So that a large group of variants of one line does not meet itself
-in pairs, classes are first compared with the earliest class that shares one of two
-minwise values; after that the join looks only for classes still earlier than the one
-found. Every pair is verified on the words of both lines.
+named by its first line in the order of documents and lines. A line is removed where an
+earlier line has a similar set: all lines of a class but its first, and the first too
+where any class that begins earlier is similar. Whether one exists is all that removal
+asks, so the result has removals, not the links between all variants of a line.
+
+The join has three filters on top of the shared prefix word: sizes, positions, and
+parity bitmaps, whose Hamming distance never exceeds the number of words that two sets
+differ by. So that a large group of variants of one line does not meet itself in pairs,
+classes are first compared with the earliest class of an equal minwise value; only
+classes without a match so far ask the prefix join. A class that finds several
+candidates is first verified with the one whose bitmap is nearest, then, where that
+fails, with all others.
+
+Words are compared by 64-bit hashes. Sets are taken as equal where size, least hash
+and a 64-bit hash of the set agree.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayline.llm.shared import stored
+from assayline.llm.shared import discard, stored
 from assayline.sources.tables import ship, table
 
 #: Buckets of the rarity counts: a bounded table, whatever the corpus.
-BUCKETS = 1 << 14
+BUCKETS = 1 << 17
 #: Columns that name a set of words.
-SET = ("k1", "m1", "m2", "n")
-_HASH_BITS = 49
-_HASH_MASK = (1 << _HASH_BITS) - 1
+SET = ("k1", "m1", "n")
+#: A line's place: its document, and its number with the rank of its row among rows of that doc_id in the high bits.
+AT = ("d", "l")
+_ROW_BITS = 32
 
 
 @dataclass(frozen=True)
@@ -46,45 +52,60 @@ def _small(df: DataFrame, cfg: LineConfig) -> DataFrame:
     return F.broadcast(df) if df.count() <= cfg.broadcast_rows else df
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), r"[ \t\x0B\f\r]+"), "")
+def _shift(a: Column | int, b: Column | int) -> Column:
+    a = F.lit(a).cast("long") if isinstance(a, int) else a
+    return F.call_function("shiftleft", a, F.lit(b) if isinstance(b, int) else b)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, words): distinct word hashes of each line that has words."""
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.select("doc_id", "line_no", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("words")).where(F.size("words") > 0)
+def _split(line: Column) -> Column:
+    """Lower-case words, with empty ones between several spaces."""
+    return F.split(F.lower(line), r"[ \t\x0B\f\r]")
+
+
+def _hashes(line: Column) -> Column:
+    """Distinct word hashes of a line, never null."""
+    return F.array_distinct(F.transform(F.array_remove(_split(line), ""), lambda w: F.xxhash64(w)))
 
 
 def _bucket(h: Column) -> Column:
-    return F.pmod(h, F.lit(BUCKETS)).cast("int")
+    return h.bitwiseAND(BUCKETS - 1).cast("int")
+
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with line_base: 0, or where rows repeat a doc_id their rank by text, in the high bits of a line's number."""
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.take(1):
+        return docs.withColumn("line_base", F.lit(0).cast("long"))
+    rank = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")) - 1
+    return docs.withColumn("line_base", _shift(rank.cast("long"), _ROW_BITS))
 
-def rarity(docs: DataFrame) -> list[int]:
-    """The rank of each bucket of word hashes by the number of words in it, rarest first: BUCKETS numbers in all."""
-    counts = _lines(docs).select(F.explode("words").alias("w")).groupBy(_bucket(F.col("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    got = {r["b"]: r["n"] for r in counts.collect()}
-    order = sorted(range(BUCKETS), key=lambda b: (got.get(b, 0), b))
-    ranks = [0] * BUCKETS
-    for rank, b in enumerate(order):
-        ranks[b] = rank
-    return ranks
 
+def _lines(rows: DataFrame) -> DataFrame:
+    real = rows.where("doc_id is not null and text is not null")
+    return real.select(F.col("doc_id").cast("long").alias("d"), "line_base", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, words, n, k1, m1, m2): what names a set is its size, a hash, and its least and greatest word hash."""
-    return _lines(docs).select("doc_id", "line_no", "words", F.size("words").alias("n"), F.xxhash64(F.sort_array("words")).alias("k1"), F.array_min("words").alias("m1"), F.array_max("words").alias("m2"))
 
+def rarity(rows: DataFrame) -> list[int]:
+    """The level of each bucket of word hashes, by the number of its words: BUCKETS numbers under 128, rarest least."""
+    words = _lines(rows).select(F.explode(_split(F.col("line"))).alias("w")).where("w <> ''")
+    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    levels = [0] * BUCKETS
+    for r in counts.select("b", F.least(F.floor(F.log2("n") * 4), F.lit(127)).cast("int").alias("level")).collect():  # at most BUCKETS rows
+        levels[r["b"]] = r["level"]
+    return levels
 
-def _from_rarest(words: Column, ranks: list[int]) -> Column:
-    """Word hashes ordered by rarity, then hash; a word is its rank and 49 bits of its hash."""
-    table_ = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")  # folded into one constant
-    return F.sort_array(F.transform(words, lambda h: F.call_function("shiftleft", F.get(table_, _bucket(h)).cast("long"), F.lit(_HASH_BITS)).bitwiseOR(h.bitwiseAND(_HASH_MASK))))
 
+def _from_rarest(words: Column, levels: list[int]) -> Column:
+    """Word hashes ordered by rarity, then hash; a word is its level and 56 bits of its hash."""
+    table_ = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")  # folded into one constant
+    level = lambda h: F.coalesce(F.get(table_, _bucket(h)), F.lit(0)).cast("long")
+    return F.sort_array(F.transform(words, lambda h: _shift(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
-def _parity(words: Column) -> Column:
-    """64 bits: the parity of the number of words in each of 64 buckets."""
-    return F.aggregate(words, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))))
+
+def _parity(words: Column, use: Column | None = None) -> Column:
+    """64 bits: the parity of the number of words in each of 64 buckets; use: of one bit of each word, 1 where it counts."""
+    bit = lambda h: _shift(F.lit(1).cast("long") if use is None else use(h), h.bitwiseAND(63).cast("int"))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -92,83 +113,116 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * percent / F.lit(100 + percent) - 1e-9)
 
 
-def _compatible(na: Column, nb: Column, xa: Column, xb: Column, percent: int) -> Column:
+def _distance(a: str, b: str) -> Column:
+    """A lower bound of the number of words that two sets differ by: unequal bits of 128 parities."""
+    whole, half = F.col(f"{a}.p").bitwiseXOR(F.col(f"{b}.p")), F.col(f"{a}.q").bitwiseXOR(F.col(f"{b}.q"))
+    return F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))
+
+
+def _compatible(a: str, b: str, percent: int) -> Column:
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     sizes = (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
-    return sizes & (F.bit_count(xa.bitwiseXOR(xb)) <= na + nb - 2 * _needed(na, nb, percent))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, cfg: LineConfig) -> DataFrame:
-    """Those of pairs (d, l, ed, el), lines by document and number, whose word sets reach the threshold."""
-    ids = stored(pairs.select(F.explode(F.array(F.struct("d", "l"), F.struct(F.col("ed").alias("d"), F.col("el").alias("l")))).alias("p")).select("p.*").distinct(), "lines-wanted")
-    per_doc = ids.groupBy("d").agg(F.collect_set("l").alias("ls"))  # at most a document's lines
-    per_doc = stored(per_doc, "lines-by-document")
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("d"), "text")
-    parts = rows.join(_small(per_doc, cfg), "d").select("d", F.split("text", "\n").alias("lines"), F.explode("ls").alias("l"))
-    sets = parts.where(F.col("l") < F.size("lines")).select("d", "l", F.array_distinct(F.transform(_words(F.get("lines", F.col("l"))), lambda w: F.xxhash64(w))).alias("w"))
-    sets = stored(sets.dropDuplicates(["d", "l"]), "line-words")
-    a, b = sets.select("d", "l", F.col("w").alias("wa")), sets.select(F.col("d").alias("ed"), F.col("l").alias("el"), F.col("w").alias("wb"))
-    both = pairs.join(a, ["d", "l"]).join(b, ["ed", "el"]).withColumn("o", F.size(F.array_intersect("wa", "wb")))
-    return both.where(F.col("o") * 100 >= (F.size("wa") + F.size("wb") - F.col("o")) * cfg.percent).select("d", "l", "ed", "el")
+    return sizes & (_distance(a, b) <= na + nb - 2 * _needed(na, nb, percent))
 
 
-def mark_lines(docs: DataFrame, cfg: LineConfig = LineConfig()) -> DataFrame:
-    """(doc_id, n_lines, n_removed, removed_lines) of every row of docs (doc_id, text); line numbers count from 0.
+def _later(a: str, b: str) -> Column:
+    return (F.col(f"{a}.d") > F.col(f"{b}.d")) | ((F.col(f"{a}.d") == F.col(f"{b}.d")) & (F.col(f"{a}.l") > F.col(f"{b}.l")))
 
-    A line is removed where an earlier line, by doc_id and line number, has a similar set of words. Lines without words
-    are kept. Null text has no lines; an empty text has one. Rows without doc_id take no part and keep all. Rows with
-    the same doc_id are taken as one document for the order of lines.
-    """
+
+def _verified(pairs: DataFrame, rows: DataFrame, cfg: LineConfig) -> DataFrame:
+    """(d, l) of those of pairs (d, l, ed, el), lines by place, whose word sets reach the threshold."""
+    ids = pairs.select("d", "l").union(pairs.select("ed", "el")).distinct()
+    per_doc = stored(ids.groupBy("d").agg(F.collect_list("l").alias("ls")), "lines-wanted")  # at most a document's lines
+    real = rows.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("d"), "line_base", "text")
+    parts = real.join(_small(per_doc, cfg), "d").select("d", "line_base", F.split("text", "\n").alias("lines"), F.explode("ls").alias("l"))
+    own = (F.col("l") - F.col("line_base")).cast("int")
+    parts = parts.where((F.shiftright("l", _ROW_BITS) == F.shiftright("line_base", _ROW_BITS)) & (own < F.size("lines")))
+    sets = stored(parts.select("d", "l", _hashes(F.get("lines", own)).alias("w")), "line-words")
+    a, b = sets.withColumnRenamed("w", "wa"), sets.select(F.col("d").alias("ed"), F.col("l").alias("el"), F.col("w").alias("wb"))
+    both = pairs.join(a, ["d", "l"]).join(b, ["ed", "el"]).withColumn("o", F.size(F.array_intersect("wa", "wb")))
+    found = stored(both.where(F.col("o") * 100 >= (F.size("wa") + F.size("wb") - F.col("o")) * cfg.percent).select("d", "l").distinct(), "lines-matched")
+    discard(per_doc, sets)
+    return found
+
+
+def removals(docs: DataFrame, cfg: LineConfig = LineConfig()) -> tuple[DataFrame, DataFrame]:
+    """(docs with line_base, (d, gone_base, removed_lines) of its rows that lose lines)."""
     ship(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    ranks = rarity(docs)
-    p = F.col("n") - F.ceil(F.col("n") * cfg.percent / F.lit(100) - 1e-9).cast("int") + 1
-    rows = _keyed(docs).select("k1", "m1", "m2", "n", F.struct("doc_id", "line_no").alias("at"), _parity(F.col("words")).alias("bits"), _from_rarest(F.col("words"), ranks).alias("ordered"))
-    prefix = F.transform(F.slice("ordered", F.lit(1), p), lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int"))
-    rows = rows.select("k1", "m1", "m2", "n", "at", "bits", prefix.alias("prefix"))
-    classes = rows.groupBy(*SET).agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("lines"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    classes = stored(classes.select(*SET, F.col("at.doc_id").alias("d"), F.col("at.line_no").alias("l"), "lines", "bits", "prefix"), "line-classes")
+    rows = _rows(docs)
+    levels = rarity(rows)
+    lines = _lines(rows).select("d", (F.col("line_base") + F.col("line_no")).alias("l"), _hashes(F.col("line")).alias("w")).where(F.size("w") > 0)
+    lines = lines.select("d", "l", F.size("w").alias("n"), F.array_min("w").alias("m1"), F.array_max("w").alias("m2"), _from_rarest(F.col("w"), levels).alias("o"), _parity(F.col("w")).alias("p"), _parity(F.col("w"), lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(1)).alias("q"))
+    size = F.col("n") - F.ceil(F.col("n") * cfg.percent / F.lit(100) - 1e-9).cast("int") + 1
+    prefix = F.transform(F.slice("o", F.lit(1), size), lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int"))
+    lines = stored(lines.select("d", "l", "n", "m1", "m2", F.xxhash64("o").alias("k1"), "p", "q", prefix.alias("prefix")), "lines")
+
+    # Classes: the first line of each set.
+    first = lines.groupBy(*SET).agg(F.min(F.struct("d", "l")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select(*SET, F.col("f.d").alias("fd"), F.col("f.l").alias("fl"))
+    first = stored(first, "line-firsts")
+    firsts = _small(first, cfg)
+    placed = lines.join(firsts, list(SET), "left")
+    again = F.col("fd").isNotNull() & ((F.col("d") != F.col("fd")) | (F.col("l") != F.col("fl")))
+    classes = placed.where(~again)
 
     # The earliest class with an equal minwise value, where it is similar.
-    by_min = classes.select(F.explode(F.array("m1", "m2")).alias("m"), "d", "l", "n", "bits")
-    heads = by_min.groupBy("m").agg(F.min(F.struct("d", "l", "n", "bits")).alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1").select("m", "h")
+    by_min = classes.select(F.explode(F.array("m1", "m2")).alias("m"), "d", "l", "n", "p", "q")
+    heads = by_min.groupBy("m").agg(F.min(F.struct("d", "l", "n", "p", "q")).alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1").select("m", "h.*")
     heads = stored(heads, "line-heads")
-    tried = by_min.join(_small(heads, cfg), "m").where((F.struct("d", "l") > F.struct("h.d", "h.l")) & _compatible(F.col("n"), F.col("h.n"), F.col("bits"), F.col("h.bits"), cfg.percent))
-    tried = stored(tried.select("d", "l", F.col("h.d").alias("ed"), F.col("h.l").alias("el")).distinct(), "line-tries")
-    first = _verified(tried, docs, cfg).groupBy("d", "l").agg(F.min(F.struct("ed", "el")).alias("e"))
-    first = stored(first.select("d", "l", F.col("e.ed").alias("ed"), F.col("e.el").alias("el")), "line-firsts")
-
-    # Prefix join; a: the later class, b: an earlier one, earlier too than what a has found.
-    known = classes.select("d", "l", "n", "bits", "prefix").join(_small(first, cfg), ["d", "l"], "left")
-    bound = (F.coalesce("ed", "d").alias("bd"), F.when(F.col("ed").isNull(), F.col("l")).otherwise(F.col("el")).alias("bl"))
-    posted = known.select("d", "l", "n", "bits", *bound, F.posexplode("prefix").alias("pos", "w"))
+    tried = by_min.alias("a").join(_small(heads, cfg).alias("h"), F.col("a.m") == F.col("h.m")).where(_later("a", "h") & _compatible("a", "h", cfg.percent))
+    tried = tried.select("a.d", "a.l", F.col("h.d").alias("ed"), F.col("h.l").alias("el")).distinct()
+    tried = stored(tried, "line-tries")
+    matched = _verified(tried, rows, cfg)
+    discard(heads, tried)
+
+    # Prefix join; a: a class without a match, b: an earlier class. One exchange serves both sides.
+    asks = F.when(F.col("matched").isNull(), 1).otherwise(0)
+    known = classes.select(*AT, "n", "p", "q", "prefix").join(_small(matched.withColumn("matched", F.lit(True)), cfg), list(AT), "left")
+    posted = known.select(*AT, "n", "p", "q", asks.alias("asks"), F.posexplode("prefix").alias("pos", "w"))
     a, b = posted.alias("a"), posted.alias("b")
     na, nb = F.col("a.n"), F.col("b.n")
     room = F.least(na - F.col("a.pos"), nb - F.col("b.pos")) >= _needed(na, nb, cfg.percent)
-    # What is asked of b's bound always holds; with it both sides read the same columns, and so one exchange serves both.
-    earlier = (F.struct("b.d", "b.l") < F.struct("a.bd", "a.bl")) & (F.struct("b.bd", "b.bl") <= F.struct("b.d", "b.l"))
-    found = a.join(b, F.col("a.w") == F.col("b.w")).where(earlier & room & _compatible(na, nb, F.col("a.bits"), F.col("b.bits"), cfg.percent))
-    found = stored(found.select("a.d", "a.l", F.col("b.d").alias("ed"), F.col("b.l").alias("el")).distinct(), "line-candidates")
-    second = stored(_verified(found, docs, cfg), "line-matches")
-    earliest = first.union(second).groupBy("d", "l").agg(F.min(F.struct("ed", "el")).alias("e"))
-
-    flagged = classes.select(*SET, "d", "l", "lines").join(_small(stored(earliest, "line-earliest"), cfg), ["d", "l"], "left").where("lines > 1 or e is not null")
-    flagged = stored(flagged.select(*SET, F.coalesce("e.ed", "d").alias("fd"), F.coalesce("e.el", "l").alias("fl")), "lines-flagged")
-    gone = _keyed(docs).drop("words").join(_small(flagged, cfg), list(SET)).where(F.struct("doc_id", "line_no") > F.struct(F.col("fd").alias("doc_id"), F.col("fl").alias("line_no")))
-    gone = stored(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed_lines")), "lines-gone")
-    none = F.array().cast("array<int>")
-    counted = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n")).select("doc_id", F.greatest("n", F.lit(0)).alias("n_lines"))
-    out = counted.join(_small(gone, cfg), "doc_id", "left").withColumn("removed_lines", F.coalesce("removed_lines", none))
-    return out.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), "removed_lines")
+    asking = F.col("a.asks") * 2 > F.col("b.asks")  # that a asks, said of both sides, so that it stays in the join
+    found = a.join(b, F.col("a.w") == F.col("b.w")).where(asking & _later("a", "b") & room & _compatible("a", "b", cfg.percent))
+    found = found.groupBy("a.d", "a.l", F.col("b.d").alias("ed"), F.col("b.l").alias("el")).agg(F.min(_distance("a", "b")).alias("apart"))
+    found = stored(found, "line-candidates")
+    nearest = found.groupBy(*AT).agg(F.min(F.struct("apart", "ed", "el")).alias("e")).select(*AT, F.col("e.ed").alias("ed"), F.col("e.el").alias("el"))
+    nearest = stored(nearest, "line-nearest")
+    good = _verified(nearest, rows, cfg)
+    rest = found.select(*AT, "ed", "el").join(_small(good, cfg), list(AT), "left_anti").join(nearest, [*AT, "ed", "el"], "left_anti")
+    rest = stored(rest, "line-rest")
+    late = matched.union(good).union(_verified(rest, rows, cfg))
+
+    gone = placed.where(again).select(*AT).union(late)
+    base = _shift(F.shiftright("l", _ROW_BITS), _ROW_BITS)
+    gone = gone.groupBy("d", base.alias("gone_base")).agg(F.array_sort(F.collect_list((F.col("l") - base).cast("int"))).alias("removed_lines"))
+    gone = stored(gone, "lines-gone")
+    discard(lines, first, found, nearest, rest, matched, good)
+    return rows, gone
+
+
+def mark_lines(docs: DataFrame, cfg: LineConfig = LineConfig()) -> DataFrame:
+    """(doc_id, n_lines, n_removed, removed_lines) of every row of docs (doc_id, text); line numbers count from 0.
+
+    A line is removed where an earlier line, by doc_id and line number, has a similar set of words. Lines without words
+    are kept. Null text has no lines; an empty text has one. Rows without doc_id take no part and keep all. Rows that
+    repeat a doc_id count as documents of their own, in the order of their texts.
+    """
+    rows, gone = removals(docs.select("doc_id", "text"), cfg)
+    counted = rows.select("doc_id", "line_base", F.greatest(F.coalesce(F.size(F.split("text", "\n")), F.lit(0)), F.lit(0)).alias("n_lines"))
+    out = counted.join(_small(gone, cfg), (F.col("doc_id") == F.col("d")) & (F.col("line_base") == F.col("gone_base")), "left")
+    removed = F.coalesce("removed_lines", F.array().cast("array<int>"))
+    return out.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed_lines"))
 
 
 def drop_lines(docs: DataFrame, cfg: LineConfig = LineConfig()) -> DataFrame:
     """docs with repeated lines taken out of text; all columns, whatever their names."""
-    marks = mark_lines(docs, cfg).where("n_removed > 0 and doc_id is not null").dropDuplicates(["doc_id"])
-    marks = marks.select(F.col("doc_id").alias("marked_id"), F.map_from_arrays("removed_lines", F.transform("removed_lines", lambda i: F.lit(True))).alias("gone"))
-    held = docs.select("doc_id", "text", F.struct("*").alias("line_row")).join(marks, F.col("doc_id") == F.col("marked_id"), "left")
+    held = docs.select("doc_id", "text", F.struct("*").alias("line_row"))
+    rows, gone = removals(held, cfg)
+    marks = _small(gone, cfg).select(F.col("d"), F.col("gone_base"), F.map_from_arrays("removed_lines", F.transform("removed_lines", lambda i: F.lit(True))).alias("gone"))
+    out = rows.join(marks, (F.col("doc_id") == F.col("d")) & (F.col("line_base") == F.col("gone_base")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: F.element_at("gone", i).isNull()), "\n")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
-    return held.select(F.col("line_row").withField("text", text).alias("r")).select("r.*")
+    return out.select(F.col("line_row").withField("text", text).alias("r")).select("r.*")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayline.sources.workdir import shared_dir, stored, work_path
 
-__all__ = ["ARROW_ROWS", "id_remainder", "shared_dir", "short_batches", "stored", "work_path"]
+__all__ = ["ARROW_ROWS", "discard", "id_remainder", "shared_dir", "short_batches", "stored", "work_path"]
 
 #: Rows in one Arrow batch. Texts may be long, so batches are kept short.
 ARROW_ROWS = 1024
@@ -23,3 +23,14 @@ def short_batches(spark: SparkSession) -> None:
 def id_remainder(col: Column, modulus: int) -> Column:
     """crc32 of the id's text, mod modulus: the fold of a document."""
     return F.crc32(col.cast("string").cast("binary")) % modulus
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes results of stored() that nothing reads any more; only whole folders below the shared folder."""
+    for df in tables:
+        spark = df.sparkSession
+        base = shared_dir(spark)
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.rsplit("/", 2)[-2:][0] == base.rsplit("/", 1)[-1]:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

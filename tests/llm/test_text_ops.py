@@ -46,6 +46,14 @@ def test_lines_against_brute_force(spark):
     assert linededup.mark_lines(df.limit(0)).count() == 0
 
 
+def test_lines_of_rows_with_one_id(spark):
+    rows = [(1, "a b c\nx y z"), (1, "a b c\nx y z"), (1, "new line\nx y z"), (0, "x y z"), (None, "a b c"), (None, "a b c")]
+    got = sorted((r["doc_id"] or -1, r["n_lines"], r["removed_lines"]) for r in linededup.mark_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(-1, 1, []), (-1, 1, []), (-1, 1, []), (1, 2, [0, 1]), (1, 2, [1]), (1, 2, [1])]
+    wide = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, d string")
+    assert sorted((r["text"] for r in linededup.drop_lines(wide).where("doc_id = 1").collect())) == ["", "a b c", "new line"]
+
+
 ITEM = "A train leaves Paris at 60 km per hour and meets Paul after 3 hours near Paris said the driver."
 
 
