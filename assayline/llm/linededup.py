@@ -58,13 +58,15 @@ def _shift(a: Column | int, b: Column | int) -> Column:
 
 
 def _split(line: Column) -> Column:
-    """Lower-case words, with empty ones between several spaces."""
-    return F.split(F.lower(line), r"[ \t\x0B\f\r]")
+    """Lower-case words, with empty ones between several spaces. Splitting by one character takes no pattern."""
+    low = F.lower(line)
+    other = line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\f")
+    return F.when(other, F.split(low, r"[ \t\x0B\f\r]")).otherwise(F.split(low, " "))
 
 
 def _hashes(line: Column) -> Column:
-    """Distinct word hashes of a line, never null."""
-    return F.array_distinct(F.transform(F.array_remove(_split(line), ""), lambda w: F.xxhash64(w)))
+    """Distinct word hashes of a line, never null; the empty word's is left out."""
+    return F.array_remove(F.array_distinct(F.transform(_split(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _bucket(h: Column) -> Column:
@@ -150,11 +152,11 @@ def removals(docs: DataFrame, cfg: LineConfig = LineConfig()) -> tuple[DataFrame
     ship(docs.sparkSession)
     rows = _rows(docs)
     levels = rarity(rows)
-    lines = _lines(rows).select("d", (F.col("line_base") + F.col("line_no")).alias("l"), _hashes(F.col("line")).alias("w")).where(F.size("w") > 0)
+    lines = _lines(rows).select("d", (F.col("line_base") + F.col("line_no")).alias("l"), _hashes(F.col("line")).alias("w"))
     lines = lines.select("d", "l", F.size("w").alias("n"), F.array_min("w").alias("m1"), F.array_max("w").alias("m2"), _from_rarest(F.col("w"), levels).alias("o"), _parity(F.col("w")).alias("p"), _parity(F.col("w"), lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(1)).alias("q"))
     size = F.col("n") - F.ceil(F.col("n") * cfg.percent / F.lit(100) - 1e-9).cast("int") + 1
     prefix = F.transform(F.slice("o", F.lit(1), size), lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int"))
-    lines = stored(lines.select("d", "l", "n", "m1", "m2", F.xxhash64("o").alias("k1"), "p", "q", prefix.alias("prefix")), "lines")
+    lines = stored(lines.select("d", "l", "n", "m1", "m2", F.xxhash64("o").alias("k1"), "p", "q", prefix.alias("prefix")), "lines").where("n > 0")  # a filter before that would split the lines twice
 
     # Classes: the first line of each set.
     first = lines.groupBy(*SET).agg(F.min(F.struct("d", "l")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select(*SET, F.col("f.d").alias("fd"), F.col("f.l").alias("fl"))
