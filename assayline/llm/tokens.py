@@ -13,6 +13,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +32,15 @@ from assayline.sources.tables import ship, table
 @dataclass(frozen=True)
 class TokenConfig:
     """vocabulary: a file of public_tokenizers, or a path. segment_ids: ids after which a segment ends.
-    file_segments: segments of a file. known_chunks: the bound of a worker's memory of coded chunks."""
+    file_segments: segments of a file. known_chunks: the bound of a worker's memory of coded chunks. portion_bytes:
+    text that goes through at once; a longer text goes alone."""
 
     vocabulary: str = "word_bpe_49k.json"
     end_id: int = 2
     segment_ids: int = 1 << 20
     file_segments: int = 16
     known_chunks: int = 1_000_000
+    portion_bytes: int = 16 << 20
 
 
 #: Stands between chunks that go through the tokenizer together; a chunk that holds it goes alone.
@@ -69,6 +73,8 @@ class ChunkEncoder:
         self.mark = self.plain.encode(MARK, add_special_tokens=False).ids
         # Whether the normaliser changes plain chunks by lower-casing only.
         self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str(PROBE) == PROBE.lower()
+        ids = lambda text: self.plain.encode(text, add_special_tokens=False).ids
+        self.stops = frozenset(t for t in ".,;:!?" if ids("probe" + t) == ids("probe") + ids(t))
         self.empty()
 
     def forget(self) -> None:
@@ -98,14 +104,22 @@ class ChunkEncoder:
             got = [e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
             self.remember(odd, np.fromiter((i for ids in got for i in ids), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
             chunks = [c for c in chunks if c not in self.place]
+        # A chunk is its lower-case core and perhaps a stop after a letter; each distinct core goes through the library once.
+        cores = [c.lower() for c in chunks]
+        stops = [c[-1] if c[-1] in self.stops and c[-2:-1].isalpha() else "" for c in cores]
+        cores = [c[:-1] if t else c for c, t in zip(cores, stops, strict=True)]
+        units = [c for c in dict.fromkeys([*cores, *set(stops)]) if c not in self.place]
         flat, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for first in range(0, len(chunks), 512):
-            some = chunks[first : first + 512]
-            ids = np.array(self.plain.encode_batch_fast([f" {MARK} ".join(some).lower() + f" {MARK}"], add_special_tokens=False)[0].ids, np.uint32)
+        for first in range(0, len(units), 512):
+            some = units[first : first + 512]
+            ids = np.array(self.plain.encode_batch_fast([f" {MARK} ".join(some) + f" {MARK}"], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(ids == self.mark[0])
             flat.append(ids[ids != self.mark[0]])
             lengths.append(np.diff(ends, prepend=-1) - 1)
-        self.remember(chunks, np.concatenate(flat), np.concatenate(lengths))
+        self.remember(units, np.concatenate(flat), np.concatenate(lengths))
+        parts = np.stack([self.places(cores), self.places(stops)], axis=1)
+        left = [i for i, c in enumerate(chunks) if c not in self.place]
+        self.remember([chunks[i] for i in left], self.ids_of(parts[left].ravel()), self.lengths[parts[left]].sum(axis=1))
 
     def ids_of(self, which: np.ndarray) -> np.ndarray:
         """The ids of known chunks, one after the other."""
@@ -124,19 +138,28 @@ class ChunkEncoder:
         self.filled += len(flat)
         self.place.update(zip(chunks, range(known, known + more), strict=True))
 
+    def places(self, chunks: list[str]) -> np.ndarray:
+        """Where each chunk is remembered, or -1."""
+        return np.fromiter(map(self.place.get, chunks, repeat(-1)), np.int64, len(chunks))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; ids of each text)."""
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         sizes = np.diff(split.offsets.to_numpy())
         coded = split.flatten().dictionary_encode()  # from here on each distinct chunk of the batch once
-        chunks = coded.dictionary.to_pylist()
-        new = [c for c in chunks if c not in self.place]
+        # No chunk holds a space, so that joining and splitting is the short way to Python's strings.
+        whole = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary.cast(pa.string()))
+        chunks = pc.binary_join(whole, " ")[0].as_py().split(" ") if len(coded.dictionary) else []
+        place = self.places(chunks)
+        new = np.flatnonzero(place < 0)
         if len(self.place) + len(new) > self.cfg.known_chunks:
             self.forget()
-            new = [c for c in chunks if c not in self.place]
-        if new:
-            self.learn(new)
-        place = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+            place = self.places(chunks)
+            new = np.flatnonzero(place < 0)
+        if len(new):
+            some = [chunks[i] for i in new.tolist()]
+            self.learn(some)
+            place[new] = self.places(some)
         self.uses[place] += np.bincount(coded.indices.to_numpy(), minlength=len(chunks))
         which = place[coded.indices.to_numpy()]
         lengths = self.lengths[which]
@@ -150,13 +173,19 @@ class ChunkEncoder:
         return out, per_text + 1
 
 
+@lru_cache(maxsize=1)
+def encoder_of(cfg: TokenConfig) -> ChunkEncoder:
+    """The encoder of this Python worker, which its next tasks use too."""
+    return ChunkEncoder(cfg)
+
+
 def write_shards(docs: DataFrame, folder: str, cfg: TokenConfig = TokenConfig()) -> DataFrame:
     """Writes (doc_id, text) as shard files into folder; returns (part, file, n_docs, n_ids, n_bytes) of each file."""
     spark = docs.sparkSession
     short_batches(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, encoder = TaskContext.get().partitionId(), 0, ChunkEncoder(cfg)
+        part, number, encoder = TaskContext.get().partitionId(), 0, encoder_of(cfg)
         ids: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
         names: list[int | None] = []
@@ -180,23 +209,13 @@ def write_shards(docs: DataFrame, folder: str, cfg: TokenConfig = TokenConfig())
             held.clear()
             return row
 
-        for b in batches:
-            texts = b.column("text").fill_null("")
-            sizes = pc.binary_length(texts).to_pylist()
-            doc_ids = b.column("doc_id").to_pylist()
-            first = 0
-            while first < len(texts):  # a few long texts are as much as many short ones
-                last, size = first, 0
-                while last < len(texts) and (last == first or size + sizes[last] < 4 << 20):
-                    size += sizes[last]
-                    last += 1
-                got, n = encoder.encode(texts.slice(first, last - first))
-                ids.append(got), lengths.append(n), names.extend(doc_ids[first:last])
-                first = last
-                if sum(map(len, ids)) >= cfg.segment_ids:
-                    segment()
-                    if len(held) >= cfg.file_segments:
-                        yield file()
+        for doc_ids, texts in _portions(batches, cfg.portion_bytes):
+            got, n = encoder.encode(texts)
+            ids.append(got), lengths.append(n), names.extend(doc_ids)
+            if sum(map(len, ids)) >= cfg.segment_ids:
+                segment()
+                if len(held) >= cfg.file_segments:
+                    yield file()
         segment()
         if held:
             yield file()
@@ -207,6 +226,30 @@ def write_shards(docs: DataFrame, folder: str, cfg: TokenConfig = TokenConfig())
     return stored(written, "token-manifest")
 
 
+def _portions(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[int | None], pa.Array]]:
+    """Rows again in portions of at most so many bytes of text, one row at least: large ones repeat fewer chunks."""
+    names: list[int | None] = []
+    held: list[pa.Array] = []
+    size = 0
+    for b in batches:
+        texts = b.column("text").cast(pa.large_string()).fill_null("")
+        doc_ids, ends = b.column("doc_id").to_pylist(), np.cumsum(pc.binary_length(texts).to_numpy())
+        first = 0
+        while first < len(texts):
+            before = int(ends[first - 1]) if first else 0
+            last = max(int(np.searchsorted(ends, before + most - size, "right")), first + (not held))
+            if last > first:
+                held.append(texts.slice(first, last - first))
+                names += doc_ids[first:last]
+                size += int(ends[last - 1]) - before
+                first = last
+            if first < len(texts):
+                yield names, pa.concat_arrays(held)
+                names, held, size = [], [], 0
+    if held:
+        yield names, pa.concat_arrays(held)
+
+
 def _typed(b: pa.RecordBatch) -> pa.RecordBatch:
     return b.cast(pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
