@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates, so that questions with changed numbers or names are found too.
 
 Texts become sequences of tokens in which numbers, names and units are typed
-placeholders. Windows of template tokens of documents are hash-joined with those of the
+placeholders; a run of name words is one. Only texts that hold a pair of plain words
+from some window of the benchmark, its anchor, are looked at that closely. Windows of template tokens of documents are hash-joined with those of the
 benchmark; each alignment that shares a window is then compared token by token over the
 whole item. Placeholders must be filled consistently: one value of the item always
 stands for one value of the document; different values may become equal. Whether an
@@ -22,7 +23,13 @@ from assayline.llm.shared import stored
 from assayline.sources.tables import ship, table
 
 #: Words that count as units after a number or alone.
-UNITS = ("%", "$", "€", "£", "°", "km", "m", "cm", "mm", "kg", "g", "mg", "lb", "lbs", "oz", "mile", "miles", "meter", "meters", "metre", "metres", "foot", "feet", "inch", "inches", "litre", "litres", "liter", "liters", "ml", "hour", "hours", "minute", "minutes", "second", "seconds", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "cent", "cents", "euro", "euros", "pound", "pounds", "degree", "degrees", "mph", "kmh", "percent")
+UNITS = (
+    "%", "$", "€", "£", "°", "km", "m", "cm", "mm", "kg", "g", "mg", "lb", "lbs", "oz", "mile", "miles", "meter",
+    "meters", "metre", "metres", "foot", "feet", "inch", "inches", "litre", "litres", "liter", "liters", "ml", "hour",
+    "hours", "minute", "minutes", "second", "seconds", "day", "days", "week", "weeks", "month", "months", "year",
+    "years", "dollar", "dollars", "cent", "cents", "euro", "euros", "pound", "pounds", "degree", "degrees", "mph",
+    "kmh", "percent",
+)
 
 NUMBER, NAME, UNIT = "\u0002#", "\u0002@", "\u0002u"
 _NAME_MARK = "\u0001"
@@ -41,10 +48,14 @@ class TemplateConfig:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case tokens; a capitalised word that does not begin a sentence or line carries a mark."""
-    clean = F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0001\u0002]", " ")
-    named = F.regexp_replace(clean, r"(?<=[\p{L}\p{N},;:)'\"’] {1,3})(\p{Lu}\p{Ll}+)", _NAME_MARK + "$1")
-    return F.regexp_extract_all(F.lower(named), F.lit(_NAME_MARK + r"?\p{L}+|\p{N}+(?:[.,]\p{N}+)*|[%$€£°]"), F.lit(0))
+    """Lower-case tokens; a capitalised word that does not begin a sentence or line carries a mark, and a run of such
+    words is one token, so that names of one and of several words fill the same slot."""
+    text = F.coalesce(text, F.lit(""))
+    clean = F.when(text.contains("\u0001") | text.contains("\u0002"), F.regexp_replace(text, "[\u0001\u0002]", " ")).otherwise(text)
+    named = F.regexp_replace(clean, r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;:)'\"’] {1,3})", _NAME_MARK)
+    name = _NAME_MARK + r"\p{L}++(?: {1,3}" + _NAME_MARK + r"\p{L}++)*+"
+    found = F.regexp_extract_all(F.lower(named), F.lit(name + r"|\p{L}++|\p{N}++(?:[.,]\p{N}++)*+|[%$€£°]"), F.lit(0))
+    return F.transform(found, lambda t: F.when(t.contains("  "), F.regexp_replace(t, " +", " ")).otherwise(t))
 
 
 def template(found: Column) -> Column:
@@ -61,12 +72,44 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _bare(token: Column) -> Column:
-    """The token without a name's mark."""
-    return F.ltrim(token, F.lit(_NAME_MARK))
+    """The token without a name's marks."""
+    return F.translate(token, _NAME_MARK, "")
+
+
+def _single(found: Column) -> Column:
+    """Tokens without marks, names word by word."""
+    return F.when(F.size(found) > 0, F.split(F.array_join(F.transform(found, _bare), " "), " ")).otherwise(F.array().cast("array<string>"))
+
+
+def _anchor(own: Column, typed: Column) -> Column:
+    """The hash of the longest pair of adjacent plain words of a window (own: its bare tokens, typed: its templates), else
+    of its longest plain word, else null: a text without it can't hold the window."""
+    plain = F.zip_with(own, typed, lambda w, t: F.when((w == t) & w.rlike(r"^\p{L}+$"), w))
+    one = F.filter(plain, lambda w: w.isNotNull())
+    two = F.filter(F.transform(plain, lambda w, i: F.struct(w.alias("a"), F.get(plain, i + 1).alias("b"))), lambda p: p["a"].isNotNull() & p["b"].isNotNull())
+    best = F.array_max(F.transform(two, lambda p: F.struct((F.length(p["a"]) + F.length(p["b"])).alias("n"), F.xxhash64(F.lit(2), p["a"], p["b"]).alias("h"))))["h"]
+    return F.coalesce(best, F.array_max(F.transform(one, lambda w: F.struct(F.length(w).alias("n"), F.xxhash64(F.lit(1), w).alias("h"))))["h"])
+
+
+def _candidates(rows: DataFrame, words: DataFrame, cfg: TemplateConfig) -> DataFrame:
+    """Those of rows whose text holds the anchor of some window; all, where a window has no plain word to look for."""
+    it, tt = F.transform("it", _bare), F.when(F.col("short"), F.col("it")).otherwise(F.col("tt"))
+    k = F.when(F.col("short"), F.size("it")).otherwise(F.least(F.size("it"), F.lit(cfg.window)))
+    parts = words.select(it.alias("own"), tt.alias("typed"), k.alias("k"), F.explode(F.sequence(F.lit(1), F.size("it") - k + 1)).alias("i"))
+    anchors = stored(parts.select(_anchor(F.slice("own", F.col("i"), F.col("k")), F.slice("typed", F.col("i"), F.col("k"))).alias("h")).distinct(), "anchors")
+    if anchors.where("h is null").take(1):
+        return rows
+    if anchors.count() <= cfg.broadcast_windows:
+        anchors = F.broadcast(anchors)
+    letters = F.split(F.lower("text"), r"\P{L}+")
+    pairs = _bound(letters, lambda ws: F.concat(F.transform(ws, lambda w, i: F.xxhash64(F.lit(2), w, F.get(ws, i + 1))), F.transform(ws, lambda w: F.xxhash64(F.lit(1), w))))
+    held = rows.select("doc_id", "text_key", F.explode(pairs).alias("h")).join(anchors, "h", "left_semi").select("doc_id", "text_key").distinct()
+    held = stored(held, "candidates")
+    return rows.join(F.broadcast(held) if held.count() <= cfg.broadcast_windows else held, ["doc_id", "text_key"], "left_semi")
 
 
 def _windows(df: DataFrame, keys: list[str], found: Column, sizes: list[int], exact_sizes: list[int]) -> DataFrame:
-    """keys, pos and hash h of each window over tokens: of templates in sizes, of the bare words in exact_sizes.
+    """keys, pos and hash h of each window over tokens: of templates in sizes, of single words in exact_sizes.
 
     A template window that begins with a name is there twice, with its placeholder and with the bare word.
     """
@@ -89,7 +132,7 @@ def _windows(df: DataFrame, keys: list[str], found: Column, sizes: list[int], ex
         th = F.transform(template(t), lambda x: F.xxhash64(x))
         names = F.transform(t, lambda x: F.when(x.startswith(_NAME_MARK), F.xxhash64(_bare(x))))
         typed = [_bound(F.struct(th.alias("th"), names.alias("names")), lambda b: F.flatten(F.array(*(of_size(b["th"], b["names"], k) for k in sizes))))] if sizes else []
-        plain = [_bound(F.transform(t, lambda x: F.xxhash64(_bare(x))), lambda wh: F.flatten(F.array(*(of_words(wh, k) for k in exact_sizes))))] if exact_sizes else []
+        plain = [_bound(F.transform(_single(t), lambda x: F.xxhash64(x)), lambda wh: F.flatten(F.array(*(of_words(wh, k) for k in exact_sizes))))] if exact_sizes else []
         return F.concat(*typed, *plain)
 
     return df.select(*keys, F.explode(_bound(found, of_tokens)).alias("w")).select(*keys, "w.pos", "w.h")
@@ -100,13 +143,18 @@ def contaminated(docs: DataFrame, items: DataFrame, cfg: TemplateConfig = Templa
 
     matched: item tokens that agree in the best alignment; slots: placeholders among them, changed: those whose value
     differs. kind: 'exact' where no value differs, else 'reparameterised'. Items of under min_tokens tokens are only found
-    exactly. Rows without id or text, and items without a token, take no part. Repeated rows give one result. Empty
-    tables give no rows.
+    exactly. Of alignments of one document and item the one with most agreeing tokens counts, then fewest changes. Rows
+    without id or text, and items without a token, take no part. Repeated rows give one result, and texts under one
+    doc_id count together. Empty tables give no rows.
     """
     spark = docs.sparkSession
     ship(spark)
-    words = items.where("item_id is not null and text is not null").select("item_id", tokens(F.col("text")).alias("it")).distinct()
-    words = words.where(F.size("it") > 0).withColumn("tt", template(F.col("it"))).withColumn("short", F.size("it") < cfg.min_tokens)
+    words = items.where("item_id is not null and text is not null").select("item_id", "text", tokens(F.col("text")).alias("it"))
+    # A name of several words that begins an item is one token where the item follows other words.
+    inside = words.where(F.get("it", F.lit(1)).startswith(_NAME_MARK)).select("item_id", "text", tokens(F.concat(F.lit(", "), "text")).alias("it"))
+    words = words.where(F.size("it") > 0).union(inside).drop("text")
+    words = words.withColumn("short", F.size("it") < cfg.min_tokens).withColumn("it", F.when(F.col("short"), _single(F.col("it"))).otherwise(F.col("it")))
+    words = words.distinct().withColumn("tt", template(F.col("it")))
     words = stored(words.withColumn("item_key", F.xxhash64("item_id", "it")), "benchmark-items")
     kinds = words.select("short", F.when(F.col("short"), F.size("it")).otherwise(F.least(F.size("it"), F.lit(cfg.window))).alias("k")).distinct().collect()  # at most window + min_tokens values
     sizes, exact_sizes = (sorted(r["k"] for r in kinds if r["short"] == short) for short in (False, True))
@@ -120,22 +168,23 @@ def contaminated(docs: DataFrame, items: DataFrame, cfg: TemplateConfig = Templa
     per_item = stored(per_item.withColumnRenamed("pos", "item_pos").distinct(), "benchmark-windows")
     bounded = per_item.count() <= cfg.broadcast_windows
 
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    seen = _windows(rows.withColumn("text_key", F.xxhash64("text")), ["doc_id", "text_key"], tokens(F.col("text")), sizes, exact_sizes).join(F.broadcast(per_item) if bounded else per_item, "h")
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    texts = _candidates(rows, words, cfg).select("doc_id", "text_key", tokens(F.col("text")).alias("dt"))
+    texts = stored(texts.dropDuplicates(["doc_id", "text_key"]).withColumn("dw", _single(F.col("dt"))), "candidate-tokens")
+    seen = _windows(texts, ["doc_id", "text_key"], F.col("dt"), sizes, exact_sizes).join(F.broadcast(per_item) if bounded else per_item, "h")
     shift = F.col("pos") - F.col("item_pos")
     seen = seen.select("doc_id", "text_key", "item_key", shift.alias("shift"), F.when(~F.col("short"), shift).alias("place"))
     at = stored(seen.groupBy("doc_id", "text_key", "item_key", "place").agg(F.min("shift").alias("shift")).drop("place"), "alignments")  # one of an exact sequence's places is enough
 
-    hit = at.select("doc_id", "text_key").distinct()
-    texts = rows.withColumn("text_key", F.xxhash64("text")).join(hit, ["doc_id", "text_key"], "left_semi").distinct()
-    texts = stored(texts.select("doc_id", "text_key", tokens(F.col("text")).alias("dt")), "hit-texts")
     both = at.join(texts, ["doc_id", "text_key"]).join(words.select("item_key", "item_id", "it", "tt", "short"), "item_key")
     n = F.size("it")
 
     def facing(i: Column) -> Column:
-        own = F.when((F.col("shift") + i >= 0) & (F.col("shift") + i < F.size("dt")), F.get("dt", F.col("shift") + i))
+        at_ = F.col("shift") + i
+        word = F.when((at_ >= 0) & (at_ < F.size("dw")), F.get("dw", at_))
+        own = F.when((at_ >= 0) & (at_ < F.size("dt")), F.get("dt", at_))
         by_word = F.when(_bare(own) == _bare(F.get("it", i)), F.get("it", i))
-        return F.when(F.col("short"), by_word).when(i == 0, F.coalesce(by_word, own)).otherwise(own)
+        return F.when(F.col("short"), F.when(word == F.get("it", i), word)).when(i == 0, F.coalesce(by_word, own)).otherwise(own)
 
     aligned = F.transform(F.sequence(F.lit(0), n - 1), facing)
     both = stored(both.select("doc_id", "item_id", "it", "tt", "short", aligned.alias("seen")), "aligned").withColumn("seen_t", template(F.col("seen")))

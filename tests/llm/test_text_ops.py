@@ -85,6 +85,13 @@ def test_templates(spark):
         ("Name the largest planet", "Name the smallest planet", None),
         ("Add 2 and 3", "Add 2 and 4", None),
         ("?!", "?!", None),
+        ("the cats ate", "Then the cats ate.", "exact"),
+        ("Anna Maria", "He met Anna Maria there", "exact"),
+        ("At noon the friends of Anna Maria left for the old town by train", "At noon the friends of Paul left for the old town by train", "reparameterised"),
+        ("At noon the friends of Paul left for the old town by train", "We know: At noon the friends of Anna Maria Berg left for the old town by train", "reparameterised"),
+        ("Anna Maria went to the old town by train", "They say Anna Maria went to the old town by train", "exact"),
+        ("Anna Maria went to the old town by train", "They say Paul went to the old town by train", "reparameterised"),
+        ("12 34 56 78 90", "Numbers: 1 2 3 4 5", "reparameterised"),
     ],
 )
 def test_template_slots_and_short_items(spark, item, text, kind):
@@ -93,6 +100,75 @@ def test_template_slots_and_short_items(spark, item, text, kind):
     assert [(r["doc_id"], r["kind"]) for r in decontaminate.contaminated(docs, items).collect()] == ([(1, kind)] if kind else [])
 
 
+def contaminated_by_brute_force(docs, items, window=8, min_tokens=5, cover=0.6):
+    """Every alignment of every item with every document, token by token."""
+    import regex
+
+    units = set(decontaminate.UNITS)
+
+    def tokens(text):
+        text = regex.sub(r"(?<=[\p{L}\p{N},;:)'\"’] {1,3})(?=\p{Lu}\p{Ll})", "\1", regex.sub("[\1\2]", " ", text or "")).lower()
+        return [regex.sub(" +", " ", t) for t in regex.findall(r"\x01\p{L}++(?: {1,3}\x01\p{L}++)*+|\p{L}++|\p{N}++(?:[.,]\p{N}++)*+|[%$€£°]", text)]
+
+    bare = lambda t: t.replace("\1", "")
+    kind = lambda t: "@" if t[0] == "\1" else "#" if regex.match(r"\p{N}", t) else "u" if t in units else t
+    out = {}
+    for item_id, item in items:
+        if item_id is None or item is None:
+            continue
+        forms = [tokens(item)]
+        if len(forms[0]) > 1 and forms[0][1][0] == "\1":
+            forms.append(tokens(", " + item))
+        for it in forms:
+            short = len(it) < min_tokens
+            words = " ".join(map(bare, it)).split()
+            for doc_id, text in docs:
+                if doc_id is None or text is None or not it:
+                    continue
+                dt = tokens(text)
+                dw = " ".join(map(bare, dt)).split()
+                if short:
+                    n = len(words)
+                    if any(dw[i : i + n] == words for i in range(len(dw) - n + 1)):
+                        slots = sum(kind(t) in ("#", "u") for t in words)
+                        out.setdefault((doc_id, item_id), []).append((n, 0, slots, n))
+                    continue
+                n, k = len(it), min(len(it), window)
+                for shift in range(-n, len(dt)):
+                    seen = [dt[shift + i] if 0 <= shift + i < len(dt) else None for i in range(n)]
+                    same = [s is not None and (kind(s) == kind(t) or i == 0 and bare(s) == bare(t)) for i, (s, t) in enumerate(zip(seen, it, strict=True))]
+                    loose = [same[i] or j > 0 and i == j and seen[i] is not None and seen[i][0] == "\1" and bare(seen[i]) == it[i] for j in (0,) for i in range(n)]
+                    if not any(all(loose[i : i + k]) for i in range(n - k + 1)):
+                        continue
+                    fills = {(kind(t), t, t if i == 0 and bare(s) == bare(t) else s) for i, (s, t, ok) in enumerate(zip(seen, it, same, strict=True)) if ok and kind(t) in ("@", "#", "u")}
+                    slots = [(t, t if i == 0 and bare(s) == bare(t) else s) for i, (s, t, ok) in enumerate(zip(seen, it, same, strict=True)) if ok and kind(t) in ("@", "#", "u")]
+                    if len({f[:2] for f in fills}) == len(fills) and sum(same) >= cover * n:
+                        out.setdefault((doc_id, item_id), []).append((sum(same), -sum(a != b for a, b in slots), len(slots), n))
+    return {key: max(v) for key, v in out.items()}
+
+
+def test_templates_against_brute_force(spark):
+    rng = random.Random(11)
+    plain, names, units = [f"word{chr(97 + i)}" for i in range(14)], ["Anna", "Bob", "Carla", "Anna Maria"], ["km", "hours", "%"]
+
+    def said(n):
+        return " ".join(rng.choice(plain) if rng.random() < 0.6 else rng.choice(names) if rng.random() < 0.5 else rng.choice([str(rng.randint(1, 4)), rng.choice(units)]) for _ in range(n))
+
+    items = [(i, said(rng.randint(1, 14)) + rng.choice(["", ".", "?"])) for i in range(30)] + [(30, None), (31, ""), (None, "worda wordb"), (3, "x y z")]
+    docs = []
+    for i in range(60):
+        parts = [said(rng.randint(0, 6))]
+        for _ in range(rng.randint(0, 2)):
+            other = rng.choice(items[:30])[1]
+            swap = {n: rng.choice(names) for n in names[:3]} | {str(k): str(rng.randint(1, 9)) for k in range(1, 5)}
+            parts += [" ".join(swap.get(w, w) if rng.random() < 0.9 else w for w in other.split(" ")), said(rng.randint(0, 5))]
+        docs.append((i, rng.choice([" ", ". ", "\n", ", "]).join(parts)))
+    docs += [(60, None), (61, ""), (None, items[0][1]), (5, docs[5][1]), (5, docs[6][1])]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["matched"], -r["changed"], r["slots"], r["item_tokens"]) for r in got} == contaminated_by_brute_force(docs, items)
+    assert len(got) > 60
+
+
 def test_mixing_reaches_the_targets(spark):
     rng = random.Random(4)
     rows = [(i, "w " * rng.randint(1, 900), "big" if rng.random() < 0.6 else f"s{i % 3}", rng.choice(["en", "en", "de", None])) for i in range(900)]
