@@ -17,7 +17,7 @@ def start(dim: int, hidden: int, seed: int) -> Weights:
         w[f"c{d}"][hidden : 2 * hidden] = 1.0  # forget gates start open
     w["o"] = rng.standard_normal((2 * hidden + dim, 1)) / np.sqrt(2 * hidden + dim)
     w["b"] = np.zeros(1)
-    return w
+    return {k: v.astype(np.float32) for k, v in w.items()}
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -28,9 +28,9 @@ def _run(x: np.ndarray, mask: np.ndarray, w: Weights, d: str) -> tuple[np.ndarra
     """States (T, B, H) of one direction over x (T, B, D); where mask is 0 the state stays."""
     steps, batch, _ = x.shape
     size = w[f"h{d}"].shape[0]
-    h, c = np.zeros((batch, size)), np.zeros((batch, size))
+    h, c = np.zeros((batch, size), x.dtype), np.zeros((batch, size), x.dtype)
     ahead = x @ w[f"x{d}"] + w[f"c{d}"]
-    out, kept = np.zeros((steps, batch, size)), []
+    out, kept = np.zeros((steps, batch, size), x.dtype), []
     for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
         z = ahead[t] + h @ w[f"h{d}"]
         gates = _sigmoid(z[:, : 3 * size])
@@ -58,13 +58,14 @@ def gradients(x: np.ndarray, y: np.ndarray, mask: np.ndarray, w: Weights) -> tup
     n = max(mask.sum(), 1)
     loss = float(-(mask * (y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9))).sum() / n)
     delta = ((p - y) * mask / n)[:, :, None]
-    g: Weights = {"o": np.einsum("tbk,tbz->kz", top, delta), "b": np.array([delta.sum()])}
+    flat = lambda a: a.reshape(-1, a.shape[2])
+    g: Weights = {"o": flat(top).T @ flat(delta), "b": np.array([delta.sum()])}
     back = delta * w["o"][:, 0]
     size = w["hf"].shape[0]
     for d, kept, dh_out in (("f", kf, back[:, :, :size]), ("b", kb, back[:, :, size : 2 * size])):
-        dz_all = np.zeros((x.shape[0], x.shape[1], 4 * size))
+        dz_all = np.zeros((x.shape[0], x.shape[1], 4 * size), x.dtype)
         gh = np.zeros_like(w[f"h{d}"])
-        dh, dc = np.zeros((x.shape[1], size)), np.zeros((x.shape[1], size))
+        dh, dc = np.zeros((x.shape[1], size), x.dtype), np.zeros((x.shape[1], size), x.dtype)
         for t, h, c, i, f, o, gg, tanh, m in reversed(kept):
             dh = dh + dh_out[t]
             live = m * dh
@@ -75,7 +76,7 @@ def gradients(x: np.ndarray, y: np.ndarray, mask: np.ndarray, w: Weights) -> tup
             dh = (1 - m) * dh + dz @ w[f"h{d}"].T
             dc = (1 - m) * dc + dnew * f
         g[f"h{d}"] = gh
-        g[f"x{d}"] = np.einsum("tbd,tbz->dz", x, dz_all, optimize=True)
+        g[f"x{d}"] = flat(x).T @ flat(dz_all)
         g[f"c{d}"] = dz_all.sum(axis=(0, 1))
     return loss, g
 
@@ -83,7 +84,7 @@ def gradients(x: np.ndarray, y: np.ndarray, mask: np.ndarray, w: Weights) -> tup
 def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(T, B, ...) with zeros after each row's end, and the mask (T, B)."""
     steps = max(map(len, rows))
-    x, mask = np.zeros((steps, len(rows), *rows[0].shape[1:])), np.zeros((steps, len(rows)))
+    x, mask = np.zeros((steps, len(rows), *rows[0].shape[1:]), np.float32), np.zeros((steps, len(rows)), np.float32)
     for k, r in enumerate(rows):
         x[: len(r), k], mask[: len(r), k] = r, 1
     return x, mask

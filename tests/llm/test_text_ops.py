@@ -8,6 +8,7 @@ import pytest
 
 from assayline.llm import ann, decontaminate, extract, linededup, mixing
 from assayline.llm.htmlblocks import blocks
+from tests.llm.shapes import SHAPES
 
 
 def removed_by_brute_force(rows, percent=80):
@@ -201,12 +202,28 @@ def test_extraction(spark):
     page = lambda i: f"<html><body><nav><ul><li><a>Menu {i}</a></li></ul></nav><article><h1>Head {i}</h1><p>Text number {i} goes here, with words.</p><p>And more of it.</p></article><footer>Foot {i}</footer></body></html>"
     rows = [(i, f"u{i}", page(i)) for i in range(40)] + [(100, None, None), (101, "e", ""), (102, "c", PAGE), (5, "u5", page(5)), (103, "long", "<article>" + "<p>word word</p>" * 20_000 + "</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    cfg = extract.ExtractConfig(epochs=6)
+    cfg = extract.ExtractConfig()
     got = {r["page_id"]: r["main_text"] for r in extract.extract(df, extract.fit(df, cfg), cfg).collect()}
     assert got[7] == "Head 7\nText number 7 goes here, with words.\nAnd more of it." and got[100] == got[101] == ""
     assert got[102] == "A title & more\nFirst part of it.\nSecond part, longer than the first." and got[103].count("\n") == 19_999
 
 
+def test_extraction_of_many_shapes(spark):
+    import os
+
+    data = "/root/testdata/sf0.01"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables here")
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    weights = extract.fit(pages)
+    shapes = spark.createDataFrame([(name, html) for name, (html, _) in SHAPES.items()], "page_id string, html string")
+    got = {r["page_id"]: r["main_text"] for r in extract.extract(shapes, weights).collect()}
+    wrong = [name for name, (_, text) in SHAPES.items() if got[name] != text]
+    assert len(wrong) <= 2, wrong  # 31 shapes, none of them in the sample
+    for r in extract.extract(pages, weights).collect():
+        assert r["main_text"] == "\n".join(b.text for b in blocks(r["html"] or "") if any(n[0] == "article" for n in b.path))
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(0)
     v = rng.standard_normal((500, 24))
