@@ -39,8 +39,8 @@ class TokenConfig:
     end_id: int = 2
     segment_ids: int = 1 << 20
     file_segments: int = 16
-    known_chunks: int = 1_000_000
-    portion_bytes: int = 16 << 20
+    known_chunks: int = 700_000
+    portion_bytes: int = 8 << 20
 
 
 #: Stands between chunks that go through the tokenizer together; a chunk that holds it goes alone.
