@@ -90,25 +90,27 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def train(rows: list[np.ndarray], labels: list[np.ndarray], hidden: int, epochs: int, rate: float, seed: int, batch: int = 32) -> Weights:
-    """Adam over batches of sequences of similar length."""
+def train(rows: list[np.ndarray], labels: list[np.ndarray], hidden: int, epochs: int, rate: float, seed: int, steps: int = 0, batch: int = 32) -> Weights:
+    """Adam over batches of sequences of similar length: so many epochs, and at least so many steps, ever smaller ones."""
     w = start(rows[0].shape[1], hidden, seed)
     m1, m2 = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
     order = np.argsort([len(r) for r in rows], kind="stable")
     groups = [order[i : i + batch] for i in range(0, len(order), batch)]
     rng, step = np.random.default_rng(seed), 0
-    for _ in range(epochs):
+    total = max(epochs, -(-steps // len(groups))) * len(groups)
+    for _ in range(total // len(groups)):
         for k in rng.permutation(len(groups)):
             x, mask = padded([rows[i] for i in groups[k]])
             y, _ = padded([labels[i] for i in groups[k]])
             _, g = gradients(x, y, mask, w)
             norm = np.sqrt(sum(float((v**2).sum()) for v in g.values()))
             step += 1
+            slower = rate * (1 - 0.95 * step / total)
             for name, v in g.items():
                 v = v * min(1.0, 2.0 / (norm + 1e-9))
                 m1[name] = 0.9 * m1[name] + 0.1 * v
                 m2[name] = 0.99 * m2[name] + 0.01 * v * v
-                w[name] = w[name] - rate * (m1[name] / (1 - 0.9**step)) / (np.sqrt(m2[name] / (1 - 0.99**step)) + 1e-8)
+                w[name] = w[name] - slower * (m1[name] / (1 - 0.9**step)) / (np.sqrt(m2[name] / (1 - 0.99**step)) + 1e-8)
     return w
 
 

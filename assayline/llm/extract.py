@@ -42,7 +42,8 @@ OTHER = frozenset(
 @dataclass(frozen=True)
 class ExtractConfig:
     """sample: pages learnt from; sample_chars: longer pages are not sampled. copies: renamed versions of each.
-    path_size, word_size: lengths of the hashed vectors. hidden: states a direction."""
+    path_size, word_size: lengths of the hashed vectors. hidden: states a direction. epochs: rounds over the sample,
+    more where it is so small that they make fewer than steps updates."""
 
     sample: int = 128
     sample_chars: int = 60_000
@@ -51,6 +52,7 @@ class ExtractConfig:
     word_size: int = 16
     hidden: int = 16
     epochs: int = 12
+    steps: int = 480
     rate: float = 0.02
     seed: int = 5
 
@@ -312,7 +314,7 @@ def learn(pages: list[list[Block]], cfg: ExtractConfig) -> bilstm.Weights:
             q, y = maker.page(p)
             seen.append(q)
             labels.append(np.array(y, float))
-    return bilstm.train(Vectors(cfg).rows(seen), labels, cfg.hidden, cfg.epochs, cfg.rate, cfg.seed)
+    return bilstm.train(Vectors(cfg).rows(seen), labels, cfg.hidden, cfg.epochs, cfg.rate, cfg.seed, cfg.steps)
 
 
 def fit(pages: DataFrame, cfg: ExtractConfig = ExtractConfig()) -> bilstm.Weights:

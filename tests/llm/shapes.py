@@ -51,4 +51,6 @@ SHAPES: dict[str, tuple[str, str]] = {
     "menus of divs": (page(f'<div class="content">{TEXT}</div>', top='<div class="menu"><a href="/">Home</a><a href="/n">News</a></div><div class="breadcrumb"><a href="/">Home</a> / <a href="/n">News</a></div>', end='<div class="footer">Imprint</div>'), ALL),
     "related and share": (page(f'<article>{TEXT}</article><div class="share"><a href="/s">Share</a><a href="/t">Tweet</a></div><div class="related"><h3>Related</h3><ul><li><a href="/1">Ten old mills</a></li></ul></div>'), ALL),
     "scripts and styles": (page(f"<article><script>var a='</p>';</script><p>{P1}</p><style>p{{}}</style><p>{P2}</p><noscript>Turn it on</noscript><p>{P3}</p></article>"), ALL),
+    "very long": ("<article>" + "<p>word word</p>" * 20_000 + "</article>", "\n".join(["word word"] * 20_000)),
+    "long and real": (page(f"<article>{TEXT * 300}</article>"), "\n".join([ALL] * 300)),
 }
