@@ -37,6 +37,8 @@ from assayline.sources.tables import ship, table
 VERSION = b"WARC/1.1\r\n"
 MEMBER = b"\x1f\x8b\x08"
 END = b"\r\n\r\n"
+#: Compressed bytes inflated at once.
+PIECE = 1 << 16
 #: A record's date where the row has none; archives must not depend on when they are written.
 DATE = "1970-01-01T00:00:00Z"
 
@@ -171,43 +173,51 @@ def _unit(data: bytes, at: int) -> tuple[list[Record | Gap], int, str]:
         except ValueError as e:
             return [], at, str(e)
         return [r], end, ""
-    rest, d, wrong, corrupt = memoryview(data)[at:], zlib.decompressobj(31), "", False
+    d, wrong, corrupt, out, stop = zlib.decompressobj(31), "", False, [], at
     try:
-        inner = d.decompress(rest)
+        while stop < len(data) and not d.eof:  # piece by piece, as what follows the member is copied each time
+            out.append(d.decompress(data[stop : stop + PIECE]))
+            stop = min(stop + PIECE, len(data))
+        inner = b"".join(out)
         if not d.eof:
             wrong = "member: cut short"
     except zlib.error as e:
         wrong, corrupt, inner = f"member: {e}", True, _inflated(data, at)
+    stop -= len(d.unused_data)
     parts = list(_run(inner, corrupt))
     if not any(isinstance(p, Record) for p, _ in parts):
         if wrong or parts:
             return [], at, wrong or parts[0][0].reason
-        return [], len(data) - len(d.unused_data), ""
+        return [], stop, ""
     if wrong:
         while isinstance(parts[-1][0], Gap):
             parts.pop()  # it is part of the rest
         d = zlib.decompressobj(31)
-        d.decompress(rest, parts[-1][1] - 1)  # with its last byte, the member's checksum might fail
+        d.decompress(memoryview(data)[at:], parts[-1][1] - 1)  # with its last byte, the member's checksum might fail
         end = len(data) - len(d.unconsumed_tail)
     else:
-        end = len(data) - len(d.unused_data)
+        end = stop
     return [Record(p.headers, p.block, at) if isinstance(p, Record) else Gap(at, end, f"{p.reason}; inflated bytes {p.start} to {p.end}") for p, _ in parts], end, wrong
 
 
 def read_archive(data: bytes) -> Iterator[Record | Gap]:
     """All records that pass their checks, in order, and the gaps between them."""
     at = 0
+    ahead = {MEMBER: -1, b"WARC/1.": -1}  # the next place of each, as far as it is known
     while at < len(data):
         found, end, wrong = _unit(data, at)
         yield from found
         if wrong:
             probe = max(end - 1, at)
             while True:  # the next place from which a record can be read whole
-                places = [p for p in (data.find(MEMBER, probe + 1), data.find(b"WARC/1.", probe + 1)) if p >= 0]
-                if not places:
+                for mark, place in ahead.items():
+                    if place <= probe:
+                        place = data.find(mark, probe + 1)
+                        ahead[mark] = place if place >= 0 else len(data)
+                probe = min(ahead.values())
+                if probe == len(data):
                     yield Gap(end, len(data), wrong)
                     return
-                probe = min(places)
                 found, _, more = _unit(data, probe)
                 if found or not more:
                     break

@@ -129,3 +129,30 @@ def test_salvage_within_a_member():
         bad = bytearray(one)
         bad[-6] ^= 1  # the checksum alone
         assert read(bytes(bad))[0] == ["0", "1", "2"]
+
+
+def test_reading_time_grows_with_the_file():
+    import time
+
+    def taken(n):
+        units = []
+        for i in range(n):
+            c = zlib.compressobj(6, zlib.DEFLATED, 31)
+            units.append(c.compress(warc.record(i, f"http://p/{i}", random.Random(i).randbytes(2000), "x", "response", None)) + c.flush())
+        data = b"".join(units)
+        began = time.process_time()
+        assert sum(isinstance(r, warc.Record) for r in warc.read_archive(data)) == n
+        return time.process_time() - began
+
+    taken(200)
+    assert taken(8000) < 12 * max(taken(2000), 0.05)  # 16 times, were it the square
+
+
+def test_warc_of_odd_tables(spark, tmp_path):
+    odd = spark.createDataFrame([(1, "http://h/" + "y" * 100_000, "<p>" + "long " * 300_000, "x"), (2, "v", None, "y")], "page_id long, url string, html string, record_type string")
+    folder = str(tmp_path / "odd")
+    warc.write_archives(odd, folder).count()
+    got = {r["page_id"]: r for r in warc.read_archives(spark, folder).collect()}
+    assert got[1]["payload_bytes"] == 1_500_003 and len(got[1]["url"]) == 100_009 and got[2]["payload_bytes"] == 0
+    empty = str(tmp_path / "empty")
+    assert warc.write_archives(odd.limit(0), empty).count() == 0
