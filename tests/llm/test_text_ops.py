@@ -300,6 +300,23 @@ def test_recall_on_the_table(spark):
     assert hits >= 0.98 * total, hits / total
 
 
+def test_mixing_to_given_weights(spark):
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randint(100, 900) + ("x = 1; " * 90 if i % 3 else ""), f"s{i % 4}", rng.choice(["en", "de", "fr"])) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    cfg = mixing.MixConfig(targets={"lang": {"en": 0.5, "de": 0.3}, "topic": {"code": 0.8}}, keep=0.3, strict=True)
+    got = mixing.weigh(df, cfg).toPandas()
+    kept = got.mix_tokens * got.mix_probability
+    for column, want in (("lang", {"en": 0.5, "de": 0.3, "fr": 0.2}), ("mix_topic", {"code": 0.8, "prose": 0.2})):
+        share = kept.groupby(got[column]).sum() / kept.sum()
+        assert all(abs(share[k] - x) < 0.001 for k, x in want.items()), share
+    assert abs(kept.sum() / got.mix_tokens.sum() - 0.3) < 0.001
+    apart = spark.createDataFrame([(1, "w", "a", "en"), (2, "w", "b", "de")], "doc_id long, text string, source string, lang string")
+    cfg = mixing.MixConfig(targets={"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "de": 0.9}}, strict=True)
+    with pytest.raises(ValueError):
+        mixing.weigh(apart, cfg)
+
+
 def test_mixing_sql_matches(spark):
     import os
 
