@@ -33,6 +33,8 @@ UNITS = (
 
 NUMBER, NAME, UNIT = "\u0002#", "\u0002@", "\u0002u"
 _NAME_MARK = "\u0001"
+#: Lengths of the runs of plain words that choose the texts to look at, tried in this order.
+ANCHORS = (4, 2, 1)
 
 
 @dataclass(frozen=True)
@@ -81,14 +83,17 @@ def _single(found: Column) -> Column:
     return F.when(F.size(found) > 0, F.split(F.array_join(F.transform(found, _bare), " "), " ")).otherwise(F.array().cast("array<string>"))
 
 
+def _grams(words: Column, n: int) -> Column:
+    """struct(n, size, h) of each run of n words, none of them null: its length in characters and its hash."""
+    runs = F.filter(F.transform(words, lambda w, i: F.slice(words, i + 1, n)), lambda r: (F.size(r) == n) & ~F.exists(r, lambda w: w.isNull()))
+    return F.transform(runs, lambda r: F.struct(F.lit(n).alias("n"), F.length(F.array_join(r, " ")).alias("size"), F.xxhash64(F.lit(n), r).alias("h")))
+
+
 def _anchor(own: Column, typed: Column) -> Column:
-    """The hash of the longest pair of adjacent plain words of a window (own: its bare tokens, typed: its templates), else
-    of its longest plain word, else null: a text without it can't hold the window."""
+    """struct(n, size, h) of the longest run of plain words of a window (own: its bare tokens, typed: its templates), of
+    one of ANCHORS lengths, or null: a text without that run can't hold the window."""
     plain = F.zip_with(own, typed, lambda w, t: F.when((w == t) & w.rlike(r"^\p{L}+$"), w))
-    one = F.filter(plain, lambda w: w.isNotNull())
-    two = F.filter(F.transform(plain, lambda w, i: F.struct(w.alias("a"), F.get(plain, i + 1).alias("b"))), lambda p: p["a"].isNotNull() & p["b"].isNotNull())
-    best = F.array_max(F.transform(two, lambda p: F.struct((F.length(p["a"]) + F.length(p["b"])).alias("n"), F.xxhash64(F.lit(2), p["a"], p["b"]).alias("h"))))["h"]
-    return F.coalesce(best, F.array_max(F.transform(one, lambda w: F.struct(F.length(w).alias("n"), F.xxhash64(F.lit(1), w).alias("h"))))["h"])
+    return F.coalesce(*(F.array_max(_grams(plain, n)) for n in ANCHORS))
 
 
 def _candidates(rows: DataFrame, words: DataFrame, cfg: TemplateConfig) -> DataFrame:
@@ -96,13 +101,20 @@ def _candidates(rows: DataFrame, words: DataFrame, cfg: TemplateConfig) -> DataF
     it, tt = F.transform("it", _bare), F.when(F.col("short"), F.col("it")).otherwise(F.col("tt"))
     k = F.when(F.col("short"), F.size("it")).otherwise(F.least(F.size("it"), F.lit(cfg.window)))
     parts = words.select(it.alias("own"), tt.alias("typed"), k.alias("k"), F.explode(F.sequence(F.lit(1), F.size("it") - k + 1)).alias("i"))
-    anchors = stored(parts.select(_anchor(F.slice("own", F.col("i"), F.col("k")), F.slice("typed", F.col("i"), F.col("k"))).alias("h")).distinct(), "anchors")
-    if anchors.where("h is null").take(1):
+    anchor = _anchor(F.slice("own", F.col("i"), F.col("k")), F.slice("typed", F.col("i"), F.col("k")))
+    anchors = stored(parts.select(anchor.alias("a")).select("a.n", "a.h").distinct(), "anchors")
+    lengths = sorted(r["n"] or 0 for r in anchors.select("n").distinct().collect())  # at most one more than ANCHORS
+    if 0 in lengths:
         return rows
+    anchors = anchors.select("h")
     if anchors.count() <= cfg.broadcast_windows:
         anchors = F.broadcast(anchors)
     letters = F.split(F.lower("text"), r"\P{L}+")
-    pairs = _bound(letters, lambda ws: F.concat(F.transform(ws, lambda w, i: F.xxhash64(F.lit(2), w, F.get(ws, i + 1))), F.transform(ws, lambda w: F.xxhash64(F.lit(1), w))))
+
+    def hashes(ws: Column, n: int) -> Column:
+        return F.transform(ws, lambda w, i: F.xxhash64(F.lit(n), F.slice(ws, i + 1, n)))
+
+    pairs = _bound(letters, lambda ws: F.flatten(F.array(*(hashes(ws, n) for n in lengths))))
     held = rows.select("doc_id", "text_key", F.explode(pairs).alias("h")).join(anchors, "h", "left_semi").select("doc_id", "text_key").distinct()
     held = stored(held, "candidates")
     return rows.join(F.broadcast(held) if held.count() <= cfg.broadcast_windows else held, ["doc_id", "text_key"], "left_semi")
@@ -170,12 +182,15 @@ def contaminated(docs: DataFrame, items: DataFrame, cfg: TemplateConfig = Templa
 
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     texts = _candidates(rows, words, cfg).select("doc_id", "text_key", tokens(F.col("text")).alias("dt"))
-    texts = stored(texts.dropDuplicates(["doc_id", "text_key"]).withColumn("dw", _single(F.col("dt"))), "candidate-tokens")
+    texts = stored(texts.withColumn("dw", _single(F.col("dt"))), "candidate-tokens")  # repeated rows still among them
     seen = _windows(texts, ["doc_id", "text_key"], F.col("dt"), sizes, exact_sizes).join(F.broadcast(per_item) if bounded else per_item, "h")
     shift = F.col("pos") - F.col("item_pos")
     seen = seen.select("doc_id", "text_key", "item_key", shift.alias("shift"), F.when(~F.col("short"), shift).alias("place"))
     at = stored(seen.groupBy("doc_id", "text_key", "item_key", "place").agg(F.min("shift").alias("shift")).drop("place"), "alignments")  # one of an exact sequence's places is enough
 
+    hit = at.select("doc_id", "text_key").distinct()
+    hit = F.broadcast(hit) if hit.count() <= cfg.broadcast_windows else hit
+    texts = texts.join(hit, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
     both = at.join(texts, ["doc_id", "text_key"]).join(words.select("item_key", "item_id", "it", "tt", "short"), "item_key")
     n = F.size("it")
 
