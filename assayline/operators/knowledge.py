@@ -148,3 +148,18 @@ def insert_waits(steps: DataFrame, flags: DataFrame) -> DataFrame:
     waits = clicks.where("k is not null").join(flags, ["session", "k"]).select("session", "ordinal", F.lit("wait").alias("action"), F.lit(1).alias("after"))
     both = steps.select("session", "ordinal", "action", F.lit(0).alias("after")).unionByName(waits)
     return both.withColumn("step", F.row_number().over(Window.partitionBy("session").orderBy("ordinal", "after")))
+
+
+#: Kinds of chunks that may be entities, endings and places that speak for one, endings against it.
+ENTITY_KINDS = ("class", "type", "interface", "struct", "record")
+ENTITY_ENDINGS = ("entity", "model", "domain", "dto", "data", "record", "vo")
+ENTITY_PLACES = ("/entity/", "/model/", "/domain/", "/core/", "/data/")
+OTHER_ENDINGS = ("controller", "service", "repository", "config", "handler", "test", "validator")
+
+
+def domain_entities(chunks: DataFrame, top: int = 10) -> DataFrame:
+    """The most called entities of chunks (path, symbol, kind, n_callers, ordinal); ties in source order."""
+    symbol, path = F.lower("symbol"), F.lower(F.concat(F.lit("/"), "path"))
+    likely = symbol.rlike(f"({'|'.join(ENTITY_ENDINGS)})$") | path.rlike("|".join(ENTITY_PLACES))
+    kept = chunks.where(F.col("kind").isin(*ENTITY_KINDS) & likely & ~symbol.rlike(f"({'|'.join(OTHER_ENDINGS)})$"))
+    return kept.orderBy(F.desc("n_callers"), "ordinal").limit(top)

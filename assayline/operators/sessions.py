@@ -130,3 +130,11 @@ def align(left: DataFrame, right: DataFrame, least: float = 0.7, exact: float =
         return out
 
     return left.groupBy("pair").cogroup(right.groupBy("pair")).applyInPandas(one, "pair long, left_step int, right_step int, kind string, score double")
+
+
+def with_redirects(actions: DataFrame, redirects: DataFrame) -> DataFrame:
+    """actions (method, target) with dialog_text; redirects: (requested, message, ordinal), the last of an address counts."""
+    real = redirects.where("coalesce(requested, '') <> '' and coalesce(message, '') <> ''")
+    last = real.groupBy(F.col("requested").alias("target")).agg(F.max_by("message", "ordinal").alias("message"))
+    text = F.when((F.lower("method") == "goto") & F.col("message").isNotNull(), F.concat(F.lit("[redirect:errorMsg] "), "message"))
+    return actions.join(last, "target", "left").withColumn("dialog_text", text).drop("message")
