@@ -26,13 +26,18 @@ SEVERITIES = ("BLOCKER", "CRITICAL", "MAJOR", "MINOR", "INFO")
 TEST_DIRS = ("tests", "test", "__tests__", "spec", "specs", "e2e", "cypress", "integration", "unit", "functional", "it")
 TEST_FILE = r"^test[_-]|(?:_test\.py|_spec\.py|[.\-](?:test|spec)\.(?:ts|js)|\.(?:test|spec)\.(?:tsx|jsx)|_test\.go|_spec\.go|tests?\.java|\.feature)$"
 #: Names too common to tell a caller.
-GENERIC_NAMES = tuple(
-    """len range list dict set tuple str int float bool type isinstance iter next callable open close read write send min max sum abs round all any
-    print input format repr vars dir id hash hex bin oct ord chr bytes bytearray memoryview object getattr setattr hasattr delattr issubclass super
-    enumerate zip map filter reduce sorted reversed log logger logging console push pop shift unshift splice slice concat join split trim replace match
-    search test exec indexOf lastIndexOf includes find findIndex every some forEach keys values entries assign create freeze stringify parse now Date Math
-    JSON addEventListener removeEventListener dispatchEvent init main run start stop reset update load save check validate render build get has put add
-    remove delete clear parseInt parseFloat isNaN isFinite Number String Boolean""".split()
+GENERIC_NAMES = (
+    "len", "range", "list", "dict", "set", "tuple", "str", "int", "float", "bool", "type", "isinstance", "iter",
+    "next", "callable", "open", "close", "read", "write", "send", "min", "max", "sum", "abs", "round", "all", "any",
+    "print", "input", "format", "repr", "vars", "dir", "id", "hash", "hex", "bin", "oct", "ord", "chr", "bytes",
+    "bytearray", "memoryview", "object", "getattr", "setattr", "hasattr", "delattr", "issubclass", "super",
+    "enumerate", "zip", "map", "filter", "reduce", "sorted", "reversed", "log", "logger", "logging", "console",
+    "push", "pop", "shift", "unshift", "splice", "slice", "concat", "join", "split", "trim", "replace", "match",
+    "search", "test", "exec", "indexOf", "lastIndexOf", "includes", "find", "findIndex", "every", "some", "forEach",
+    "keys", "values", "entries", "assign", "create", "freeze", "stringify", "parse", "now", "Date", "Math", "JSON",
+    "addEventListener", "removeEventListener", "dispatchEvent", "init", "main", "run", "start", "stop", "reset",
+    "update", "load", "save", "check", "validate", "render", "build", "get", "has", "put", "add", "remove", "delete",
+    "clear", "parseInt", "parseFloat", "isNaN", "isFinite", "Number", "String", "Boolean",
 )
 
 

@@ -34,11 +34,21 @@ def in_scope(url: Column, scheme: str, host: str, subdomains: bool = False) -> C
 
 
 def outlinks(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) → (page_id, link): distinct links, those from the root resolved against the page's host."""
-    hrefs = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"#]+)'), F.lit(1))).alias("href"))
-    base = F.regexp_extract("url", r"^([a-z]+://[^/?#]+)", 1)
-    link = F.when(F.col("href").rlike("^[a-z]+://"), F.col("href")).when(F.col("href").startswith("/"), F.concat(base, "href"))
-    return hrefs.select("page_id", link.alias("link")).where("link is not null").distinct()
+    """pages (page_id, url, html) → (page_id, link): distinct links without fragments, resolved against the page's address.
+
+    Quotes may be double, single or absent, letters of tag and attribute large; schemes other than http and https give none.
+    """
+    tags = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r"(?i)<a\s[^>]*>"), F.lit(0))).alias("tag"))
+    forms = (r'(?i)\shref\s*=\s*"([^"#]*)', r"(?i)\shref\s*=\s*'([^'#]*)", r"(?i)\shref\s*=\s*([^\s>\"'#]+)")
+    href = F.trim(F.coalesce(*(F.nullif(F.regexp_extract("tag", f, 1), F.lit("")) for f in forms)))
+    root = F.regexp_extract("url", r"^([a-z]+://[^/?#]+)", 1)
+    folder = F.concat(root, F.coalesce(F.nullif(F.regexp_extract("url", r"^[a-z]+://[^/?#]+(/(?:[^?#]*/)?)", 1), F.lit("")), F.lit("/")))
+    link = (
+        F.when(F.col("href").rlike("(?i)^https?://"), F.col("href")).when(F.col("href").rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None))
+        .when(F.col("href").startswith("//"), F.concat(F.regexp_extract("url", "^([a-z]+:)", 1), "href")).when(F.col("href").startswith("/"), F.concat(root, "href"))
+        .when(F.col("href").startswith("?"), F.concat(F.regexp_extract("url", r"^([^?#]*)", 1), "href")).otherwise(F.concat(folder, F.regexp_replace("href", r"^(?:\./)+", "")))
+    )
+    return tags.select("page_id", "url", href.alias("href")).select("page_id", link.alias("link")).where("link is not null").distinct()
 
 
 def path_tree(urls: DataFrame) -> DataFrame:

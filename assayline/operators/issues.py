@@ -17,17 +17,18 @@ def cluster_key(rule: Column, function: Column, component: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", F.coalesce(rule, F.lit("")), F.coalesce(function, F.lit("")), dirname(component))), 1, 16)
 
 
-def cluster_issues(issues: DataFrame) -> DataFrame:
-    """issues (key, rule, function, component, line, severity, ordinal) → leaders with their followers.
+def cluster_issues(issues: DataFrame, most: int = 50) -> DataFrame:
+    """issues (key, rule, function, component, line, severity, ordinal) → leaders with n_affected and their first followers, most at most.
 
     The leader of a cluster is the most severe, then the first line (null: 0), then the first in input order.
     """
     keyed = issues.withColumn("cluster_key", cluster_key(F.col("rule"), F.col("function"), F.col("component")))
     order = Window.partitionBy("cluster_key").orderBy(severity_rank(F.col("severity")), F.coalesce("line", F.lit(0)), "ordinal")
     ranked = keyed.withColumn("r", F.row_number().over(order))
-    followers = ranked.where("r > 1").groupBy("cluster_key").agg(F.array_sort(F.collect_list(F.struct("r", "key", "component", "line"))).alias("affected"))
+    near = F.when(F.col("r") <= most + 1, F.struct("r", "key", "component", "line"))  # collect_list leaves nulls out
+    followers = ranked.where("r > 1").groupBy("cluster_key").agg(F.array_sort(F.collect_list(near)).alias("affected"), F.count(F.lit(1)).alias("n"))
     lead = ranked.where("r = 1").join(followers, "cluster_key", "left")
-    return lead.withColumn("n_affected", F.coalesce(F.size("affected"), F.lit(0))).drop("r")
+    return lead.withColumn("n_affected", F.coalesce("n", F.lit(0)).cast("int")).drop("r", "n")
 
 
 def new_keys(issues: DataFrame, prior: DataFrame) -> DataFrame:
@@ -54,8 +55,12 @@ def similar_locations(issues: DataFrame, most: int = 5) -> DataFrame:
 
 def latest_change(issues: DataFrame, commits: DataFrame) -> DataFrame:
     """issues (key, path, ts) × commits (path, sha, committed) → the last commit of the path up to ts, null if none."""
-    hits = issues.join(commits.withColumnRenamed("path", "commit_path"), (F.col("path") == F.col("commit_path")) & (F.col("committed") <= F.col("ts")), "left")
-    return hits.groupBy("key").agg(F.max(F.when(F.col("sha").isNotNull(), F.struct("committed", "sha"))).alias("m")).select("key", F.col("m.sha").alias("sha"), F.col("m.committed").alias("committed"))
+    none = F.lit(None).cast(commits.schema["sha"].dataType)
+    asked = issues.select("key", "path", F.col("ts").alias("t"), none.alias("sha"), F.lit(1).alias("side"))
+    made = commits.select(F.lit(None).cast(issues.schema["key"].dataType).alias("key"), "path", F.col("committed").alias("t"), "sha", F.lit(0).alias("side"))
+    so_far = Window.partitionBy("path").orderBy("t", "side", "sha").rowsBetween(Window.unboundedPreceding, 0)  # one pass over both
+    change = F.last(F.when(F.col("side") == 0, F.struct(F.col("t").alias("committed"), "sha")), ignorenulls=True).over(so_far)
+    return asked.unionByName(made).withColumn("m", F.when(F.col("path").isNotNull(), change)).where("side = 1").select("key", F.col("m.sha").alias("sha"), F.col("m.committed").alias("committed"))
 
 
 def enclosing_chunk(points: DataFrame, chunks: DataFrame) -> DataFrame:

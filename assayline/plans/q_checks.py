@@ -30,16 +30,19 @@ def task_completion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def schema_check(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    shapes = F.array(*map(F.lit, ('{"answer": "ok", "docs": ["a"]}', '{"answer": ""}', '{"answer": 3}', "not json", '["answer"]', '{"answer": "x", "docs": [1]}', '{"answer": "x"}')))
-    rows = e.select("event_id", F.element_at(shapes, (F.col("event_id") % 7 + 1).cast("int")).alias("raw"))
-    return rows.select((F.col("event_id") % 7).alias("shape"), evals.valid_answer().alias("valid")).groupBy("shape", "valid").agg(F.count(F.lit(1)).alias("n"))
+    """Conversation turns as answers: an object, plain text, a number for an answer, an object with documents."""
+    c, kind = table(spark, d, "conversations"), F.col("turn") % 4
+    raw = (
+        F.when(kind == 0, F.to_json(F.struct(F.col("text").alias("answer")))).when(kind == 1, F.col("text"))
+        .when(kind == 2, F.to_json(F.struct(F.length("text").alias("answer")))).otherwise(F.to_json(F.struct(F.col("text").alias("answer"), F.array("role").alias("docs"))))
+    )
+    return c.select("conv_id", "turn", raw.alias("raw")).select("conv_id", "turn", evals.valid_answer().alias("valid"))
 
 
 def callers_index(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers as files, their parts as symbols that call the next part; some files import what they call."""
-    li = table(spark, d, "lineitem").select(F.concat(F.lit("f"), F.col("l_suppkey") % 50).alias("path"), F.concat(F.lit("part"), F.col("l_partkey") % 300).alias("symbol"), F.array(F.concat(F.lit("part"), (F.col("l_partkey") + 1) % 300)).alias("callees")).distinct()
-    imports = table(spark, d, "lineitem").where("l_suppkey % 2 = 0").select(F.concat(F.lit("f"), F.col("l_suppkey") % 50).alias("path"), F.concat(F.lit("part"), F.col("l_partkey") % 300).alias("name")).groupBy("path").agg(F.collect_set("name").alias("imports"))
+    li = table(spark, d, "lineitem").select(F.concat(F.lit("f"), F.col("l_suppkey")).alias("path"), F.concat(F.lit("part"), F.col("l_partkey")).alias("symbol"), F.array(F.concat(F.lit("part"), F.col("l_partkey") + 1)).alias("callees")).distinct()
+    imports = table(spark, d, "lineitem").where("l_suppkey % 2 = 0").select(F.concat(F.lit("f"), F.col("l_suppkey")).alias("path"), F.concat(F.lit("part"), F.col("l_partkey")).alias("name")).groupBy("path").agg(F.collect_set("name").alias("imports"))
     return codegraph.callers_index(li, imports).groupBy("callee").agg(F.countDistinct("caller_ref").alias("callers"), F.countDistinct("callee_path").alias("paths"))
 
 
@@ -74,8 +77,8 @@ _DSL = "a as (select event_id as case_id, event_id % 6 as m, case when event_typ
 SQL = {
     "criteria_dsl": f"with {_DSL} select case_id, passed from p",
     "task_completion": f"with {_DSL}, s as (select case_id, case when m <> 4 then passed::int::double else coalesce(quality * 0.8::double, (status < 400)::int::double) end as score from p left join labels on doc_id = case_id) select case_id, score, score >= 0.5 as passed from s",
-    "schema_check": "select event_id % 7 as shape, event_id % 7 in (0, 6) as valid, count(*) as n from events group by all",
-    "callers_index": "with c as (select distinct 'f' || (l_suppkey % 50) as path, 'part' || (l_partkey % 300) as symbol, 'part' || ((l_partkey + 1) % 300) as callee from lineitem), i as (select distinct 'f' || (l_suppkey % 50) as path, 'part' || (l_partkey % 300) as name from lineitem where l_suppkey % 2 = 0),"
+    "schema_check": "select conv_id, turn, turn % 4 in (0, 3) and coalesce(text, '') <> '' as valid from conversations",
+    "callers_index": "with c as (select distinct 'f' || l_suppkey as path, 'part' || l_partkey as symbol, 'part' || (l_partkey + 1) as callee from lineitem), i as (select distinct 'f' || l_suppkey as path, 'part' || l_partkey as name from lineitem where l_suppkey % 2 = 0),"
     " j as (select c.callee, o.path as cp, c.path || '#' || c.symbol as ref from c join (select distinct path, symbol from c) o on o.symbol = c.callee where (c.path = o.path or exists (select 1 from i where i.path = c.path and i.name = c.callee) or c.path not in (select path from i)) and not (c.path = o.path and c.symbol = o.symbol)) select callee, count(distinct ref) as callers, count(distinct cp) as paths from j group by 1",
     "join_golden_analysis": "select c_custkey, arg_max(o_orderstatus, o_orderkey) as status, max(o_orderkey) as last from customer left join orders on o_custkey = c_custkey group by 1",
     "stream_trace_pair": "select user_id, count(*) as pairs from events v join events p using (user_id) where v.event_type = 'view' and p.event_type = 'purchase' and p.ts between v.ts and v.ts + interval 10 minute group by 1",

@@ -88,8 +88,8 @@ def borderline_rescore(spark: SparkSession, d: str) -> DataFrame:
 
 def golden_scorecard(spark: SparkSession, d: str) -> DataFrame:
     b, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
-    golden = b.select(F.col("item_id").alias("key"), F.when(F.col("item_id") % 3 == 0, "false_positive").otherwise("true_positive").alias("classification"), F.slice(F.split("text", " "), 1, 4).alias("keywords"), F.array(F.lit("src1"), F.lit("src2")).alias("paths"))
-    analysis = docs.select((F.col("doc_id") % 60).alias("key"), F.when(F.col("doc_id") % 4 == 0, "false_positive").otherwise("true_positive").alias("classification"), "text", F.array("source", F.lit("src2")).alias("cited"), F.col("doc_id").alias("ordinal"))
+    golden = b.select(F.col("item_id").alias("key"), F.when(F.col("item_id") % 3 == 0, "false_positive").otherwise("true_positive").alias("classification"), F.split("text", " ").alias("keywords"), F.array(F.lit("src1"), F.lit("src2")).alias("paths"))
+    analysis = docs.select(F.col("doc_id").alias("key"), F.when(F.col("doc_id") % 4 == 0, "false_positive").otherwise("true_positive").alias("classification"), "text", F.array("source", F.lit("src2")).alias("cited"), F.col("doc_id").alias("ordinal"))
     return evals.scorecard(golden, analysis)
 
 
@@ -156,7 +156,7 @@ SQL = {
     " select metric, threshold, count(*) filter (passed) as passed, count(*) filter (not passed) as failed, count(*) filter (passed is null) as skipped, round(avg(score), 6) as mean_score, coalesce(any_value(failed_cases), '') as failed_cases from f left join g using (metric) group by all",
     "calibration": f"with {_SCORES}, q as (select metric, round(score, 6) as score from s) select coalesce(metric, '(all)') as metric, count(*) as n, round(avg(score), 6) as mean, round(coalesce(stddev_samp(score), 0), 6) as std, min(score) as min, max(score) as max from q group by grouping sets ((metric), ())",
     "borderline_rescore": "with g as (select user_id as case_id, arg_min(value, event_id) as f, median(value) as m from events group by 1) select case_id, abs(f - 50) <= 25 as borderline, case when abs(f - 50) <= 25 then m else f end as score from g",
-    "golden_scorecard": "with g as (select item_id as key, case when item_id % 3 = 0 then 'false_positive' else 'true_positive' end as cls, string_split(text, ' ')[1:4] as kw from benchmark), a as (select doc_id % 60 as key, max(doc_id) as id from documents group by 1),"
+    "golden_scorecard": "with g as (select item_id as key, case when item_id % 3 = 0 then 'false_positive' else 'true_positive' end as cls, string_split(text, ' ') as kw from benchmark), a as (select doc_id as key, doc_id as id from documents),"
     " r as (select g.*, case when d.doc_id % 4 = 0 then 'false_positive' when d.doc_id is not null then 'true_positive' end as acls, d.text, list_distinct([d.source, 'src2']) as cited from g left join a using (key) left join documents d on d.doc_id = a.id)"
     " select count(*) as golden, count(text) as matched, round(avg((cls = acls)::int), 6) as accuracy, round(avg(len(list_filter(kw, lambda w: contains(lower(text), lower(w)))) / len(kw)), 6) as keyword_coverage, round(avg(case when text is not null then len(list_intersect(['src1', 'src2'], cited)) / 2 end), 6) as cited_precision from r",
     "dataset_fingerprint": "select count(*) as rows, sum(('0x' || substr(md5(concat_ws(chr(31), doc_id::varchar, text, lang, source)), 1, 14))::hugeint)::varchar as digest from documents",

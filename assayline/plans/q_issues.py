@@ -44,7 +44,7 @@ def dedup_existing(spark: SparkSession, d: str) -> DataFrame:
 def latest_change(spark: SparkSession, d: str) -> DataFrame:
     i = _issues(spark, d)
     commits = i.where("rule = 'F'").select(F.col("component").alias("path"), F.col("key").alias("sha"), (F.unix_seconds(F.col("ts").cast("timestamp")) * 100_000 + F.col("key")).alias("committed"))
-    probe = i.where("rule = 'P'").select("key", F.col("component").alias("path"), (F.unix_seconds(F.col("ts").cast("timestamp")) * 100_000 + F.col("key")).alias("ts"))
+    probe = i.where("rule <> 'F'").select("key", F.col("component").alias("path"), (F.unix_seconds(F.col("ts").cast("timestamp")) * 100_000 + F.col("key")).alias("ts"))
     return issues.latest_change(probe, commits).select("key", "sha")
 
 
@@ -101,9 +101,9 @@ def issue_funnel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def enclosing_chunk(spark: SparkSession, d: str) -> DataFrame:
-    """Spans of lines of each document, three levels deep, around every 7th line."""
+    """Spans of lines of each document, three levels deep, around every line."""
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "code"))
-    points = lines.where("line % 7 = 3").select(F.concat_ws(":", "doc_id", "line").alias("key"), F.col("doc_id").alias("path"), "line")
+    points = lines.select(F.concat_ws(":", "doc_id", "line").alias("key"), F.col("doc_id").alias("path"), "line")
     spans = lines.select(F.col("doc_id").alias("path"), "line", F.explode(F.array(F.lit(2), F.lit(5), F.lit(11))).alias("w")).where("line % w = 0")
     chunks = spans.select("path", F.concat_ws("_", "w", "line").alias("symbol"), F.when(F.col("w") == 11, "class").when(F.col("w") == 5, "function").otherwise("block").alias("kind"), F.col("line").alias("start_line"), (F.col("line") + F.col("w")).alias("end_line"), (F.col("line") * 100 + F.col("w")).alias("ordinal"))
     return issues.enclosing_chunk(points, chunks)
@@ -111,8 +111,8 @@ def enclosing_chunk(spark: SparkSession, d: str) -> DataFrame:
 
 def snippet_window(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "documents").select(F.col("doc_id").alias("component"), F.posexplode(F.split("text", "\n")).alias("line_no", "code"))
-    points = lines.where("line_no % 9 = 4").select(F.concat_ws(":", "component", "line_no").alias("key"), "component", F.col("line_no").alias("line"))
-    return issues.snippet_window(points, lines, around=3, clip=80).select("key", F.md5("snippet").alias("snippet_md5"))
+    points = lines.select(F.concat_ws(":", "component", "line_no").alias("key"), "component", F.col("line_no").alias("line"))
+    return issues.snippet_window(points, lines).select("key", F.md5("snippet").alias("snippet_md5"))
 
 
 # --- call graph: parts bought one after the other in an order call each other -------------------
@@ -130,7 +130,7 @@ def callers_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def direct_callers(spark: SparkSession, d: str) -> DataFrame:
-    return codegraph.direct_callers(_calls(spark, d).where("callee % 10 = 0")).select("callee", "caller", "caller_rank")
+    return codegraph.direct_callers(_calls(spark, d)).select("callee", "caller", "caller_rank")
 
 
 def depth2_callers(spark: SparkSession, d: str) -> DataFrame:
@@ -197,11 +197,11 @@ _NAMES = ", ".join(f"'{n}'" for n in T.GENERIC_NAMES)
 
 SQL = {
     "cluster_issues": f"with {_ISSUES}, k as (select *, substr(sha1(rule || '|' || function || '|' || dir), 1, 16) as cluster_key from i), r as (select *, row_number() over (partition by cluster_key order by {_RANK}, line, key) as r from k)"
-    " select cluster_key, max(key) filter (r = 1) as leader, (count(*) - 1)::int as n_affected, coalesce(string_agg(key::varchar, ',' order by r) filter (r > 1), '') as followers from r group by 1",
+    " select cluster_key, max(key) filter (r = 1) as leader, (count(*) - 1)::int as n_affected, coalesce(string_agg(key::varchar, ',' order by r) filter (r between 2 and 51), '') as followers from r group by 1",
     "similar_locations": f"with {_ISSUES}, r as (select key, rule || '|' || function as k, row_number() over (partition by rule, function order by key) as r from i), p as (select a.key, b.key as similar_key, row_number() over (partition by a.key order by b.key)::int as similar_rank from r a join r b on a.k = b.k and b.r <= 6 and a.key <> b.key) select * from p where similar_rank <= 5",
     "diff_new_keys": f"with {_ISSUES} select key, severity from i where not (ts < timestamp '{SNAPSHOT}')",
     "dedup_existing": f"with {_ISSUES} select case when key in (select l_orderkey from lineitem where l_returnflag = 'R') then 'skipped' else 'created' end as outcome, severity, count(*) as n from i group by all",
-    "latest_change": f"with {_ISSUES}, x as (select key, rule, component, epoch_us(ts) // 1000000 * 100000 + key as t from i), c as (select * from x where rule = 'F'), p as (select * from x where rule = 'P') select p.key, arg_max(c.key, c.t) as sha from p left join c on c.component = p.component and c.t <= p.t group by p.key",
+    "latest_change": f"with {_ISSUES}, x as (select key, rule, component, epoch_us(ts) // 1000000 * 100000 + key as t from i), c as (select * from x where rule = 'F'), p as (select * from x where rule <> 'F') select p.key, arg_max(c.key, c.t) as sha from p left join c on c.component = p.component and c.t <= p.t group by p.key",
     "sort_severity": f"with {_ISSUES} select key, severity from i order by {_RANK}, key limit 100",
     "severity_distribution": f"with {_ISSUES} select coalesce(severity, rule) as label, case when severity is not null then 'severity' else 'type' end as kind, count(*) as n from i group by grouping sets ((severity), (rule))",
     "module_groups": f"with {_ISSUES} select dir[6:] as module, count(*) as n, arg_min(key, {_RANK} * 10000000 + key) as worst from i group by 1",
@@ -212,12 +212,12 @@ SQL = {
     "rag_diagnostics": f"with {_ANALYSIS} select count(*) as analysed, round(avg(case when total_used > 0 then cited / total_used end), 6) as citation_ratio, round(100.0::double * count(*) filter (total_used = 0) / count(*), 4) as empty_pct, round(100.0::double * count(*) filter (cited > 0 and cited < total_used) / count(*), 4) as partial_pct, count(*) filter (confidence = 'high') as high, count(*) filter (confidence = 'low') as low from a",
     "issue_funnel": f"with {_ANALYSIS} select 0 as position, 'found' as stage, count(*) as n from i union all select 1, 'analysed', count(*) from a union all select 2, 'false_positive', count(*) from a where classification = 'false_positive' union all select 3, 'filed', count(*) from a where classification = 'true_positive' and confidence <> 'low'",
     "enclosing_chunk": "with l as (select doc_id, unnest(string_split(text, chr(10))) as code, unnest(range(len(string_split(text, chr(10)))))::int as line from documents), s as (select doc_id, line, w from l, (values (2), (5), (11)) v(w) where line % w = 0),"
-    " m as (select p.doc_id || ':' || p.line as key, w || '_' || s.line as symbol, w as span, row_number() over (partition by p.doc_id, p.line order by case when w = 5 then 0 else 1 end, w, s.line) as r from l p join s on s.doc_id = p.doc_id and p.line between s.line and s.line + w where p.line % 7 = 3)"
+    " m as (select p.doc_id || ':' || p.line as key, w || '_' || s.line as symbol, w as span, row_number() over (partition by p.doc_id, p.line order by case when w = 5 then 0 else 1 end, w, s.line) as r from l p join s on s.doc_id = p.doc_id and p.line between s.line and s.line + w)"
     " select key, symbol, span from m where r = 1",
     "snippet_window": "with l as (select doc_id, unnest(string_split(text, chr(10))) as code, unnest(range(len(string_split(text, chr(10)))))::int as n from documents)"
-    " select p.doc_id || ':' || p.n as key, md5(string_agg(case when q.n = p.n then '>> ' else '   ' end || q.n || ': ' || substr(q.code, 1, 80), chr(10) order by q.n)) as snippet_md5 from l p join l q on p.doc_id = q.doc_id and q.n between p.n - 3 and p.n + 3 where p.n % 9 = 4 group by p.doc_id, p.n",
+    " select p.doc_id || ':' || p.n as key, md5(string_agg(case when q.n = p.n then '>> ' else '   ' end || q.n || ': ' || substr(q.code, 1, 400), chr(10) order by q.n)) as snippet_md5 from l p join l q on p.doc_id = q.doc_id and q.n between p.n - 10 and p.n + 10 group by p.doc_id, p.n",
     "callers_rollup": f"with {_HUBS}, r as (select *, row_number() over (partition by callee order by caller) as r from u) select callee, any_value(n_callers) as n_callers, string_agg(caller::varchar, ',' order by caller) filter (r <= 20) as callers from r join h using (callee) group by 1",
-    "direct_callers": f"with {_CALLS}, f as (select callee, caller, min(ordinal) as o from c where callee % 10 = 0 group by all), r as (select *, row_number() over (partition by callee order by o, caller)::int as caller_rank from f) select callee, caller, caller_rank from r where caller_rank <= 10",
+    "direct_callers": f"with {_CALLS}, f as (select callee, caller, min(ordinal) as o from c group by all), r as (select *, row_number() over (partition by callee order by o, caller)::int as caller_rank from f) select callee, caller, caller_rank from r where caller_rank <= 10",
     "depth2_callers": f"with {_CALLS}, f as (select callee, caller, min(ordinal) as o from c group by all), d1 as (select *, row_number() over (partition by callee order by o, caller) as r from f qualify r <= 5), x as (select a.callee as symbol, b.caller as caller2, min(a.r * 10 + b.r) as o from d1 a join d1 b on b.callee = a.caller group by all),"
     " y as (select x.* from x where caller2 <> symbol and not exists (select 1 from d1 where d1.callee = x.symbol and d1.caller = x.caller2)), z as (select *, row_number() over (partition by symbol order by o, caller2)::int as caller_rank from y) select symbol, caller2, caller_rank from z where caller_rank <= 5",
     "caller_hubs": f"with {_HUBS} select callee, n_callers from h order by n_callers desc, callee limit 10",

@@ -29,7 +29,7 @@ def norm_truthy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def norm_blank(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(T.blank_to_null(F.substring("text", 4, 2)).alias("t"))
+    docs = table(spark, d, "documents").select(T.blank_to_null(F.col("text")).alias("t"))
     return docs.agg(F.count(F.lit(1)).alias("n"), F.count("t").alias("filled"))
 
 
@@ -67,9 +67,9 @@ def parse_footer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_header(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("symbol"), F.col("lang").alias("role"), F.substring("text", 1, 20).alias("code"))
+    docs = table(spark, d, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("symbol"), F.col("lang").alias("role"), F.col("text").alias("code"))
     s = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").select(F.col("source").alias("path"), F.col("doc_id").alias("symbol"), F.concat(F.lit("q"), "quality").alias("summary"))
-    return K.with_header(docs, s).select("symbol", "code")
+    return K.with_header(docs, s).select("symbol", F.md5("code").alias("code_md5"))
 
 
 def output_defaults(spark: SparkSession, d: str) -> DataFrame:
@@ -99,9 +99,10 @@ def dependency_counts(spark: SparkSession, d: str) -> DataFrame:
 def test_links_exact(spark: SparkSession, d: str) -> DataFrame:
     """Tests named after parts, joined to parts of that name."""
     p = table(spark, d, "part")
-    tests = p.where("p_size > 25").select(F.col("p_partkey").alias("test_id"), F.explode(K.test_targets(F.concat(F.lit("test_"), F.translate("p_name", " ", "_")))).alias("symbol"))
-    names = p.where("p_size <= 5").select(F.translate("p_name", " ", "_").alias("symbol"), F.col("p_partkey").alias("id"))
-    return tests.join(names, "symbol").groupBy("symbol").agg(F.countDistinct("test_id").alias("tests"), F.countDistinct("id").alias("symbols"))
+    tests = p.select(F.col("p_partkey").alias("test_id"), F.explode(K.test_targets(F.concat(F.lit("test_"), F.translate("p_name", " ", "_")))).alias("symbol"))
+    names = p.select(F.translate("p_name", " ", "_").alias("symbol"), F.col("p_partkey").alias("id"))
+    found = tests.groupBy("symbol").agg(F.countDistinct("test_id").alias("tests"))
+    return found.join(names.groupBy("symbol").agg(F.countDistinct("id").alias("symbols")), "symbol")
 
 
 def route_to_handler(spark: SparkSession, d: str) -> DataFrame:
@@ -156,9 +157,10 @@ def cited_path_precision(spark: SparkSession, d: str) -> DataFrame:
 
 
 def paired_runs(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    a, b = (e.where(F.dayofmonth("ts") == k).groupBy("user_id").agg(F.sum("value").alias(f"v{k}")) for k in (1, 2))
-    return a.join(b, "user_id").select("user_id", F.round(F.col("v2") - F.col("v1"), 4).alias("delta"))
+    """Each user's days, each beside the day before."""
+    e = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sum("value").alias("v"))
+    before = e.select("user_id", F.date_add("day", 1).alias("day"), F.col("v").alias("v0"))
+    return e.join(before, ["user_id", "day"]).select("user_id", F.col("day").cast("string").alias("day"), F.round(F.col("v") - F.col("v0"), 4).alias("delta"))
 
 
 def outcome_join(spark: SparkSession, d: str) -> DataFrame:
@@ -248,7 +250,7 @@ SQL = {
     "test_target_candidates": "with p as (select p_partkey, replace(p_name, ' ', '_') as u, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), '') as pas from part), q as (select *, lower(pas[1]) || pas[2:] as cam from p)"
     " select p_partkey, case when p_partkey % 2 = 1 then cam || ',' || pas when u = cam then u || ',' || pas else u || ',' || cam || ',' || pas end as candidates from q",
     "norm_truthy": "select o_orderkey % 7 in (0, 2, 3, 6) as flag, case when o_orderstatus = 'F' then 'fail' else 'pass' end as outcome, count(*) as n from orders group by all",
-    "norm_blank": "select count(*) as n, count(*) filter (trim(substr(text, 4, 2), ' ') <> '') as filled from documents",
+    "norm_blank": "select count(*) as n, count(*) filter (trim(text, ' ') <> '') as filled from documents",
     "normalize_usage": "with k as (select event_id % 3 as m, json_extract_string(props, '$.k')::int as k from events), u as (select case when m < 2 then k else 0 end as p, case when m = 0 then k % 7 else 0 end as c, case when m = 0 then k + k % 7 when m = 1 then k * 2 else k % 2 end as t from k), v as (select *, p <> 0 or c <> 0 or t <> 0 as known from u)"
     " select count(*) as n, count(*) filter (known) as known, sum(p)::bigint as prompt, sum(c)::bigint as completion, sum(t)::bigint as total from v",
     "compact_first_line": "select conv_id, turn, substr(trim(regexp_replace(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '\\s+', ' ', 'g')), 1, 300) as line from conversations",
@@ -256,12 +258,12 @@ SQL = {
     "classify_step_kind": "select event_type, case when event_type = 'click' and event_id % 4 < 3 then 'auxiliary' else 'terminal' end as kind, count(*) as n from events group by all",
     "render_kb_document": f"select source || '::' || doc_id as title, md5({_CUT} || chr(10) || '---' || chr(10) || 'path: ' || source || chr(10) || 'symbol: ' || doc_id || chr(10) || 'kind: doc' || chr(10) || 'lang: ' || lang || case when doc_id % 2 = 0 then chr(10) || 'callers: a, b' else '' end) as body_md5 from documents",
     "parse_footer": "select source as path, lang, count(*) as n from documents group by all",
-    "chunk_header": "select doc_id as symbol, coalesce('[' || source || '] ' || lang || ': q' || quality || chr(10), '') || substr(text, 1, 20) as code from documents left join labels using (doc_id)",
+    "chunk_header": "select doc_id as symbol, md5(coalesce('[' || source || '] ' || lang || ': q' || quality || chr(10), '') || text) as code_md5 from documents left join labels using (doc_id)",
     "output_defaults": f"with {_ANALYSIS} select case when classification = 'wont_fix' then 'true_positive' else classification end as classification, count(*) as n from a group by 1",
     "merge_labels": f"with {_ANALYSIS} select 'bug,severity:' || severity || ',classification:' || classification || ',confidence:' || confidence || case when callers > 9 then ',auto_template:true' else '' end as labels, count(*) as n from a group by 1",
     "classify_dependency": f"select distinct p_name as name, {_WHEN} as category from part",
     "dependency_counts": f"select {_WHEN} as category, count(distinct p_name) as n from part group by 1",
-    "test_links_exact": "with s as (select replace(p_name, ' ', '_') as symbol, p_partkey as id from part where p_size <= 5), t as (select replace(p_name, ' ', '_') as symbol, p_partkey as test_id from part where p_size > 25) select symbol, count(distinct test_id) as tests, count(distinct id) as symbols from s join t using (symbol) group by 1",
+    "test_links_exact": "select replace(p_name, ' ', '_') as symbol, count(distinct p_partkey) as tests, count(distinct p_partkey) as symbols from part group by 1",
     "route_to_handler": "with f as (select l_suppkey, '/p' || arg_min(l_partkey, l_orderkey * 100000000 + l_partkey) as route from lineitem group by 1) select s_suppkey as symbol, case when s_suppkey % 4 = 0 then '/own' else route end as endpoint from supplier left join f on l_suppkey = s_suppkey",
     "rule_fix_history": "with r as (select distinct string_split(p_name, ' ')[2] as w from part), m as (select 'lint:' || w as rule, p_partkey as sha, row_number() over (partition by w order by p_size desc, p_partkey)::int as rank from r join part on list_contains(string_split(lower(p_name), ' '), w)) select rule, sha, rank from m where rank <= 3",
     "self_exclude_hits": f"with h as (select l_orderkey as issue, l_orderkey % 5 as ip, (l_orderkey % 3 * 10)::int as il, l_orderkey % 2 = 0 as named, l_partkey % 5 as path, case when l_suppkey % 2 = 0 then 'f' else 'g' end as symbol from lineitem) select issue, count(*) as n from h where not ({_OWN}) group by 1",
@@ -269,7 +271,7 @@ SQL = {
     "context_stats": f"with {_LEFT} select (select count(*) from h) as retrieved, (select count(*) from x) as kept, (select count(*) from used) as used, (select count(*) from used where bucket = 'tests') as tests, (select count(*) from used where bucket = 'callers') as callers",
     "partial_downgrade": f"with {_ANALYSIS} select confidence, case when total_used = 0 then 'low' when total_used >= 2 and cited / total_used < 0.5 and confidence = 'high' then 'medium' else confidence end as after, count(*) as n from a group by all",
     "cited_path_precision": "with g as (select l_orderkey, coalesce(list(distinct l_partkey % 7) filter (l_returnflag = 'R'), []) as want, coalesce(list(distinct l_partkey % 7) filter (l_linestatus = 'O'), []) as got from lineitem group by 1) select l_orderkey, round(case when len(want) > 0 then len(list_intersect(want, got)) / len(want) end, 6) as precision from g",
-    "paired_runs": "with a as (select user_id, sum(value) as v from events where day(ts) = 1 group by 1), b as (select user_id, sum(value) as v from events where day(ts) = 2 group by 1) select user_id, round(b.v - a.v, 4) as delta from a join b using (user_id)",
+    "paired_runs": "with a as (select user_id, ts::date as day, sum(value) as v from events group by all) select b.user_id, b.day::varchar as day, round(b.v - a.v, 4) as delta from a join a b on a.user_id = b.user_id and b.day = a.day + 1",
     "outcome_join": f"with {_ISSUES}, o as (select l_orderkey as key, max(l_returnflag) as outcome from lineitem group by 1) select severity, coalesce(outcome, 'none') as outcome, count(*) as n from i left join o using (key) group by all",
     "kb_intelligence": f"with {_CHUNKS} select 'all' as scope, '' as value, {_COUNTS} union all select 'lang', lang, {_COUNTS} group by lang union all select 'kind', kind, {_COUNTS} group by kind",
     "lang_asymmetry": f"with {_CHUNKS} select lang, count(*) as chunks from k group by 1 having count(*) >= 5 and sum(callers) = 0",

@@ -62,11 +62,11 @@ def compat_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(retrieval.tokens(F.col("text")), 1, 6), " ").alias("text"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def keyword_score(spark: SparkSession, d: str) -> DataFrame:
-    """The 15 best documents of each benchmark item's first six words."""
+    """The 15 best documents of each benchmark item's words."""
     scores = retrieval.bm25(table(spark, d, "documents").select("doc_id", "text"), _queries(spark, d))
     return retrieval.top_n(scores, "query_id", [F.desc("score"), F.col("doc_id")], 15).select("query_id", "doc_id", "score")
 
@@ -96,7 +96,7 @@ def fit_token_budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prune_inventory(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("source", "lang", F.substring("text", 1, 2).alias("name"), "doc_id")
+    docs = table(spark, d, "documents").select("source", "lang", F.col("text").alias("name"), "doc_id")
     return retrieval.prune(docs, "source", ["lang", "name"], "doc_id", 12).select("source", "doc_id", "rank")
 
 
@@ -108,7 +108,7 @@ def citation_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyword_coverage(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.slice(F.split("text", " "), 1, 8).alias("words"))
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.split("text", " ").alias("words"))
     return b.join(table(spark, d, "documents"), "doc_id").select("doc_id", F.round(retrieval.keyword_coverage(F.col("words"), F.col("text")), 6).alias("coverage"))
 
 
@@ -206,7 +206,7 @@ SQL = {
     "strip_html_text": f"select page_id, md5(trim(regexp_replace({_STRIP}, '[ \\t\\n\\r\\f]+', ' ', 'g'))) as text_md5 from pages",
     "strip_text_urls": "select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\\[([^\\]]*)\\]\\(https?://[^)]*\\)', '\\1', 'g'), 'https?://\\S+', '', 'g'), '\\[\\d+\\]', '', 'g')) as text_md5 from documents",
     "compat_verdict": "select case when regexp_matches(lower(html), 'recaptcha|hcaptcha|cf-turnstile') then 'incompatible:captcha' when regexp_matches(lower(html), '<canvas|<iframe') then 'limited' else 'compatible' end as verdict, count(*) as n from pages group by 1",
-    "keyword_score": f"with d as (select doc_id, {_TOKENS} as ws from documents), q as (select item_id as query_id, unnest(list_distinct({_TOKENS}[1:6])) as w from benchmark), st as (select count(*) as n, avg(len(ws)) as mean from d),"
+    "keyword_score": f"with d as (select doc_id, {_TOKENS} as ws from documents), q as (select item_id as query_id, unnest(list_distinct({_TOKENS})) as w from benchmark), st as (select count(*) as n, avg(len(ws)) as mean from d),"
     " t as (select doc_id, dl, w, count(*) as tf from (select doc_id, len(ws) as dl, unnest(ws) as w from d) where w in (select w from q) group by all), f as (select w, count(*) as df from t group by 1),"
     " s as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * dl / mean))), 6) as score from t join f using (w) join q using (w), st group by all),"
     " r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as r from s) select query_id, doc_id, score from r where r <= 15",
@@ -215,9 +215,9 @@ SQL = {
     " r as (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from b where score >= 0.25) select query_id, doc_id, rank, score from r where rank <= 15",
     "topn_per_group": "select source, doc_id, rank from (select source, doc_id, row_number() over (partition by source order by n_chars desc, doc_id)::int as rank from documents) where rank <= 3",
     "fit_token_budget": "select source, doc_id, running from (select source, doc_id, sum(greatest(1, length(text) // 4)) over (partition by source order by doc_id)::bigint as running from documents) where running <= 4000",
-    "prune_inventory": "with f as (select source, min(doc_id) as doc_id from documents group by source, lang, substr(text, 1, 2)), r as (select *, row_number() over (partition by source order by doc_id)::int as rank from f) select source, doc_id, rank from r where rank <= 12",
+    "prune_inventory": "with f as (select source, min(doc_id) as doc_id from documents group by source, lang, text), r as (select *, row_number() over (partition by source order by doc_id)::int as rank from f) select source, doc_id, rank from r where rank <= 12",
     "citation_match": f"with p as (select html, {_PATH} as path, {_HOST} as host from pages), t as (select case when path <> '' and contains(html, path) then 'path' when host <> '' and contains(html, host) then 'symbol' when length(string_split(path, '/')[-1]) >= 5 and contains(html, string_split(path, '/')[-1]) then 'basename' else 'none' end as tier from p) select tier, count(*) as n from t group by 1",
-    "keyword_coverage": "select doc_id, round(len(list_filter(string_split(b.text, ' ')[1:8], lambda w: contains(lower(d.text), lower(w)))) / len(string_split(b.text, ' ')[1:8]), 6) as coverage from benchmark b join documents d on d.doc_id = b.item_id",
+    "keyword_coverage": "select doc_id, round(len(list_filter(string_split(b.text, ' '), lambda w: contains(lower(d.text), lower(w)))) / len(string_split(b.text, ' ')), 6) as coverage from benchmark b join documents d on d.doc_id = b.item_id",
     "citation_depth": "select doc_id, len(list_distinct(list_filter(regexp_extract_all(text, '\"([^\"\\n]{2,80})\"', 1), lambda x: regexp_matches(x, '[A-Za-z]'))))::int as depth from documents",
     "set_union": "with u as (select c_nationkey as nation, floor(c_acctbal / 1000)::bigint as class, 0 as source from customer union all select s_nationkey, floor(s_acctbal / 1000)::bigint, 1 from supplier) select nation, class, min(source) as source from u group by all",
     "set_intersect": "select l_partkey from lineitem where l_returnflag = 'R' intersect select l_partkey from lineitem where l_returnflag = 'A' and l_quantity > 45",
