@@ -52,11 +52,11 @@ def normalize_answers(rows: DataFrame) -> DataFrame:
     told = F.coalesce("has_context", F.lit(False))
     labels = F.when(told | F.array_contains(labels, "context:empty"), labels).otherwise(F.array_append(labels, F.lit("context:empty")))
     status = (
-        F.when(F.trim(text) == "", "empty_llm_text")
+        F.when(~text.rlike(r"\S"), "empty_llm_text")
         .when(cut_short, "thinking_unterminated")
         .when(F.col("block").isNull(), "no_json_block")
         .when(~F.col("is_object"), "json_decode_error")
-        .when(F.trim("impact_analysis_markdown") == "", "parsed_but_empty")
+        .when(~F.col("impact_analysis_markdown").rlike(r"\S"), "parsed_but_empty")
         .otherwise("ok")
     )
     out = out.withColumn("labels", labels).withColumn("parse_status", status).withColumn("confidence", F.when(told, F.col("confidence")).otherwise("low"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayline.functions import text as T
 from assayline.operators import codegraph, evals
+from assayline.plans.q_web import _LINKS, _TRASH
 from assayline.sources.tables import table
 from assayline.streaming import logs
 
@@ -74,6 +75,17 @@ QUERIES = {f.__name__: f for f in (criteria_dsl, task_completion, schema_check,
 
 _DSL = "a as (select event_id as case_id, event_id % 6 as m, case when event_type = 'error' then 500 else 200 end as status, props as raw, json_extract_string(props, '$.k') as k from events), p as (select *, case m when 0 then status = 200 when 1 then regexp_matches(raw, '\\d{2}') and status = 200 when 2 then regexp_matches(k, '^1') when 4 then status = 200 else false end as passed from a)"
 
+
+
+def _normal(url: str) -> str:
+    """normalize_url() of an address in SQL."""
+    scheme, host = f"lower(regexp_extract({url}, '^([A-Za-z]+)://', 1))", f"lower(regexp_extract({url}, '^[A-Za-z]+://([^/?#]*)', 1))"
+    path, query = f"regexp_extract({url}, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)", f"regexp_extract({url}, '\\?([^#]*)', 1)"
+    kept = f"list_sort(list_filter(string_split({query}, '&'), lambda x: x <> '' and lower(string_split(x, '=')[1]) not in ({_TRASH})))"
+    bare = f"case when {scheme} = 'http' then regexp_replace({host}, ':80$', '') when {scheme} = 'https' then regexp_replace({host}, ':443$', '') else {host} end"
+    return f"{scheme} || '://' || {bare} || case when {path} = '' then '/' else {path} end || case when len({kept}) > 0 then '?' || array_to_string({kept}, '&') else '' end"
+
+
 SQL = {
     "criteria_dsl": f"with {_DSL} select case_id, passed from p",
     "task_completion": f"with {_DSL}, s as (select case_id, case when m <> 4 then passed::int::double else coalesce(quality * 0.8::double, (status < 400)::int::double) end as score from p left join labels on doc_id = case_id) select case_id, score, score >= 0.5 as passed from s",
@@ -82,4 +94,5 @@ SQL = {
     " j as (select c.callee, o.path as cp, c.path || '#' || c.symbol as ref from c join (select distinct path, symbol from c) o on o.symbol = c.callee where (c.path = o.path or exists (select 1 from i where i.path = c.path and i.name = c.callee) or c.path not in (select path from i)) and not (c.path = o.path and c.symbol = o.symbol)) select callee, count(distinct ref) as callers, count(distinct cp) as paths from j group by 1",
     "join_golden_analysis": "select c_custkey, arg_max(o_orderstatus, o_orderkey) as status, max(o_orderkey) as last from customer left join orders on o_custkey = c_custkey group by 1",
     "stream_trace_pair": "select user_id, count(*) as pairs from events v join events p using (user_id) where v.event_type = 'view' and p.event_type = 'purchase' and p.ts between v.ts and v.ts + interval 10 minute group by 1",
+    "crawl_coverage": f"with {_LINKS}, f as (select distinct {_normal('link')} as u from links), own as (select distinct {_normal('url')} as u from pages) select (select count(*) from own) as pages, (select count(*) from own) >= 200 as cap_reached, (select count(*) from f where u in (select u from own)) as linked",
 }

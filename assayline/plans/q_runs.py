@@ -180,4 +180,9 @@ SQL = {
     " select session, ordinal, row_number() over (partition by session order by ordinal)::int as step from k where not (action = 'fill' and v = '' and coalesce(na, '') = 'fill' and coalesce(nv, '') <> '')",
     "drift_streak": "with p as (select user_id as crawl, event_id as position, case when event_type in ('view', 'click') then 'home' else 'other' end as host from events), w as (select *, count(*) filter (host <> 'home') over l as n, min(host) over l as a, max(host) over l as b from p window l as (partition by crawl order by position rows between 2 preceding and current row))"
     " select crawl, min(position) as position from w where n = 3 and a = b group by crawl",
+    "dedupe_adjacent_clicks": "with recursive s as (select user_id as session, event_id as ordinal, case when event_type = 'error' then 'goto' else 'click' end as action, trunc(value % 2)::int as name, event_type as target, value > 100 as popup, row_number() over (partition by user_id order by event_id) as rn from events),"
+    " k as (select session, rn, 1 as step, ordinal, action, name, target, popup from s where rn = 1 union all select session, rn, case when same then step else step + 1 end, case when same and stays then o else n.ordinal end, case when same and stays then a else n.action end, case when same and stays then m else n.name end,"
+    " case when same and stays then t else n.target end, case when same and stays then u else n.popup end from (select s.session, s.rn, k.step, s.ordinal, s.action, s.name, s.target, s.popup, k.ordinal as o, k.action as a, k.name as m, k.target as t, k.popup as u,"
+    " s.action = 'click' and k.action = 'click' and s.name = k.name and s.target <> k.target as same, not (s.popup or not k.popup) as stays from s join k on s.session = k.session and s.rn = k.rn + 1) n)"
+    " select session, arg_max(ordinal, rn) as ordinal, step from k group by session, step",
 }
