@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset, as in tests."""
+    """spark.checkpoint.dir, or in local mode, as in tests, a folder of our own where it is unset."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if base is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.environ.get("ASSAYLINE_SHARED_DIR") or tempfile.mkdtemp(prefix="assayline-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
