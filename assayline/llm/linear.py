@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayline.llm import wordhash
@@ -27,7 +27,8 @@ from assayline.llm.shared import short_batches
 class LinearConfig:
     """bits: log2 of the number of features. gaps: distances of word pairs (1: bigrams, more: skip-grams).
     signs: runs of signs are tokens too. lower: A-Z count as a-z. repeats: all trigrams of one word three times over
-    share a feature. max_rows: the bound of the labelled sample. min_rows: documents that a feature needs."""
+    share a feature. max_rows, max_bytes: bounds of the labelled sample, in documents and in bytes of their features.
+    min_rows: documents that a feature needs."""
 
     bits: int = 20
     gaps: tuple[int, ...] = (1,)
@@ -35,6 +36,7 @@ class LinearConfig:
     lower: bool = True
     repeats: bool = False
     max_rows: int = 8000
+    max_bytes: int = 256 << 20
     epochs: int = 4
     alpha: float = 0.15
     beta: float = 1.0
@@ -113,7 +115,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, cfg: LinearConfig) -> tuple
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, cfg: LinearConfig) -> LinearModel:
-    """Fits on at most cfg.max_rows labelled documents, those whose ids hash lowest.
+    """Fits on at most cfg.max_rows labelled documents, those whose ids hash lowest, as far as max_bytes goes.
 
     docs: (doc_id, text); labels: (doc_id, <label> 0 or 1). Rows without id or label are left out; several labels of
     one id count as their largest. Without any labelled row the model is empty and scores 0.5.
@@ -140,6 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, cfg: LinearConfig) -> Li
         return pd.DataFrame({"i": np.append(index, -1), "w": np.append(w, b).astype(float)})
 
     hashed = sample.mapInArrow(sets, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y double, x binary")
+    upto = F.sum(F.octet_length("x")).over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    hashed = hashed.withColumn("upto", upto).where(F.col("upto") <= cfg.max_bytes).drop("upto")  # of max_rows rows at most
     got = hashed.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(train, "i long, w double").toPandas()
     if not len(got):
         return LinearModel(cfg)

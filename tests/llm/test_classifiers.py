@@ -63,3 +63,40 @@ def test_held_out_rows(spark, op, label, modulus, rest, least):
     truth = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     hits = [truth[r["doc_id"]] == r["predicted"] for r in got if r["held_out"] and r["doc_id"] in truth]
     assert sum(hits) / len(hits) >= least
+
+
+@pytest.mark.parametrize("cfg", [quality.CONFIG, toxicity.CONFIG])
+def test_scores_against_a_plain_loop(cfg):
+    """Words by a regular expression, n-grams, skip-grams and the sum over the set of features in plain Python."""
+    import re
+
+    rng = np.random.default_rng(4)
+    vocabulary = ["Foo", "bar", "BAZ", "é", "x1", "!!", "?", "..", "und"]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 40))) for _ in range(60)] + ["", None, "a a a a", "x" * 5000]
+    hashes = {}
+
+    def word(w):
+        if w not in hashes:
+            _, data, offsets = next(wordhash.slices(pa.array([w])))
+            hashes[w] = wordhash.words(data, offsets, wordhash.SIGN_CLASSES if cfg.signs else wordhash.WORD_CLASSES, cfg.lower)[0][0]
+        return hashes[w]
+
+    def feature_set(text):
+        found = re.findall(r"[A-Za-z0-9\u0080-\U0010ffff]+" + (r"|[^A-Za-z0-9\s\u0080-\U0010ffff]+" if cfg.signs else ""), text or "")
+        found = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in found] if cfg.lower else found
+        shift, out = np.uint64(64 - cfg.bits), {int(word(w) >> np.uint64(64 - cfg.bits)) for w in found}
+        for gap in cfg.gaps:
+            for a, b in zip(found, found[gap:]):
+                pair, _ = wordhash.joined(np.array([word(a), word(b)]), np.zeros(2, int), 1, gap)
+                out.add(int(pair[0] >> shift))
+        if cfg.repeats and any(a == b == c for a, b, c in zip(found, found[1:], found[2:])):
+            out.add(1)
+        return out
+
+    index = np.unique(np.concatenate([np.array(sorted(feature_set(t)), np.int64) for t in texts]))
+    model = linear.LinearModel(cfg, -0.3, index, rng.standard_normal(len(index)).astype(np.float32))
+    dense = np.zeros(1 << cfg.bits, np.float32)
+    dense[model.index] = model.weight
+    weight = dict(zip(index.tolist(), model.weight.tolist(), strict=True))
+    want = [1 / (1 + np.exp(-(sum(weight[f] for f in feature_set(t)) - 0.3))) for t in texts]
+    assert np.allclose(linear.scores(pa.array(texts), model, dense), want, atol=1e-5)

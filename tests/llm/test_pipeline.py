@@ -45,3 +45,30 @@ def test_stages(spark):
             assert out.columns == columns
         kept = out
     assert p.run(spark, DATA).count() == kept.count()
+
+
+def test_stages_on_odd_rows(spark):
+    """Null ids, texts, sources and languages, empty and very long texts, repeated rows and clashing columns; empty tables."""
+    import corpus_pipeline as p
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(40)
+    schema = docs.schema
+    first = docs.first()
+    odd = [(10**6, None, None, None, None), (10**6 + 1, "", "en", "a", 0), (None, "some words without an id, twice", "en", "a", 5), (None, "some words without an id, twice", "en", "a", 5), (10**6 + 2, "word " * 200_000, None, "b", 10**6), tuple(first), tuple(first)]
+    held = docs.union(spark.createDataFrame(odd, schema))
+    for clash in ("mix_kept", "quality_score", "component_id", "text_key", "rank", "shard"):
+        held = held.withColumn(clash, F.lit("x"))
+    for name, stage in p.STAGES:
+        before = held.count()
+        out = p.stored(stage(spark, held, DATA), "odd-stage")
+        assert stage(spark, held.limit(0), DATA).count() == 0
+        if name.startswith("token"):
+            assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() == before
+            assert out.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] == out.agg(F.sum("n_tokens")).first()[0]
+        else:
+            assert out.columns == held.columns and 0 < out.count() <= before
+            if name.startswith("MinHash"):
+                ids = [r["doc_id"] for r in out.collect() if r["doc_id"] is not None]
+                assert len(ids) == len(set(ids)) and out.where("doc_id is null").count() == held.where("doc_id is null").count()
+            held = out
