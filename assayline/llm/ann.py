@@ -6,10 +6,9 @@ point its way. A query is turned alike and its components cut to a few bits, so
 inner products are estimated from the packed codes by counting common bits, plane by
 plane. Each estimate has an error bound, a number of standard deviations wide.
 
-Blocks of codes meet blocks of queries; original vectors stay out of that. A block
-gives for each query those whose upper bound reaches its k-th largest lower bound; over
-all blocks, those that reach the k-th lower bound of all are chosen and scored on the
-original vectors. Equal vectors tie in every search, so beyond the k + 1 smallest ids of
+Blocks of codes meet blocks of queries; original vectors stay out of that. The k-th
+largest lower bound over all blocks is a query's floor; those whose upper bound reaches
+it are chosen and scored on the original vectors. Equal vectors tie in every search, so beyond the k + 1 smallest ids of
 one vector no other can be an answer; only those are candidates, and a vector that
 occurs very often is no burden.
 """
@@ -133,8 +132,9 @@ def estimates(words: np.ndarray, turned: np.ndarray, cfg: CodeConfig) -> np.ndar
 
 
 def _search_block(data: pd.DataFrame, queries: pd.DataFrame, cfg: CodeConfig) -> pd.DataFrame:
-    """(query_id, vec_id, low, high) of what a block of codes may hold of the k nearest of each of a block of queries."""
-    out: dict[str, list[np.ndarray]] = {"query_id": [], "vec_id": [], "low": [], "high": []}
+    """(query_id, vec_id, low): of a block of codes, for each of a block of queries, the k largest lower bounds; where
+    queries have a floor, all whose upper bound reaches it."""
+    out: dict[str, list[np.ndarray]] = {"query_id": [], "vec_id": [], "low": []}
     if len(data) and len(queries):
         data = data.sort_values("vec_id", kind="stable")
         ids, dim = data["vec_id"].to_numpy(), int(data["dim"].iloc[0])
@@ -148,37 +148,45 @@ def _search_block(data: pd.DataFrame, queries: pd.DataFrame, cfg: CodeConfig) ->
         for first in range(0, len(asked), cfg.stack):
             part = slice(first, first + cfg.stack)
             estimate = estimates(words, turned[part], cfg) * scale
-            low, high = estimate - spread, estimate + spread
             itself = asked[part, None] == ids
-            low[itself] = high[itself] = -np.inf
-            by_id = np.maximum.reduceat(low, own, axis=1) if len(own) < len(ids) else low
-            floor = -np.partition(-by_id, cfg.k - 1, axis=1)[:, cfg.k - 1] if by_id.shape[1] >= cfg.k else np.full(len(low), -np.inf)
-            q, near = np.nonzero((high >= floor[:, None]) & ~itself)
-            for name, values in (("query_id", asked[part][q]), ("vec_id", ids[near]), ("low", low[q, near]), ("high", high[q, near])):
+            if "floor" in queries:
+                q, near = np.nonzero((estimate + spread >= queries["floor"].to_numpy()[part, None]) & ~itself)
+                found = (asked[part][q], ids[near], (estimate - spread)[q, near])
+            else:
+                low = np.where(itself, -np.inf, estimate - spread)
+                low = np.maximum.reduceat(low, own, axis=1)
+                top = np.argpartition(-low, min(cfg.k, len(own)) - 1, axis=1)[:, : cfg.k]
+                found = (np.repeat(asked[part], top.shape[1]), ids[own][top].ravel(), np.take_along_axis(low, top, axis=1).ravel())
+            for name, values in zip(out, found, strict=True):
                 out[name].append(values)
-    empty = {"query_id": np.int64, "vec_id": np.int64, "low": np.float64, "high": np.float64}
+    empty = {"query_id": np.int64, "vec_id": np.int64, "low": np.float64}
     return pd.DataFrame({name: np.concatenate([np.zeros(0, t), *out[name]]) for name, t in empty.items()})
 
 
 def chosen(codes: DataFrame, queries: DataFrame, cfg: CodeConfig) -> DataFrame:
-    """(query_id, vec_id): the candidates to be scored, from the codes alone."""
+    """(query_id, vec_id): the candidates to be scored, from the codes alone.
+
+    Codes and queries meet twice: first each block gives its k largest lower bounds, which make the k-th of all, the
+    floor of a query; then it gives what reaches the floor.
+    """
     n_data = max(1, -(-codes.count() // cfg.block))
     n_query = max(1, -(-queries.count() // cfg.query_block))
     data = codes.withColumn("db", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_data))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
-    asked = queries.select("query_id", "embedding", F.size("embedding").alias("dim")).withColumn("qb", F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(n_query)).cast("int"))
-    asked = asked.withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(n_data - 1)).cast("array<long>")))
 
     def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return _search_block(left, right, cfg)
 
-    keys = ["dim", "db", "qb"]
-    found = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(both, "query_id long, vec_id long, low double, high double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("low").alias("low"), F.max("high").alias("high"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("low"))
-    best = F.row_number().over(order)
-    floor = F.min(F.when(F.col("place") <= cfg.k, F.col("low"))).over(Window.partitionBy("query_id"))
-    ranked = found.withColumn("place", best).withColumn("floor", floor)
-    return ranked.where(F.col("high") >= F.col("floor")).select("query_id", "vec_id")
+    def meet(asked: DataFrame) -> DataFrame:
+        dealt = asked.withColumn("dim", F.size("embedding")).withColumn("qb", F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(n_query)).cast("int"))
+        dealt = dealt.withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(n_data - 1)).cast("array<long>")))
+        keys = ["dim", "db", "qb"]
+        return data.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(both, "query_id long, vec_id long, low double")
+
+    best = meet(queries.select("query_id", "embedding")).groupBy("query_id", "vec_id").agg(F.max("low").alias("low"))
+    best = best.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low")))).where(F.col("place") == cfg.k)
+    floors = stored(best.select("query_id", F.col("low").alias("floor")), "floors")
+    floored = queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    return meet(floored.select("query_id", "embedding", "floor")).select("query_id", "vec_id").distinct()
 
 
 def search(rows: DataFrame, codes: DataFrame, queries: DataFrame, cfg: CodeConfig = CodeConfig()) -> DataFrame:
