@@ -100,5 +100,11 @@ def drift(pages: DataFrame, window: int, late: str = "1 hour") -> DataFrame:
 
 
 def routed(issues: DataFrame, name: str, route: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Each batch's outcomes into the outcome table, keys once: a batch that runs again replaces its own rows."""
-    return run(route(issues), name)
+    """route(issues), with a key column, into the outcome table; of a key in several batches the first batch's row stays.
+
+    A batch that runs again replaces its own rows, as each has a folder named by its number.
+    """
+    got = run(route(issues), name)
+    rest = [c for c in got.columns if c != "key"]
+    first = got.withColumn("_file", F.input_file_name()).groupBy("key").agg(F.min(F.struct("_file", *rest)).alias("m"))
+    return first.select("key", *(F.col(f"m.{c}").alias(c) for c in rest)).select(*got.columns)

@@ -41,3 +41,39 @@ def test_many_files_out_of_order(spark, many_files, name):
     c.sql(f"create view events as select * from '{many_files}/events.parquet/*.parquet'")
     want = sorted(c.sql((q_streams.SQL | q_checks.SQL)[name]).fetchall())
     assert want and sorted(map(tuple, (q_streams.QUERIES | q_checks.QUERIES)[name](spark, many_files).collect())) == want
+
+
+def test_several_batches_and_repeated_keys(spark, tmp_path):
+    """One file a batch: windows come out as from one batch, and a key keeps the outcome of its first batch."""
+    from pyspark.sql import functions as F
+
+    from assayline.streaming import logs
+
+    path = str(tmp_path / "log")
+    for i in range(4):
+        rows = [(dt.datetime(2024, 1, 1, i, m), f"k{(i + m) % 3}", float(10 * i + m), m == 2, i) for m in range(4)]
+        spark.createDataFrame(rows, "ts timestamp, kind string, elapsed_ms double, timeout boolean, file int").coalesce(1).write.mode("append").parquet(path)
+    for k, f in enumerate(sorted((f for f in os.listdir(path) if f.endswith(".parquet")), key=lambda f: spark.read.parquet(f"{path}/{f}").first()["file"])):
+        os.utime(f"{path}/{f}", (1_700_000_000 + 60 * k,) * 2)
+    schema = spark.read.parquet(path).schema
+    several, one = (sorted(map(tuple, logs.run(logs.llm_sla(logs.source(spark, f"{path}/*.parquet", schema, n)), "sla", "complete").collect())) for n in (1, None))
+    assert several == one and len(one) == 12
+    got = logs.routed(logs.source(spark, f"{path}/*.parquet", schema, 1), "router", lambda x: x.select(F.col("kind").alias("key"), F.col("file").cast("string").alias("outcome")))
+    assert {tuple(r) for r in got.collect()} == {("k0", "0"), ("k1", "0"), ("k2", "0")}
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    """A second run over the same checkpoint takes only the files that came since."""
+    from assayline.streaming import logs
+
+    path, schema = str(tmp_path / "log"), "ts timestamp, key long"
+    seen = []
+
+    def drive():
+        q = logs.source(spark, f"{path}/*.parquet", spark.createDataFrame([], schema).schema, 1).writeStream.option("checkpointLocation", str(tmp_path / "mark"))
+        q.foreachBatch(lambda batch, n: seen.extend((n, r["key"]) for r in batch.collect())).trigger(availableNow=True).start().awaitTermination()
+
+    for i in range(3):
+        spark.createDataFrame([(dt.datetime(2024, 1, 1, i), i)], schema).coalesce(1).write.mode("append").parquet(path)
+        drive()
+    assert sorted(seen) == [(0, 0), (1, 1), (2, 2)]
