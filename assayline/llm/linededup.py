@@ -131,8 +131,8 @@ def _later(a: str, b: str) -> Column:
     return (F.col(f"{a}.d") > F.col(f"{b}.d")) | ((F.col(f"{a}.d") == F.col(f"{b}.d")) & (F.col(f"{a}.l") > F.col(f"{b}.l")))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, cfg: LineConfig) -> DataFrame:
-    """(d, l) of those of pairs (d, l, ed, el), lines by place, whose word sets reach the threshold."""
+def _word_sets(pairs: DataFrame, rows: DataFrame, cfg: LineConfig) -> DataFrame:
+    """(d, l, w): the word hashes of all lines that pairs (d, l, ed, el) name."""
     ids = pairs.select("d", "l").union(pairs.select("ed", "el")).distinct()
     per_doc = stored(ids.groupBy("d").agg(F.collect_list("l").alias("ls")), "lines-wanted")  # at most a document's lines
     real = rows.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("d"), "line_base", "text")
@@ -140,11 +140,15 @@ def _verified(pairs: DataFrame, rows: DataFrame, cfg: LineConfig) -> DataFrame:
     own = (F.col("l") - F.col("line_base")).cast("int")
     parts = parts.where((F.shiftright("l", _ROW_BITS) == F.shiftright("line_base", _ROW_BITS)) & (own < F.size("lines")))
     sets = stored(parts.select("d", "l", _hashes(F.get("lines", own)).alias("w")), "line-words")
+    discard(per_doc)
+    return sets
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, cfg: LineConfig) -> DataFrame:
+    """(d, l) of those of pairs whose word sets reach the threshold."""
     a, b = sets.withColumnRenamed("w", "wa"), sets.select(F.col("d").alias("ed"), F.col("l").alias("el"), F.col("w").alias("wb"))
     both = pairs.join(a, ["d", "l"]).join(b, ["ed", "el"]).withColumn("o", F.size(F.array_intersect("wa", "wb")))
-    found = stored(both.where(F.col("o") * 100 >= (F.size("wa") + F.size("wb") - F.col("o")) * cfg.percent).select("d", "l").distinct(), "lines-matched")
-    discard(per_doc, sets)
-    return found
+    return stored(both.where(F.col("o") * 100 >= (F.size("wa") + F.size("wb") - F.col("o")) * cfg.percent).select("d", "l").distinct(), "lines-matched")
 
 
 def removals(docs: DataFrame, cfg: LineConfig = LineConfig()) -> tuple[DataFrame, DataFrame]:
@@ -166,15 +170,17 @@ def removals(docs: DataFrame, cfg: LineConfig = LineConfig()) -> tuple[DataFrame
     again = F.col("fd").isNotNull() & ((F.col("d") != F.col("fd")) | (F.col("l") != F.col("fl")))
     classes = placed.where(~again)
 
-    # The earliest class with an equal minwise value, where it is similar.
+    # A class of the earliest document with an equal minwise value, where it is similar.
     by_min = classes.select(F.explode(F.array("m1", "m2")).alias("m"), "d", "l", "n", "p", "q")
-    heads = by_min.groupBy("m").agg(F.min(F.struct("d", "l", "n", "p", "q")).alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1").select("m", "h.*")
+    # Numbers only, so that it is hashed, not sorted. Of classes of one document it may be any; all pick the same row.
+    heads = by_min.groupBy("m").agg(F.min("d").alias("d"), *(F.min_by(c, "d").alias(c) for c in ("l", "n", "p", "q")), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     heads = stored(heads, "line-heads")
     tried = by_min.alias("a").join(_small(heads, cfg).alias("h"), F.col("a.m") == F.col("h.m")).where(_later("a", "h") & _compatible("a", "h", cfg.percent))
     tried = tried.select("a.d", "a.l", F.col("h.d").alias("ed"), F.col("h.l").alias("el")).distinct()
     tried = stored(tried, "line-tries")
-    matched = _verified(tried, rows, cfg)
-    discard(heads, tried)
+    sets = _word_sets(tried, rows, cfg)
+    matched = _verified(tried, sets, cfg)
+    discard(heads, tried, sets)
 
     # Prefix join; a: a class without a match, b: an earlier class. One exchange serves both sides.
     asks = F.when(F.col("matched").isNull(), 1).otherwise(0)
@@ -189,16 +195,17 @@ def removals(docs: DataFrame, cfg: LineConfig = LineConfig()) -> tuple[DataFrame
     found = stored(found, "line-candidates")
     nearest = found.groupBy(*AT).agg(F.min(F.struct("apart", "ed", "el")).alias("e")).select(*AT, F.col("e.ed").alias("ed"), F.col("e.el").alias("el"))
     nearest = stored(nearest, "line-nearest")
-    good = _verified(nearest, rows, cfg)
+    sets = _word_sets(found, rows, cfg)
+    good = _verified(nearest, sets, cfg)
     rest = found.select(*AT, "ed", "el").join(_small(good, cfg), list(AT), "left_anti").join(nearest, [*AT, "ed", "el"], "left_anti")
     rest = stored(rest, "line-rest")
-    late = matched.union(good).union(_verified(rest, rows, cfg))
+    late = matched.union(good).union(_verified(rest, sets, cfg))
 
     gone = placed.where(again).select(*AT).union(late)
     base = _shift(F.shiftright("l", _ROW_BITS), _ROW_BITS)
     gone = gone.groupBy("d", base.alias("gone_base")).agg(F.array_sort(F.collect_list((F.col("l") - base).cast("int"))).alias("removed_lines"))
     gone = stored(gone, "lines-gone")
-    discard(lines, first, found, nearest, rest, matched, good)
+    discard(lines, first, found, nearest, rest, matched, good, sets)
     return rows, gone
 
 
