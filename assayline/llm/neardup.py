@@ -13,6 +13,9 @@ Then members of different components are compared with each other, all of them i
 node, so nothing is left out and the many pairs within a known group are not made. A
 128-bit sketch on each row drops pairs far below the threshold inside the join; every
 link is confirmed on the full sets of both texts.
+
+Words and shingles are 64-bit hashes; sets are taken as equal where their size and a
+128-bit fingerprint of those hashes agree.
 """
 
 from __future__ import annotations
@@ -204,7 +207,8 @@ def link(docs: DataFrame, cfg: PathConfig = PathConfig()) -> DataFrame:
 
     component_id is the smallest doc_id reachable by links of Jaccard similarity percent / 100 or more. Texts that are
     null, empty or without words have no shingle and no link; rows without doc_id take no part and have component_id
-    null and kept true. Repeated rows are linked like equal texts.
+    null and kept true. Repeated rows are linked like equal texts; of different texts under one doc_id each has a row of
+    its own, and any one of them stands for the id where a link is confirmed.
     """
     spark = docs.sparkSession
     ship(spark)
