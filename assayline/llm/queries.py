@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayline.llm import ann, decontaminate, extract, linededup, mixing, neardup, quality, tokens, toxicity, warc
+from assayline.llm import ann, decontaminate, extract, linededup, mixing, neardup, periodic, pieces, quality, tokens, toxicity, variants, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chosen_path": neardup.op8_chosen_path,
     "op9_html_extraction": extract.op9_html_extraction,
     "op10_quality_classifier": quality.op10_quality_classifier,
+    "op11_spelling_variants": variants.op11_spelling_variants,
+    "op12_sentencepiece": pieces.op12_sentencepiece,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mixing.sql()}
