@@ -1,9 +1,10 @@
 """Benchmark decontamination by templates, so that questions with changed numbers or names are found too.
 
 Texts become sequences of tokens in which numbers, names and units are typed
-placeholders; a run of name words is one. Only texts that hold a pair of plain words
-from some window of the benchmark, its anchor, are looked at that closely. Windows of template tokens of documents are hash-joined with those of the
-benchmark; each alignment that shares a window is then compared token by token over the
+placeholders; a run of name words is one. Only texts that hold a run of plain words
+from some window of the benchmark, its anchor, are looked at that closely, or, where a
+window has no plain word, as many numbers in a row as it has. Windows of template tokens
+of documents are hash-joined with those of the benchmark; each alignment that shares a window is then compared token by token over the
 whole item. Placeholders must be filled consistently: one value of the item always
 stands for one value of the document; different values may become equal. Whether an
 item's first word looks like a name depends on what precedes it in the document, so it
@@ -96,17 +97,28 @@ def _anchor(own: Column, typed: Column) -> Column:
     return F.coalesce(*(F.array_max(_grams(plain, n)) for n in ANCHORS))
 
 
+def _slot_pattern(numbers: int) -> str:
+    """What a text has where it holds so many number tokens in a row, or at 0 a unit."""
+    if not numbers:
+        words = "|".join(u for u in UNITS if u.isalpha())
+        return rf"(?i)[%$€£°]|(?<!\p{{L}})(?:{words})(?!\p{{L}})"
+    return r"\p{N}++(?:[^\p{L}\p{N}]++\p{N}++){%d}" % (numbers - 1)
+
+
 def _candidates(rows: DataFrame, words: DataFrame, cfg: TemplateConfig) -> DataFrame:
-    """Those of rows whose text holds the anchor of some window; all, where a window has no plain word to look for."""
+    """Those of rows whose text holds the anchor of some window, or, for windows without a plain word, as many numbers
+    in a row as the one with fewest of them (without numbers, some unit)."""
     it, tt = F.transform("it", _bare), F.when(F.col("short"), F.col("it")).otherwise(F.col("tt"))
     k = F.when(F.col("short"), F.size("it")).otherwise(F.least(F.size("it"), F.lit(cfg.window)))
     parts = words.select(it.alias("own"), tt.alias("typed"), k.alias("k"), F.explode(F.sequence(F.lit(1), F.size("it") - k + 1)).alias("i"))
-    anchor = _anchor(F.slice("own", F.col("i"), F.col("k")), F.slice("typed", F.col("i"), F.col("k")))
-    anchors = stored(parts.select(anchor.alias("a")).select("a.n", "a.h").distinct(), "anchors")
-    lengths = sorted(r["n"] or 0 for r in anchors.select("n").distinct().collect())  # at most one more than ANCHORS
-    if 0 in lengths:
-        return rows
-    anchors = anchors.select("h")
+    own = F.slice("own", F.col("i"), F.col("k"))
+    anchor = _anchor(own, F.slice("typed", F.col("i"), F.col("k")))
+    digits = F.array_join(F.transform(own, lambda w: F.when(w.rlike(r"^\p{N}"), "1").otherwise("0")), "")
+    in_row = F.array_max(F.transform(F.split(digits, "0"), F.length))
+    anchors = stored(parts.select(anchor.alias("a"), in_row.alias("numbers")).select("a.n", "a.h", F.when(F.col("a").isNull(), F.col("numbers")).alias("numbers")).distinct(), "anchors")
+    lengths = sorted(r["n"] for r in anchors.where("n is not null").select("n").distinct().collect())  # at most those of ANCHORS
+    fewest = anchors.agg(F.min("numbers")).first()[0]
+    anchors = anchors.where("h is not null").select("h").distinct()
     if anchors.count() <= cfg.broadcast_windows:
         anchors = F.broadcast(anchors)
     letters = F.split(F.lower("text"), r"\P{L}+")
@@ -114,9 +126,13 @@ def _candidates(rows: DataFrame, words: DataFrame, cfg: TemplateConfig) -> DataF
     def hashes(ws: Column, n: int) -> Column:
         return F.transform(ws, lambda w, i: F.xxhash64(F.lit(n), F.slice(ws, i + 1, n)))
 
-    pairs = _bound(letters, lambda ws: F.flatten(F.array(*(hashes(ws, n) for n in lengths))))
-    held = rows.select("doc_id", "text_key", F.explode(pairs).alias("h")).join(anchors, "h", "left_semi").select("doc_id", "text_key").distinct()
-    held = stored(held, "candidates")
+    held = rows.select("doc_id", "text_key").limit(0)
+    if lengths:
+        pairs = _bound(letters, lambda ws: F.flatten(F.array(*(hashes(ws, n) for n in lengths))))
+        held = rows.select("doc_id", "text_key", F.explode(pairs).alias("h")).join(anchors, "h", "left_semi").select("doc_id", "text_key")
+    if fewest is not None:
+        held = held.union(rows.where(F.col("text").rlike(_slot_pattern(fewest))).select("doc_id", "text_key"))
+    held = stored(held.distinct(), "candidates")
     return rows.join(F.broadcast(held) if held.count() <= cfg.broadcast_windows else held, ["doc_id", "text_key"], "left_semi")
 
 

@@ -7,12 +7,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
 
-#: Elements whose text is never shown as text.
-SKIPPED = frozenset("script style template head iframe object svg math noscript textarea select option canvas audio video".split())
+#: Elements whose content is never shown as text of the page.
+SKIPPED = frozenset("script style template head title desc iframe noscript textarea select option datalist canvas audio video".split())
+#: Elements with a language of their own, whose words belong to the line they stand in.
+FOREIGN = frozenset("math svg".split())
 #: Elements that have no end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that stand inside a line of text.
-INLINE = frozenset("a abbr acronym b bdi bdo big br button cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym area b base bdi bdo big br button cite code data del dfn em embed font i img input ins kbd label link map mark meta meter object output param picture progress"
+    " q rp rt ruby s samp slot small source span strike strong sub sup time track tt u var wbr".split()
+)
 #: Elements whose end tags may be left out, with the open elements that they end.
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 RAW = frozenset("script style textarea title iframe noscript".split())
@@ -38,11 +43,16 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def _inner(stack: list[tuple[str, tuple[str, ...]]]) -> int:
+    """Where the outermost hidden or foreign element lies in the stack."""
+    return next((k for k, (tag, _) in enumerate(stack) if tag in SKIPPED or tag in FOREIGN), len(stack))
+
+
 def blocks(html: str) -> Iterator[Block]:
     """Blocks with text in page order. Unclosed elements end where an outer one does; stray end tags are ignored."""
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
-    linked = links = hidden = 0
+    linked = links = hidden = foreign = 0
     lower = None
     at = 0
 
@@ -64,11 +74,12 @@ def blocks(html: str) -> Iterator[Block]:
                 linked += len(text.strip())
 
     def drop(depth: int) -> None:
-        nonlocal links, hidden
+        nonlocal links, hidden, foreign
         while len(stack) > depth:
             tag = stack.pop()[0]
             links -= tag == "a"
             hidden -= tag in SKIPPED
+            foreign -= tag in FOREIGN
 
     while True:
         m = _MARKUP.search(html, at)
@@ -82,9 +93,13 @@ def blocks(html: str) -> Iterator[Block]:
                 add(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
         tag = m[2].lower()
-        if tag not in INLINE:
+        # What is not shown ends neither a line nor a paragraph, nor does what lies inside it or in a formula or drawing.
+        inline = tag in INLINE or tag in SKIPPED or tag in FOREIGN or hidden > 0 or foreign > 0
+        if m[1] and inline and tag not in INLINE and tag not in SKIPPED and tag not in FOREIGN:
+            inline = any(t == tag for t, _ in stack[_inner(stack) :])  # the end of something outside ends what is inside
+        if not inline:
             yield from flush()
-        elif tag == "br" or tag == "img":
+        elif tag == "br" or tag == "img" or foreign and tag == "text":
             held.append(" ")
         if m[1]:
             for depth in range(len(stack) - 1, -1, -1):
@@ -94,7 +109,7 @@ def blocks(html: str) -> Iterator[Block]:
             continue
         if tag == "body":
             drop(0)
-        elif tag not in INLINE:
+        elif not inline:
             ends = IMPLIED.get(tag, ())
             for depth in range(len(stack) - 1, -1, -1):
                 open_tag = stack[depth][0]
@@ -103,11 +118,12 @@ def blocks(html: str) -> Iterator[Block]:
                     break
                 if open_tag not in INLINE and open_tag not in ("thead", "tbody", "tfoot"):
                     break
-        if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
+        if tag in VOID or m[3].endswith("/") and (foreign or tag in FOREIGN):
             continue
         stack.append((tag, _names(tag, m[3])))
         links += tag == "a"
         hidden += tag in SKIPPED
+        foreign += tag in FOREIGN
         if tag in RAW:
             if lower is None:
                 lower = html.lower() if html.isascii() else re.sub("[A-Z]+", lambda x: x[0].lower(), html)

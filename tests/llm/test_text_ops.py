@@ -8,6 +8,8 @@ import pytest
 
 from assayline.llm import ann, decontaminate, extract, linededup, mixing
 from assayline.llm.htmlblocks import blocks
+from pyspark.sql import functions as F
+
 from tests.llm.shapes import SHAPES
 
 
@@ -101,6 +103,22 @@ def test_template_slots_and_short_items(spark, item, text, kind):
     assert [(r["doc_id"], r["kind"]) for r in decontaminate.contaminated(docs, items).collect()] == ([(1, kind)] if kind else [])
 
 
+def test_windows_without_a_plain_word_choose_few_texts(spark):
+    """An item of numbers adds only texts with as many numbers in a row; one of units alone, texts with a unit."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["worda wordb wordc 5", "1 2 3, 4; 5", "1 2 km 3 4 5", "plain words", "50 % off", "none of it"])], "doc_id long, text string")
+    rows = docs.select("*", F.xxhash64("text").alias("text_key"))
+
+    def chosen(*texts):
+        words = spark.createDataFrame([(t,) for t in texts], "text string").select(decontaminate.tokens(F.col("text")).alias("it"))
+        words = words.withColumn("short", F.size("it") < 5).withColumn("tt", decontaminate.template(F.col("it")))
+        return sorted(r["doc_id"] for r in decontaminate._candidates(rows, words, decontaminate.TemplateConfig()).collect())
+
+    plain = chosen("worda wordb wordc wordd worda wordb")
+    assert plain == [] and chosen("worda wordb wordc") == [0]
+    assert chosen("12 34 56 78 90") == [1] and chosen("12 34 56 78 90", "worda wordb wordc") == [0, 1]
+    assert chosen("12 34 56 % 78 90") == [1, 2] and chosen("%") == [2, 4]
+
+
 def contaminated_by_brute_force(docs, items, window=8, min_tokens=5, cover=0.6):
     """Every alignment of every item with every document, token by token."""
     import regex
@@ -155,7 +173,7 @@ def test_templates_against_brute_force(spark):
     def said(n):
         return " ".join(rng.choice(plain) if rng.random() < 0.6 else rng.choice(names) if rng.random() < 0.5 else rng.choice([str(rng.randint(1, 4)), rng.choice(units)]) for _ in range(n))
 
-    items = [(i, said(rng.randint(1, 14)) + rng.choice(["", ".", "?"])) for i in range(30)] + [(30, None), (31, ""), (None, "worda wordb"), (3, "x y z")]
+    items = [(i, said(rng.randint(1, 14)) + rng.choice(["", ".", "?"])) for i in range(27)] + [(27, "1 2 3 4 5"), (28, "7 % 8"), (29, "Anna km Bob % Carla")] + [(30, None), (31, ""), (None, "worda wordb"), (3, "x y z")]
     docs = []
     for i in range(60):
         parts = [said(rng.randint(0, 6))]
@@ -192,6 +210,28 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</scri
 <div class=comments><p>Nice post</p></div><footer>&copy; us</footer>"""
 
 
+@pytest.mark.parametrize(
+    ("html", "texts"),
+    [
+        ("<p>We went <script>var a = '<p>';</script>out at dawn</p>", ["We went out at dawn"]),
+        ("<p>x <style>p{}</style>y<noscript><p>no</p></noscript> z</p><p>b</p>", ["x y z", "b"]),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", ["so x=2 holds"]),
+        ("<p>see <svg><title>icon</title><path d='x'/><text>North</text><text>South</text></svg> here</p>", ["see North South here"]),
+        ("<p>pick <select><option>a<option>b</select> one</p>", ["pick one"]),
+        ("<p>an <object data='x'><param name='q'>fall back</object> text</p>", ["an fall back text"]),
+        ("<p>an <iframe src='x'><p>no</p></iframe> end<video><source src=x>old</video></p>", ["an end"]),
+        ("<div><p>a <select><option>b</div><p>c</p>", ["a", "c"]),
+        ("<p>a <math><mi>x</p><p>next</p>", ["a x", "next"]),
+        ("<p>a<template><p>q</p></template>b<p>c", ["ab", "c"]),
+    ],
+)
+def test_hidden_elements_end_no_block(html, texts):
+    from assayline.llm.htmlblocks import blocks
+
+    got = list(blocks(html))
+    assert [b.text for b in got] == texts and [b.path[0][0] for b in got] == [html[1 : html.index(">")]] + ["p"] * (len(texts) - 1)
+
+
 def test_blocks():
     got = [(b.text, b.path[-1][0]) for b in blocks(PAGE)]
     assert got == [("Home", "nav"), ("Buy now", "div"), ("A title & more", "h1"), ("First part of it.", "b"), ("Second part, longer than the first.", "p"), ("Nice post", "p"), ("© us", "footer")]
