@@ -63,12 +63,30 @@ def severity_rank(c: Column) -> Column:
 
 
 def first_policy_hit(text: Column, rules: list[tuple[str, str]] = POLICY_RULES) -> Column:
-    """struct(reason, matched) of the first rule that text breaks, null if none."""
-    hits = []
-    for name, pattern in rules:
-        found = F.regexp_extract(text, pattern, 0)
-        hits.append(F.when(found != "", F.struct(F.lit(name).alias("reason"), found.alias("matched"))))
-    return F.coalesce(*hits)
+    """struct(reason, matched) of the first rule that text breaks, null if none. Of JSON only the values count, not keys."""
+
+    def first(t: Column) -> Column:
+        hits = []
+        for name, pattern in rules:
+            found = F.regexp_extract(t, pattern, 0)
+            hits.append(F.when(found != "", F.struct(F.lit(name).alias("reason"), found.alias("matched"))))
+        return F.coalesce(*hits)
+
+    # In a one-element array the values are worked out once, however many rules look at them.
+    return F.get(F.transform(F.array(json_values(text)), first), F.lit(0))
+
+
+#: A string of a JSON text, with the colon where it is a key, or another scalar.
+_SCALAR = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?|-?[0-9][0-9.eE+-]*+|true|false'
+
+
+def json_values(text: Column) -> Column:
+    """The scalar values of a JSON text at any depth, in its order, one a line, without keys and nulls; other texts as
+    they are. Of a key that an object holds twice both values are there."""
+    may = text.rlike(r'^\s*+[\[{"0-9tfn-]')
+    found = F.filter(F.regexp_extract_all(text, F.lit(_SCALAR), F.lit(0)), lambda x: ~x.endswith(":"))
+    values = F.from_json(F.concat(F.lit("["), F.array_join(found, ","), F.lit("]")), "array<string>")
+    return F.when(may & F.try_parse_json(text).isNotNull(), F.array_join(values, "\n")).otherwise(text)
 
 
 def is_trivial(code: Column, min_chars: int = 20, min_lines: int = 2) -> Column:

@@ -63,15 +63,35 @@ def intelligence(chunks: DataFrame) -> DataFrame:
     return g.select(F.when(F.col("gid") == 3, "all").when(F.col("gid") == 1, "lang").otherwise("kind").alias("scope"), F.coalesce("lang", "kind", F.lit("")).alias("value"), "chunks", "with_callers", "with_tests", "with_doc")
 
 
-def rule_history(rules: DataFrame, commits: DataFrame, most: int = 3, least: int = 3) -> DataFrame:
-    """rules (rule) × commits (sha, subject, committed): the latest commits whose subject holds the rule's short key.
+def containing(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """texts (text, …) × patterns (pattern) → each row of texts with each pattern that its text contains, case and all.
 
-    Subjects are cut into words first, so a rule meets only commits with its word.
+    A pattern, of three characters at least, is looked for only in texts that hold the rarest of its runs of three, so
+    that thousands of patterns cost one pass over the texts' runs and not a pass each. Patterns are distinct.
     """
-    short = rules.select("rule", F.lower(F.element_at(F.split("rule", ":"), -1)).alias("w")).where(F.length("w") >= least).distinct()
-    words = commits.select("sha", "subject", "committed", F.explode(F.array_distinct(F.split(F.lower("subject"), "[^a-z0-9]+"))).alias("w"))
+
+    def runs(c: Column) -> Column:
+        n = F.char_length(c)
+        return F.array_distinct(F.transform(F.when(n >= 3, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>")), lambda i: F.substr(c, i, F.lit(3))))
+
+    wanted = patterns.where(F.char_length("pattern") >= 3).select("pattern").distinct().select("pattern", F.explode(runs(F.col("pattern"))).alias("run"))
+    held = texts.select("text").where("text is not null").distinct().select("text", F.explode(runs(F.col("text"))).alias("run")).join(wanted.select("run").distinct(), "run", "left_semi")
+    often = held.groupBy("run").count()
+    # A run that no text holds is no key of `often`: such patterns are in no text.
+    rarest = wanted.join(often, "run", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "run")).alias("m")).where("m.n > 0")
+    met = held.join(rarest.select("pattern", F.col("m.run").alias("run")), "run").where(F.contains("text", F.col("pattern"))).select("text", "pattern")
+    return texts.join(met, "text")
+
+
+def rule_history(rules: DataFrame, commits: DataFrame, most: int = 3, least: int = 3) -> DataFrame:
+    """rules (rule) × commits (sha, subject, committed) → (rule, sha, rank): the latest commits whose subject contains the
+    rule's short key, what follows its last colon. Keys under `least` characters (three or more) are left out."""
+    if least < 3:
+        raise ValueError("short keys have three characters at least")
+    short = rules.select("rule", F.element_at(F.split("rule", ":"), -1).alias("pattern")).where(F.char_length("pattern") >= least).distinct()
+    hits = containing(commits.select("sha", F.col("subject").alias("text"), "committed"), short.select("pattern")).join(short, "pattern")
     rank = F.row_number().over(Window.partitionBy("rule").orderBy(F.desc("committed"), "sha"))
-    return words.join(short, "w").withColumn("rank", rank).where(F.col("rank") <= most).select("rule", "sha", "rank")
+    return hits.withColumn("rank", rank).where(F.col("rank") <= most).select("rule", "sha", "rank")
 
 
 def routes_to_handlers(chunks: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -5,24 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayline.sources.workdir import stored
+
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """docs (doc_id, text) × queries (query_id, text) → (query_id, doc_id, score) of documents that share a word.
+def bm25_postings(docs: DataFrame, asked: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """docs (doc_id, text) × asked (w) → (w, doc_id, part): what each asked word adds to a document's score.
 
-    Only words of queries are joined, after counting words by document; document lengths are counted over all words.
+    Texts are cut once: an empty word for each document carries the lengths to the mean over all of them.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w"))
-    words = docs.select("doc_id", tokens(F.col("text")).alias("ws")).withColumn("dl", F.size("ws"))
-    n, mean = words.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    tf = words.select("doc_id", "dl", F.explode("ws").alias("w")).join(asked.select("w").distinct(), "w", "left_semi").groupBy("doc_id", "dl", "w").agg(F.count(F.lit(1)).alias("tf"))
+    words = docs.select("doc_id", tokens(F.col("text")).alias("ws")).select("doc_id", F.size("ws").alias("dl"), F.explode(F.concat("ws", F.array(F.lit("")))).alias("w"))
+    known = asked.select("w").distinct().union(asked.sparkSession.createDataFrame([("",)], "w string"))
+    tf = stored(words.join(known, "w", "left_semi").groupBy("doc_id", "dl", "w").agg(F.count(F.lit(1)).alias("tf")), "word-counts")
+    n, mean = tf.where("w = ''").agg(F.sum("tf"), F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).first()
+    tf = tf.where("w <> ''")
     df = tf.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.log(1 + ((n or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (mean or 1)))
-    return tf.join(df, "w").join(asked, "w").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return tf.join(df, "w").select("w", "doc_id", part.alias("part"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 15, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """docs (doc_id, text) × queries (query_id, text) → (query_id, doc_id, rank, score): the k best that share a word, ties by doc_id."""
+    asked = stored(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w")), "asked-words")
+    scores = bm25_postings(docs, asked, k1, b).join(asked, "w").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    return top_n(scores, "query_id", [F.desc("score"), F.col("doc_id")], k)
 
 
 def centroids(vectors: DataFrame) -> DataFrame:

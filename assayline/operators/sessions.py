@@ -1,9 +1,7 @@
-"""Recorded sessions: pairing, as-of lookups, islands, step cleaning, alignment."""
+"""Recorded sessions: pairing, as-of lookups, islands, step cleaning."""
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,47 +89,6 @@ def dedupe_clicks(steps: DataFrame) -> DataFrame:
     return steps.groupBy("session").applyInPandas(one, steps.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ") + ", step int")
 
 
-def _score(a: tuple, b: tuple) -> float:
-    """a, b: (action, target, value)."""
-    if a[0] != b[0]:
-        return 0.0
-    if a == b:
-        return 1.0
-    return 0.3 + 0.5 * SequenceMatcher(None, a[1] or "", b[1] or "").ratio() + 0.2 * ((a[2] or "") == (b[2] or ""))
-
-
-def align(left: DataFrame, right: DataFrame, least: float = 0.7, exact: float = 0.999) -> DataFrame:
-    """left, right (pair, ordinal, action, target, value) → (pair, left_step, right_step, kind, score) by weighted LCS.
-
-    kind: exact, value_diff, missing (left only) or extra (right only). Each pair is one bounded group.
-    """
-
-    def one(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x = list(a.sort_values("ordinal")[["action", "target", "value"]].itertuples(index=False, name=None))
-        y = list(b.sort_values("ordinal")[["action", "target", "value"]].itertuples(index=False, name=None))
-        best = [[0.0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        match = [[_score(p, q) for q in y] for p in x]
-        for i in range(len(x) - 1, -1, -1):
-            for j in range(len(y) - 1, -1, -1):
-                best[i][j] = max(best[i + 1][j], best[i][j + 1], match[i][j] + best[i + 1][j + 1] if match[i][j] >= least else 0.0)
-        rows, i, j = [], 0, 0
-        while i < len(x) or j < len(y):
-            if i < len(x) and j < len(y) and match[i][j] >= least and best[i][j] == match[i][j] + best[i + 1][j + 1]:
-                rows.append((i + 1, j + 1, "exact" if match[i][j] >= exact else "value_diff", match[i][j]))
-                i, j = i + 1, j + 1
-            elif j >= len(y) or i < len(x) and best[i][j] == best[i + 1][j]:
-                rows.append((i + 1, None, "missing", 0.0))
-                i += 1
-            else:
-                rows.append((None, j + 1, "extra", 0.0))
-                j += 1
-        out = pd.DataFrame(rows, columns=["left_step", "right_step", "kind", "score"]).astype({"left_step": "Int32", "right_step": "Int32"})
-        out.insert(0, "pair", key[0])
-        return out
-
-    return left.groupBy("pair").cogroup(right.groupBy("pair")).applyInPandas(one, "pair long, left_step int, right_step int, kind string, score double")
-
-
 def with_redirects(actions: DataFrame, redirects: DataFrame) -> DataFrame:
     """actions (method, target) with dialog_text; redirects: (requested, message, ordinal), the last of an address counts."""
     real = redirects.where("coalesce(requested, '') <> '' and coalesce(message, '') <> ''")

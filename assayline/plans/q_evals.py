@@ -17,6 +17,15 @@ def policy_check(spark: SparkSession, d: str) -> DataFrame:
     return hit.select("doc_id", "h.reason", "h.matched")
 
 
+def policy_values(spark: SparkSession, d: str) -> DataFrame:
+    """Policy of answers in JSON: each document's text as a value deep inside, or, for every other one, as a key."""
+    docs = table(spark, d, "documents")
+    inside = F.to_json(F.struct(F.lit(1).alias("n"), F.array(F.struct(F.array(F.lit("x"), F.col("text")).alias("parts"))).alias("answer")))
+    as_key = F.to_json(F.create_map(F.col("text"), F.lit(True)))
+    hit = docs.select("doc_id", T.first_policy_hit(F.when(F.col("doc_id") % 2 == 0, inside).otherwise(as_key)).alias("h")).where("h is not null")
+    return hit.select("doc_id", "h.reason", "h.matched")
+
+
 def policy_counts(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "conversations").select(F.col("text")).unionAll(table(spark, d, "documents").select("text"))
     return hits.select(F.coalesce(T.first_policy_hit(F.col("text"))["reason"], F.lit("(none)")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
@@ -123,7 +132,7 @@ def extract_answer(spark: SparkSession, d: str) -> DataFrame:
     return e.select(evals.first_of(F.col("props"), ("$.answer", "$.k")).cast("int").alias("answer")).groupBy("answer").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (policy_check, policy_counts, filter_trivial_chunks, needs_translation, head_tail_cut, group_conversations, transcript, conversation_cutoff, eval_totals, threshold_flags, indicator_rollup, calibration, borderline_rescore, golden_scorecard, dataset_fingerprint, failed_case_topn, criteria_contains, error_class, extract_answer)}
+QUERIES = {f.__name__: f for f in (policy_check, policy_values, policy_counts, filter_trivial_chunks, needs_translation, head_tail_cut, group_conversations, transcript, conversation_cutoff, eval_totals, threshold_flags, indicator_rollup, calibration, borderline_rescore, golden_scorecard, dataset_fingerprint, failed_case_topn, criteria_contains, error_class, extract_answer)}
 
 _RULES = [(n, p.replace("'", "''")) for n, p in T.POLICY_RULES]
 _EXTRACT = ", ".join(f"nullif(regexp_extract(text, '{p}', 0), '') as h{i}" for i, (_, p) in enumerate(_RULES))
@@ -140,6 +149,8 @@ _FLAGS = f"{_SCORES}, {_LIMITS}, f as (select case_id, metric, score, threshold,
 
 SQL = {
     "policy_check": f"with x as (select doc_id, {_EXTRACT} from documents) select doc_id, {_REASON} as reason, {_MATCHED} as matched from x where {_MATCHED} is not null",
+    "policy_values": f"with j as (select doc_id, case when doc_id % 2 = 0 then json_object('n', 1, 'answer', [{{'parts': ['x', text]}}]) else json_object(text, true) end as js from documents),"
+    f" v as (select doc_id, string_agg(t.atom ->> '$', chr(10) order by t.id) as text from j, json_tree(j.js) t where t.atom is not null group by doc_id), x as (select doc_id, {_EXTRACT} from v) select doc_id, {_REASON} as reason, {_MATCHED} as matched from x where {_MATCHED} is not null",
     "policy_counts": f"with x as (select {_EXTRACT} from (select text from conversations union all select text from documents)) select coalesce({_REASON}, '(none)') as reason, count(*) as n from x group by 1",
     "filter_trivial_chunks": f"select lang, length({_TRIM}) < 400 or len(list_filter(string_split({_TRIM}, chr(10)), lambda x: trim(x) <> '')) < 3 as trivial, count(*) as n from documents group by all",
     "needs_translation": "select role, regexp_matches(text, '[一-鿿]') or regexp_matches(text, '[A-Za-z]{4,}') as needed, count(*) as n from conversations group by all",

@@ -113,9 +113,11 @@ def route_to_handler(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rule_fix_history(spark: SparkSession, d: str) -> DataFrame:
-    """Words of part names as rules, parts as commits that mention them."""
+    """Second words of part names, their inner parts and two words with the blank between as rules; parts as commits."""
     p = table(spark, d, "part")
-    rules = p.select(F.concat(F.lit("lint:"), F.element_at(F.split("p_name", " "), 2)).alias("rule")).distinct()
+    words = F.split("p_name", " ")
+    keys = F.array(F.get(words, F.lit(1)), F.substring(F.get(words, F.lit(1)), 2, 4), F.array_join(F.slice(words, 1, 2), " "))
+    rules = p.select(F.explode(F.transform(keys, lambda k: F.concat(F.lit("lint:"), k))).alias("rule")).distinct()
     return K.rule_history(rules, p.select(F.col("p_partkey").alias("sha"), F.col("p_name").alias("subject"), F.col("p_size").alias("committed")))
 
 
@@ -265,7 +267,8 @@ SQL = {
     "dependency_counts": f"select {_WHEN} as category, count(distinct p_name) as n from part group by 1",
     "test_links_exact": "select replace(p_name, ' ', '_') as symbol, count(distinct p_partkey) as tests, count(distinct p_partkey) as symbols from part group by 1",
     "route_to_handler": "with f as (select l_suppkey, '/p' || arg_min(l_partkey, l_orderkey * 100000000 + l_partkey) as route from lineitem group by 1) select s_suppkey as symbol, case when s_suppkey % 4 = 0 then '/own' else route end as endpoint from supplier left join f on l_suppkey = s_suppkey",
-    "rule_fix_history": "with r as (select distinct string_split(p_name, ' ')[2] as w from part), m as (select 'lint:' || w as rule, p_partkey as sha, row_number() over (partition by w order by p_size desc, p_partkey)::int as rank from r join part on list_contains(string_split(lower(p_name), ' '), w)) select rule, sha, rank from m where rank <= 3",
+    "rule_fix_history": "with w as (select string_split(p_name, ' ') as ws from part), k as (select ws[2] as w from w union select substr(ws[2], 2, 4) from w union select ws[1] || ' ' || ws[2] from w),"
+    " m as (select 'lint:' || w as rule, p_partkey as sha, row_number() over (partition by w order by p_size desc, p_partkey)::int as rank from k join part on contains(p_name, w) where length(w) >= 3) select rule, sha, rank from m where rank <= 3",
     "self_exclude_hits": f"with h as (select l_orderkey as issue, l_orderkey % 5 as ip, (l_orderkey % 3 * 10)::int as il, l_orderkey % 2 = 0 as named, l_partkey % 5 as path, case when l_suppkey % 2 = 0 then 'f' else 'g' end as symbol from lineitem) select issue, count(*) as n from h where not ({_OWN}) group by 1",
     "context_filter": f"with {_LEFT} select issue, bucket, count(*) as n, max(score) as best from used group by all",
     "context_stats": f"with {_LEFT} select (select count(*) from h) as retrieved, (select count(*) from x) as kept, (select count(*) from used) as used, (select count(*) from used where bucket = 'tests') as tests, (select count(*) from used where bucket = 'callers') as callers",

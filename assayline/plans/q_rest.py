@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayline.operators import fuzzy
 from assayline.plans.q_issues import _ISSUES, _issues
 from assayline.sources import files
 from assayline.sources.tables import table
@@ -45,20 +43,16 @@ def golden_vs_observed_steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def best_fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
-    """For each part name with two words swapped, the most similar name of its size and brand, over 0.8 only.
-
-    Pairs are made within blocks of brand and size; only the ratio itself runs in Python, over Arrow batches.
-    """
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.concat_ws(" ", "p_name", "p_type").alias("name"))
-    pairs = p.alias("a").join(p.alias("b"), ["p_brand", "p_size"]).where("a.p_partkey <> b.p_partkey").select(F.col("a.p_partkey").alias("id"), F.col("b.p_partkey").alias("other"), F.col("a.name").alias("x"), F.col("b.name").alias("y"))
-
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(x, y, strict=True)])
-
-    scored = pairs.withColumn("score", ratio("x", "y")).where("score > 0.8")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
-    return scored.withColumn("r", rank).where("r = 1").select("id", "other", F.round("score", 6).alias("score"))
+    """Part names with their first two words swapped as targets among the names on their brand's page, a tenth disabled."""
+    p = table(spark, d, "part")
+    name = F.concat_ws(" ", "p_name", "p_type")
+    words = F.split(name, " ")
+    swapped = F.array_join(F.concat(F.array(F.get(words, F.lit(1)), F.get(words, F.lit(0))), F.slice(words, 3, 100)), " ")
+    role = F.element_at(F.array(*map(F.lit, ("button", "link", "textbox", "option", "tooltip"))), F.col("p_size") % 5 + 1)
+    action = F.element_at(F.array(*map(F.lit, ("click", "fill", "select", "hover"))), F.col("p_size") % 4 + 1)
+    elements = p.select(F.col("p_brand").alias("page"), F.col("p_partkey").alias("ordinal"), role.alias("role"), (F.col("p_partkey") % 10 == 0).alias("disabled"), name.alias("text"))
+    targets = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("page"), action.alias("action"), swapped.alias("target"))
+    return fuzzy.best_fuzzy_match(targets, elements).select("id", F.col("ordinal").alias("other"), F.round("ratio", 6).alias("score"))
 
 
 def src_json_issues(spark: SparkSession, d: str) -> DataFrame:

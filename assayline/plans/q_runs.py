@@ -132,11 +132,18 @@ def dedupe_adjacent_clicks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def align_sequences(spark: SparkSession, d: str) -> DataFrame:
-    from assayline.operators import sessions
+    """Event sequences of neighbouring users, one as the document, one as the recording."""
+    from assayline.operators import alignment
 
     e = table(spark, d, "events")
-    side = lambda odd: e.where(F.col("user_id") % 2 == odd).select(F.floor(F.col("user_id") / 2).alias("pair"), F.col("event_id").alias("ordinal"), F.col("event_type").alias("action"), F.concat("event_type", (F.col("event_id") % 3).cast("string")).alias("target"), F.col("value").cast("int").cast("string").alias("value"))
-    return sessions.align(side(0), side(1))
+    target = F.concat(F.col("event_type"), (F.col("event_id") % 3).cast("string"))
+    value = F.col("value").cast("int").cast("string")
+
+    def side(odd: int) -> DataFrame:
+        pair = F.floor(F.col("user_id") / 2)
+        return e.where(F.col("user_id") % 2 == odd).select(pair.alias("pair"), F.col("event_id").alias("ordinal"), F.col("event_type").alias("action"), target.alias("target"), value.alias("value"))
+
+    return alignment.align(side(0), side(1))
 
 
 QUERIES = {f.__name__: f for f in (llm_sla, nearest_rank_percentile, rounded_rank_percentile, flake_matrix, flake_flags, run_status_rollup, ab_gate, session_rollup, click_nav_flag, frame_asof, trace_pairing, settled_time, strip_noise_steps, drift_streak, dedupe_adjacent_clicks, align_sequences)}

@@ -67,8 +67,7 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 
 def keyword_score(spark: SparkSession, d: str) -> DataFrame:
     """The 15 best documents of each benchmark item's words."""
-    scores = retrieval.bm25(table(spark, d, "documents").select("doc_id", "text"), _queries(spark, d))
-    return retrieval.top_n(scores, "query_id", [F.desc("score"), F.col("doc_id")], 15).select("query_id", "doc_id", "score")
+    return retrieval.bm25(table(spark, d, "documents").select("doc_id", "text"), _queries(spark, d), 15).select("query_id", "doc_id", "score")
 
 
 def vector_score(spark: SparkSession, d: str) -> DataFrame:

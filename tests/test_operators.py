@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayline.functions.stats import rounded_rank
-from assayline.operators import codegraph, crawl, evals, issues, retrieval, runs, sessions
+from assayline.operators import alignment, codegraph, crawl, evals, issues, knowledge, retrieval, runs, sessions
 
 
 def rows(df, *order):
@@ -99,7 +99,7 @@ def test_align(spark):
     schema = "pair long, ordinal int, action string, target string, value string"
     a = spark.createDataFrame([(1, 1, "click", "x", ""), (1, 2, "fill", "name", "a"), (1, 3, "press", "k", "")], schema)
     b = spark.createDataFrame([(1, 1, "click", "x", ""), (1, 2, "fill", "name", "b"), (2, 1, "click", "y", "")], schema)
-    got = [(r["pair"], r["kind"]) for r in sessions.align(a, b).orderBy("pair", F.coalesce("left_step", "right_step")).collect()]
+    got = [(r["pair"], r["kind"]) for r in alignment.align(a, b).orderBy("pair", F.coalesce("left_step", "right_step")).collect()]
     assert got == [(1, "exact"), (1, "value_diff"), (1, "missing"), (2, "extra")]
 
 
@@ -120,3 +120,22 @@ def test_citation_tiers(spark):
     data = [("see src/auth/login.py", "src/auth/login.py", "f"), ("calls do_login", "x/y.py", "do_login"), ("in login.py", "src/login.py", "zz"), ("in a.py", "q/a.py", "zz"), ("?", "?", "?")]
     df = spark.createDataFrame(data, "t string, p string, s string")
     assert [r[0] for r in df.select(retrieval.citation_tier(F.col("t"), F.col("p"), F.col("s"))).collect()] == ["path", "symbol", "basename", None, None]
+
+
+def test_rule_history_finds_keys_inside_words(spark):
+    rules = spark.createDataFrame([("eslint:no-unused-vars",), ("java:S12",), ("S12",), ("x:ab",), ("py:a.b",), (None,)], "rule string")
+    subjects = ["fix no-unused-vars in x", "fix S123", "fix s12", "a.b and S12", "axb", None, "", "S12 again", "and S12"]
+    commits = spark.createDataFrame([(f"c{i}", t, i) for i, t in enumerate(subjects)], "sha string, subject string, committed int")
+    got = sorted((r.rule, r.sha, r["rank"]) for r in knowledge.rule_history(rules, commits).collect())
+    assert got == sorted([("eslint:no-unused-vars", "c0", 1), ("py:a.b", "c3", 1), *((rule, sha, k + 1) for rule in ("java:S12", "S12") for k, sha in enumerate(("c8", "c7", "c3")))])
+
+
+def test_many_patterns_at_once(spark):
+    import random
+
+    rnd = random.Random(8)
+    some = lambda n: "".join(rnd.choice("abcdé-.") for _ in range(n))
+    patterns = sorted({some(rnd.randint(2, 7)) for _ in range(3000)})
+    texts = [some(rnd.randint(0, 40)) for _ in range(300)] + [None, "", "ab"]
+    got = knowledge.containing(spark.createDataFrame(enumerate(texts), "id int, text string"), spark.createDataFrame([(p,) for p in patterns], "pattern string")).select("id", "pattern").collect()
+    assert sorted(map(tuple, got)) == sorted((i, p) for i, t in enumerate(texts) if t for p in patterns if len(p) >= 3 and p in t)

@@ -16,6 +16,20 @@ def test_policy_rules_in_order(spark):
     assert got == [want[0], want[1], want[2], want[3], want[4], None, None]
 
 
+def test_policy_of_json_looks_at_values_only(spark):
+    mail = ("Email address exposure", "a@b.co")
+    deep = '{"x":' * 40 + '["a@b.co"]' + "}" * 40
+    cases = [
+        ('{"a@b.co":"fine"}', None), ('{"x":{"y":[1,{"z":"to a@b.co"}]}}', mail), ('["fine", "a@b.co"]', mail), ('"a@b.co"', mail), (deep, mail),
+        ('{"prompt_tokens": 4111111111111111}', ("Credit card number exposure", "4111111111111111")), ("4111111111111111", ("Credit card number exposure", "4111111111111111")),
+        ('{"a@b.co":"fine"', mail), ('{"api_key": "abcdefghij0123456789"}', None), ('{"t": "api_key=\\"abcdefghij0123456789\\""}', ("Secret-like token exposure", 'api_key="abcdefghij0123456789"')),
+        ('{"m": "a\\u0040b.co"}', mail), ("null", None), ("{}", None), ("", None), (None, None), ('{"x":"' + "y " * 100_000 + 'a@b.co"}', mail),
+        ('{"first":"a@b.co","then":"900101-1234567"}', ("Resident registration number exposure", "900101-1234567")),
+    ]
+    got = values(spark, [(t,) for t, _ in cases], "t string", T.first_policy_hit(F.col("t")))
+    assert [None if g is None else tuple(g) for g in got] == [w for _, w in cases]
+
+
 def test_truthy_and_outcome(spark):
     assert values(spark, [(" Yes",), ("0",), (None,), ("CALIB",)], "t string", T.truthy(F.col("t"))) == [True, False, False, True]
     assert values(spark, [("Fail",), ("negative",), ("ok",), (None,)], "t string", T.outcome(F.col("t"))) == ["fail", "fail", "pass", "pass"]
