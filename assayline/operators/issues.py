@@ -63,25 +63,69 @@ def latest_change(issues: DataFrame, commits: DataFrame) -> DataFrame:
     return asked.unionByName(made).withColumn("m", F.when(F.col("path").isNotNull(), change)).where("side = 1").select("key", F.col("m.sha").alias("sha"), F.col("m.committed").alias("committed"))
 
 
+def _dyadic(low: Column, high: Column) -> Column:
+    """The ranges of 2^level lines from a multiple of 2^level on that make up low to high (from 0), as (level, block).
+
+    At each level at most the block at the left edge and that at the right edge are ranges of their own: two a level.
+    """
+
+    def at(level: int) -> list[Column]:
+        unit = 1 << level
+        # What is left at this level once smaller blocks at both edges are cut off.
+        left = F.floor((low + (unit - 1)) / unit)
+        right = F.floor((high + 1) / unit)
+        told = lambda block, is_: F.when(is_ & (left < right), F.struct(F.lit(level).alias("level"), block.cast("long").alias("block")))
+        return [told(left, left % 2 == 1), told(right - 1, (right % 2 == 1) & ((left % 2 == 0) | (left < right - 1)))]
+
+    return F.array_compact(F.array(*(c for level in range(31) for c in at(level))))
+
+
+def containing_ranges(points: DataFrame, ranges: DataFrame) -> DataFrame:
+    """points (path, line, …) × ranges (chunk_path, start_line, end_line, …) → each point with each range around it.
+
+    A range is cut into dyadic blocks, at most two of each size, and a point lies in one block of each size that occurs,
+    so that an equi-join finds the pairs and only them: no point meets a range that does not hold it. Lines are from 0
+    to 2^31 - 2; points and ranges outside, or with a null, meet nothing.
+    """
+    cut = ranges.where((F.col("start_line") >= 0) & (F.col("start_line") <= F.col("end_line")) & (F.col("end_line") < (1 << 31) - 1))
+    cut = cut.withColumn("_b", F.explode(_dyadic(F.col("start_line").cast("long"), F.col("end_line").cast("long")))).withColumn("_level", F.col("_b.level")).withColumn("_block", F.col("_b.block")).drop("_b")
+    levels = cut.select("_level").distinct()  # 31 at most
+    placed = points.where((F.col("line") >= 0) & F.col("path").isNotNull()).join(F.broadcast(levels)).withColumn("_block", F.expr("shiftright(cast(line as bigint), _level)"))
+    return placed.join(cut.withColumnRenamed("_level", "_l").withColumnRenamed("_block", "_k"), (F.col("path") == F.col("chunk_path")) & (F.col("_level") == F.col("_l")) & (F.col("_block") == F.col("_k"))).drop("_level", "_block", "_l", "_k")
+
+
 def enclosing_chunk(points: DataFrame, chunks: DataFrame) -> DataFrame:
     """points (key, path, line) in chunks (path, symbol, kind, start_line, end_line, ordinal) → the best chunk around each.
 
     Functions and methods before others, then the shortest, then input order; points in no chunk have null.
     """
     preferred = F.when(F.col("kind").isin("function", "method"), 0).otherwise(1)
-    inside = points.join(chunks.withColumnRenamed("path", "chunk_path"), (F.col("path") == F.col("chunk_path")) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left")
+    inside = containing_ranges(points, chunks.withColumnRenamed("path", "chunk_path"))
     best = F.struct(preferred.alias("p"), (F.col("end_line") - F.col("start_line")).alias("span"), F.col("ordinal").alias("o"), F.col("symbol").alias("symbol"))
-    return inside.groupBy("key").agg(F.min(F.when(F.col("symbol").isNotNull(), best)).alias("m")).select("key", F.col("m.symbol").alias("symbol"), F.col("m.span").alias("span"))
+    found = inside.where("symbol is not null").groupBy("key").agg(F.min(best).alias("m"))
+    return points.select("key").distinct().join(found, "key", "left").select("key", F.col("m.symbol").alias("symbol"), F.col("m.span").alias("span"))
 
 
 def snippet_window(points: DataFrame, lines: DataFrame, around: int = 10, clip: int = 400) -> DataFrame:
-    """points (key, component, line) × lines (component, line_no, code) → (key, snippet): lines around, the own marked '>>'."""
-    near = points.join(lines.withColumnRenamed("component", "c"), (F.col("component") == F.col("c")) & F.col("line_no").between(F.col("line") - around, F.col("line") + around))
-    text = F.concat(F.when(F.col("line_no") == F.col("line"), ">> ").otherwise("   "), F.col("line_no").cast("string"), F.lit(": "), F.substring("code", 1, clip))
+    """points (key, component, line) × lines (component, line_no, code) → (key, snippet): lines around, the own marked '>>'.
+
+    Each point asks for its 2 * around + 1 lines by number, an equi-join; no point meets another line of its component.
+    """
+    asked = points.select("key", "component", "line", F.explode(F.sequence(F.col("line") - around, F.col("line") + around)).alias("line_no"))
+    near = asked.join(lines.select("component", "line_no", F.substring("code", 1, clip).alias("code")), ["component", "line_no"])
+    text = F.concat(F.when(F.col("line_no") == F.col("line"), ">> ").otherwise("   "), F.col("line_no").cast("string"), F.lit(": "), "code")
     rows = near.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("line_no", text.alias("t")))).alias("ls"))
     return rows.select("key", F.array_join(F.transform("ls", lambda x: x["t"]), "\n").alias("snippet"))
 
 
+def retrimmed(snippet: Column, around: int = 10) -> Column:
+    """A snippet again with only so many lines on each side of the marked one; without a mark as it is."""
+    lines = F.split(snippet, "\n")
+    at = F.array_position(F.transform(lines, lambda x: x.startswith(">> ")), F.lit(True)).cast("int")
+    first = F.greatest(at - around, F.lit(1))
+    return F.when(at > 0, F.array_join(F.slice(lines, first, at + around - first + 1), "\n")).otherwise(snippet)
+
+
 def high_risk(analysis: DataFrame, least_callers: int = 5) -> DataFrame:
     """analysis (key, severity, callers, classification, confidence): severe, widely called and surely real issues."""
     return analysis.where(F.upper("severity").isin("BLOCKER", "CRITICAL", "MAJOR") & (F.col("callers") >= least_callers) & (F.col("classification") == "true_positive") & F.col("confidence").isin("high", "medium"))

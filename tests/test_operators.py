@@ -139,3 +139,32 @@ def test_many_patterns_at_once(spark):
     texts = [some(rnd.randint(0, 40)) for _ in range(300)] + [None, "", "ab"]
     got = knowledge.containing(spark.createDataFrame(enumerate(texts), "id int, text string"), spark.createDataFrame([(p,) for p in patterns], "pattern string")).select("id", "pattern").collect()
     assert sorted(map(tuple, got)) == sorted((i, p) for i, t in enumerate(texts) if t for p in patterns if len(p) >= 3 and p in t)
+
+
+def test_ranges_around_points(spark):
+    import random
+
+    rnd = random.Random(9)
+    spans = [(p, a := rnd.choice([0, 1, 7, rnd.randint(0, 3000)]), a + rnd.choice([0, 1, 2, 63, rnd.randint(0, 3000)]), i) for i in range(150) for p in ("f", "g")] + [("f", 5, 4, 999), ("f", None, 9, 998), (None, 0, 9, 997), ("f", 0, 2**31 - 3, 996)]
+    points = [(f"{p}{k}", p, k) for p in ("f", "g", "h") for k in [0, 1, 2, 63, 64, *range(5, 6200, 37)]] + [("n", None, 3), ("m", "f", None), ("neg", "f", -1)]
+    df = spark.createDataFrame(spans, "chunk_path string, start_line int, end_line int, ordinal int")
+    got = issues.containing_ranges(spark.createDataFrame(points, "key string, path string, line int"), df).select("key", "ordinal").collect()
+    want = sorted((k, o) for k, p, line in points for q, a, b, o in spans if p is not None and p == q and line is not None and a is not None and a <= line <= b)
+    assert sorted(map(tuple, got)) == want
+
+
+def test_snippets_are_trimmed_again(spark):
+    lines = spark.createDataFrame([("f", k, f"code {k}") for k in range(1, 200)], "component string, line_no int, code string")
+    wide = issues.snippet_window(spark.createDataFrame([("a", "f", 100), ("b", "f", 3)], "key string, component string, line int"), lines, 50)
+    got = {r.key: (r.snippet.split("\n"), r.s.split("\n")) for r in wide.select("key", "snippet", issues.retrimmed(F.col("snippet"), 10).alias("s")).collect()}
+    assert len(got["a"][0]) == 101 and len(got["a"][1]) == 21 and got["a"][1][10] == ">> 100: code 100"
+    assert len(got["b"][0]) == 53 and got["b"][1][2] == ">> 3: code 3" and len(got["b"][1]) == 13
+
+
+def test_a_document_of_many_lines(spark):
+    """100,000 lines, all of them points, with spans of three depths around each."""
+    points = spark.range(100_000).select(F.col("id").cast("string").alias("key"), F.lit("f").alias("path"), F.col("id").cast("int").alias("line"))
+    spans = points.select("path", F.col("line"), F.explode(F.array(F.lit(10), F.lit(100), F.lit(1000))).alias("w")).where("line % w = 0")
+    chunks = spans.select("path", F.concat_ws("_", "w", "line").alias("symbol"), F.when(F.col("w") == 100, "function").otherwise("class").alias("kind"), F.col("line").alias("start_line"), (F.col("line") + F.col("w") - 1).alias("end_line"), F.col("line").alias("ordinal"))
+    got = issues.enclosing_chunk(points, chunks).groupBy("span").agg(F.count("*").alias("n")).collect()
+    assert [(r.span, r.n) for r in got] == [(99, 100_000)]
