@@ -112,7 +112,8 @@ def enclosing_chunk(spark: SparkSession, d: str) -> DataFrame:
 def snippet_window(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "documents").select(F.col("doc_id").alias("component"), F.posexplode(F.split("text", "\n")).alias("line_no", "code"))
     points = lines.select(F.concat_ws(":", "component", "line_no").alias("key"), "component", F.col("line_no").alias("line"))
-    return issues.snippet_window(points, lines).select("key", F.md5("snippet").alias("snippet_md5"))
+    wide = issues.snippet_window(points, lines, 50)  # as an issue keeps it; a prompt takes ten lines of that
+    return wide.select("key", F.md5(issues.retrimmed(F.col("snippet"), 10)).alias("snippet_md5"))
 
 
 # --- call graph: parts bought one after the other in an order call each other -------------------

@@ -19,7 +19,18 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_llm_sla(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d).select("ts", F.col("event_type").alias("kind"), F.col("value").alias("elapsed_ms"), (F.col("value") > 100).alias("timeout"))
-    return logs.run(logs.llm_sla(e), "stream-sla", "complete")
+    return logs.sla_rollup(logs.run(logs.llm_sla(e), "stream-sla", "complete"))
+
+
+def stream_late_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Events of odd users come after those of even users: how many of each type are then more than a day behind."""
+    e = table(spark, d, "events").select("ts", "event_type", "user_id")
+    path, folder = work_path(spark, "late-log"), work_path(spark, "stream-late")
+    got = None
+    for odd in (0, 1):
+        e.where(F.col("user_id") % 2 == odd).write.mode("append").parquet(path)
+        got = logs.run(logs.late_rows(logs.source(spark, path, e.schema, files_per_batch=None), "event_type"), "late", folder=folder)
+    return got.groupBy(F.col("key").alias("kind")).agg(F.sum("n").alias("n"))
 
 
 def stream_flake(spark: SparkSession, d: str) -> DataFrame:
@@ -103,10 +114,14 @@ def snk_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return o.select("key").distinct().join(spark.read.schema("key long").parquet(path), "key", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (stream_llm_sla, stream_flake, stream_dedup_new, stream_session_rollup, stream_click_nav, stream_drift, stream_issue_router, src_jsonl, src_dated_partitions, src_csv_golden, src_scenario, snk_chunks_by_path, snk_snapshot)}
+QUERIES = {f.__name__: f for f in (stream_llm_sla, stream_late_rows, stream_flake, stream_dedup_new, stream_session_rollup, stream_click_nav, stream_drift, stream_issue_router, src_jsonl, src_dated_partitions, src_csv_golden, src_scenario, snk_chunks_by_path, snk_snapshot)}
 
 SQL = {
-    "stream_llm_sla": "select epoch(date_trunc('hour', ts))::bigint as start, event_type as kind, count(*) as calls, count(*) filter (value > 100) as timeouts, max(value) as longest from events group by all",
+    "stream_llm_sla": "with r as (select epoch(date_trunc('hour', ts))::bigint as start, event_type as kind, value, row_number() over (partition by date_trunc('hour', ts), event_type order by value) as r, count(*) over (partition by date_trunc('hour', ts), event_type) as n from events)"
+    " select start, kind, any_value(n) as calls, count(*) filter (value > 100) as timeouts, round(count(*) filter (value > 100) / any_value(n), 4) as timeout_rate, max(value) as longest, "
+    + ", ".join(f"max(value) filter (r = least(greatest(round_even({p} / 100.0 * n, 0)::bigint, 1), n)) as p{p}" for p in (50, 95, 99))
+    + " from r group by start, kind",
+    "stream_late_rows": "with m as (select epoch_ms(max(ts)) - 86400000 as mark from events where user_id % 2 = 0) select event_type as kind, count(*) as n from events, m where user_id % 2 = 1 and epoch_ms(ts) < mark group by 1",
     "stream_flake": "with w as (select unnest(range(7)) as k, ts, user_id, event_type, value from events) select epoch(date_trunc('day', ts))::bigint - k * 86400 as start, 'site' || (user_id % 10) as site, event_type as scenario, count(*) as total, count(*) filter (value < 60) as passed from w group by all",
     "stream_dedup_new": "select distinct user_id from events",
     "stream_session_rollup": "with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts) as sid from g) select user_id, epoch_us(min(ts)) as start_us, count(*) as n, bool_or(event_type = 'error') as failed from s group by user_id, sid",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from assayline.functions.stats import ratio, rounded_rank
 from assayline.sources.workdir import work_path
 
 
@@ -19,14 +20,15 @@ def source(spark: SparkSession, path: str, schema, files_per_batch: int | None =
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now and returns its result, kept in the shared folder.
+def run(df: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Runs a stream over what is there now and returns its result, kept in the shared folder. Given the folder of a run
+    before, the stream goes on where that one stopped, and the result is that of all runs.
 
     In append mode each batch is a folder named by its number, overwritten if the batch is run again; in complete mode
     only the last batch's result stays.
     """
     spark = df.sparkSession
-    out = work_path(spark, name)
+    out = folder or work_path(spark, name)
     schema = df.schema
 
     def write(batch: DataFrame, number: int) -> None:
@@ -40,10 +42,47 @@ def run(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
 
 
-def llm_sla(calls: DataFrame, window: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """calls (ts, kind, elapsed_ms, timeout) → per window and kind: calls, timeouts and the longest time."""
-    g = calls.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "kind")
-    return g.agg(F.count(F.lit(1)).alias("calls"), F.count_if("timeout").alias("timeouts"), F.max("elapsed_ms").alias("longest")).select(F.unix_seconds("w.start").alias("start"), "kind", "calls", "timeouts", "longest")
+def llm_sla(calls: DataFrame, window: str = "1 hour", late: str = "1 day", step: float | None = None) -> DataFrame:
+    """calls (ts, kind, elapsed_ms, timeout) → per window, kind, time and timeout flag how many calls: the state from which
+    sla_rollup() reads percentiles.
+
+    Counts of values add up in any order and over any batches, so the percentiles are exact. The state of a window has a
+    row for each distinct time; with `step`, times are rounded up to multiples of it, and percentiles are at most a step
+    too high.
+    """
+    ms = F.coalesce("elapsed_ms", F.lit(0.0))
+    ms = ms if step is None else F.ceil(ms / step) * step
+    g = calls.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "kind", ms.alias("ms"), F.coalesce("timeout", F.lit(False)).alias("timeout"))
+    return g.agg(F.count(F.lit(1)).alias("n")).select(F.unix_seconds("w.start").alias("start"), "kind", "ms", "timeout", "n")
+
+
+def sla_rollup(counts: DataFrame) -> DataFrame:
+    """The result of llm_sla() → (start, kind, calls, timeouts, timeout_rate, longest, p50, p95, p99) of each window and kind."""
+    keys = ["start", "kind"]
+    sums = counts.groupBy(*keys).agg(F.sum("n").alias("calls"), F.sum(F.when(F.col("timeout"), F.col("n")).otherwise(0)).alias("timeouts"), F.max("ms").alias("longest"))
+    sums = sums.withColumn("timeout_rate", F.round(ratio(F.col("timeouts"), F.col("calls")), 4))
+    ranks = rounded_rank(counts, keys, "ms", {"p50": 50.0, "p95": 95.0, "p99": 99.0}, F.col("n"))
+    return sums.join(ranks, (sums["start"] == ranks["start"]) & sums["kind"].eqNullSafe(ranks["kind"])).drop(ranks["start"], ranks["kind"])
+
+
+def late_rows(events: DataFrame, key: str, late: str = "1 day") -> DataFrame:
+    """events (ts, key) → (key, watermark_ms, n): for each batch, rows that came behind the watermark, which windowed
+    operators would drop. Rows without ts are never late.
+
+    A row is late where its time, in milliseconds, is before the watermark that the batches before have set. The operator
+    keeps no state; a key's rows are dealt into parts, so that one of many rows is no single task. Add up n by key.
+    """
+
+    def count(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        n = sum(int((p["ms"] < mark).sum()) for p in parts)
+        if n:
+            yield pd.DataFrame({"key": [k[0]], "watermark_ms": [mark], "n": [n]})
+
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.withWatermark("ts", late).select(F.col(key).alias("key"), "ts", F.unix_millis("ts").alias("ms"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("ts"), F.lit(64)))
+    return rows.groupBy("key", "part").applyInPandasWithState(count, f"key {kind}, watermark_ms long, n long", "none int", "append", GroupStateTimeout.NoTimeout)
 
 
 def flake(runs: DataFrame, days: int = 7, late: str = "2 days") -> DataFrame:

@@ -56,7 +56,7 @@ def test_several_batches_and_repeated_keys(spark, tmp_path):
     for k, f in enumerate(sorted((f for f in os.listdir(path) if f.endswith(".parquet")), key=lambda f: spark.read.parquet(f"{path}/{f}").first()["file"])):
         os.utime(f"{path}/{f}", (1_700_000_000 + 60 * k,) * 2)
     schema = spark.read.parquet(path).schema
-    several, one = (sorted(map(tuple, logs.run(logs.llm_sla(logs.source(spark, f"{path}/*.parquet", schema, n)), "sla", "complete").collect())) for n in (1, None))
+    several, one = (sorted(map(tuple, logs.sla_rollup(logs.run(logs.llm_sla(logs.source(spark, f"{path}/*.parquet", schema, n)), "sla", "complete")).collect())) for n in (1, None))
     assert several == one and len(one) == 12
     got = logs.routed(logs.source(spark, f"{path}/*.parquet", schema, 1), "router", lambda x: x.select(F.col("kind").alias("key"), F.col("file").cast("string").alias("outcome")))
     assert {tuple(r) for r in got.collect()} == {("k0", "0"), ("k1", "0"), ("k2", "0")}
@@ -77,3 +77,26 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
         spark.createDataFrame([(dt.datetime(2024, 1, 1, i), i)], schema).coalesce(1).write.mode("append").parquet(path)
         drive()
     assert sorted(seen) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_percentiles_and_late_rows_over_a_restart(spark, tmp_path):
+    """Two runs over one checkpoint: percentiles of all calls, and the rows of the second that are behind the first's watermark."""
+    from assayline.streaming import logs
+
+    schema = "ts timestamp, kind string, elapsed_ms double, timeout boolean"
+    day = lambda d, m=0: dt.datetime(2024, 1, d, 5, m)
+    parts = [[(day(9), "chat", 100.0, False), (day(9, 1), "chat", 300.0, True), (day(9), None, None, None), (day(1), "old", 1.0, False)], [(day(9, 2), "chat", 200.0, False), (day(7), "chat", 5.0, False), (day(8, 1), "chat", 7.0, False), (day(1), None, 5.0, False)]]
+    path, folder, other = str(tmp_path / "log"), str(tmp_path / "sla"), str(tmp_path / "late")
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        read = lambda: logs.source(spark, path, spark.createDataFrame([], schema).schema, None)
+        counts = logs.run(logs.llm_sla(read(), late="30 days"), "sla", "complete", folder)
+        late = logs.run(logs.late_rows(read(), "kind", "1 day"), "late", folder=other)
+    got = {(r.start, r.kind): (r.calls, r.timeouts, r.timeout_rate, r.p50, r.p95, r.p99, r.longest) for r in logs.sla_rollup(counts).collect()}
+    start = int(dt.datetime(2024, 1, 9, 5, tzinfo=dt.timezone.utc).timestamp())
+    assert got[start, "chat"] == (3, 1, 0.3333, 200.0, 300.0, 300.0, 300.0) and got[start, None] == (1, 0, 0.0, 0.0, 0.0, 0.0, 0.0)
+    assert sum(r[0] for r in got.values()) == 8
+    # The first run's batch has no watermark yet; the second's is a day before 9 January, 5:01.
+    assert sorted((r.key or "", r.n) for r in late.collect()) == [("", 1), ("chat", 1)]
+    rounded = logs.llm_sla(spark.createDataFrame(parts[0], schema), step=250.0).collect()
+    assert {r.ms for r in rounded if r.kind == "chat"} == {250.0, 500.0}
