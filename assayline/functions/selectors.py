@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,17 +27,30 @@ def _squeezed(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parsed(selector: Column) -> Column:
     """struct(raw, kind, role, text, ids, classes, words): kind is empty, role, text, label, placeholder, testid or css."""
-    raw = F.trim(F.coalesce(selector, F.lit("")))
-    role, verb = F.lower(F.regexp_extract(raw, ROLE, 1)), F.lower(F.regexp_extract(raw, BY_TEXT, 1))
-    kind = F.when(raw == "", "empty").when(role != "", "role").when(verb != "", verb).otherwise("css")
-    css = kind == "css"
     none = F.array().cast("array<string>")
-    every = lambda pattern: F.when(css, F.array_distinct(F.regexp_extract_all(raw, F.lit(pattern), F.lit(1)))).otherwise(none)
-    text = _squeezed(F.when(kind == "role", F.regexp_extract(raw, ROLE, 2)).when(css, "").otherwise(F.regexp_extract(raw, BY_TEXT, 2)))
-    words = F.transform(F.concat(F.array(role, text), every(CSS_ID), every(CSS_CLASS), every(CSS_VALUE)), _squeezed)
-    return F.struct(raw.alias("raw"), kind.alias("kind"), role.alias("role"), text.alias("text"), every(CSS_ID).alias("ids"), every(CSS_CLASS).alias("classes"), F.array_distinct(F.filter(words, lambda w: w != "")).alias("words"))
+
+    def heads(raw: Column) -> Column:
+        role, verb = F.lower(F.regexp_extract(raw, ROLE, 1)), F.lower(F.regexp_extract(raw, BY_TEXT, 1))
+        return F.struct(raw.alias("raw"), role.alias("role"), F.when(raw == "", "empty").when(role != "", "role").when(verb != "", verb).otherwise("css").alias("kind"))
+
+    def parts(h: Column) -> Column:
+        raw, css = h["raw"], h["kind"] == "css"
+        every = lambda pattern: F.when(css, F.array_distinct(F.regexp_extract_all(raw, F.lit(pattern), F.lit(1)))).otherwise(none)
+        text = _squeezed(F.when(h["kind"] == "role", F.regexp_extract(raw, ROLE, 2)).when(css, "").otherwise(F.regexp_extract(raw, BY_TEXT, 2)))
+        return F.struct(raw.alias("raw"), h["kind"].alias("kind"), h["role"].alias("role"), text.alias("text"), every(CSS_ID).alias("ids"), every(CSS_CLASS).alias("classes"), every(CSS_VALUE).alias("values"))
+
+    def whole(p: Column) -> Column:
+        words = F.transform(F.concat(F.array(p["role"], p["text"]), p["ids"], p["classes"], p["values"]), _squeezed)
+        return F.struct(*(p[n].alias(n) for n in ("raw", "kind", "role", "text", "ids", "classes")), F.array_distinct(F.filter(words, lambda w: w != "")).alias("words"))
+
+    return _bound(F.trim(F.coalesce(selector, F.lit(""))), lambda raw: _bound(heads(raw), lambda h: _bound(parts(h), whole)))
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -67,5 +82,5 @@ def selector_class(golden: Column, observed: Column) -> Column:
 
 def step_class(action: Column, mocked: Column, seen_action: Column, golden: Column, observed: Column) -> Column:
     """selector_class() of a step, skipped where its selector is not judged, fail where the step or its action differs."""
-    judged = selector_class(parsed(golden), parsed(observed))
+    judged = _bound(F.struct(parsed(golden).alias("g"), parsed(observed).alias("o")), lambda b: selector_class(b["g"], b["o"]))
     return F.when(F.coalesce(mocked, F.lit(False)) | action.isin(*SKIPPED_ACTIONS), "skipped").when(seen_action.isNull() | (seen_action != action), "fail").otherwise(judged)

@@ -187,3 +187,10 @@ def strip_html(c: Column) -> Column:
     for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         out = F.replace(out, F.lit(ref), F.lit(char))
     return F.trim(F.regexp_replace(out, r"[ \t\n\r\f]+", " "))
+
+
+def first_paragraph(c: Column, width: int = 200) -> Column:
+    """The first paragraph with text that is no heading between double asterisks, blanks squeezed, cut to width; '' if none."""
+    paragraphs = F.transform(F.split(F.coalesce(c, F.lit("")), "\n\n"), lambda p: F.trim(F.regexp_replace(p, r"(?U)[\s\x1c-\x1f]+", " ")))
+    kept = F.filter(paragraphs, lambda p: (p != "") & ~(p.startswith("**") & p.endswith("**")))
+    return F.coalesce(F.substring(F.get(kept, F.lit(0)), 1, width), F.lit(""))

@@ -72,8 +72,33 @@ def strip_text_urls(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"https?://\S+", ""), r"\[\d+\]", "")
 
 
+#: Scripts of captchas; the share of canvas and the number of frames beyond which a page is limited.
+CAPTCHAS = ("recaptcha", "hcaptcha", "turnstile")
+MOST_CANVAS, MOST_FRAMES = 0.3, 2
+
+
 def static_signals(html: Column) -> Column:
-    """compatible, limited or incompatible, from what the page's source holds."""
-    low = F.lower(html)
-    captcha = low.contains("recaptcha") | low.contains("hcaptcha") | low.contains("cf-turnstile")
-    return F.when(captcha, "incompatible:captcha").when(low.contains("<canvas") | low.contains("<iframe"), "limited").otherwise("compatible")
+    """struct of what a page's source tells: captcha, and how many closed shadow roots, sockets, event sources, dialogs
+    and frames it opens. canvas_ratio is for those who have seen the page rendered, here null."""
+    low = F.lower(F.coalesce(html, F.lit("")))
+    count = lambda pattern: F.regexp_count(low, F.lit(pattern))
+    captcha = F.lit(False)
+    for name in CAPTCHAS:
+        captcha = captcha | low.contains(name)
+    return F.struct(
+        captcha.alias("captcha"), count(r"mode\s*:\s*['\"]closed|shadowrootmode\s*=\s*['\"]?closed").alias("closed_shadows"), count(r"new\s+websocket\s*\(").alias("sockets"),
+        count(r"new\s+eventsource\s*\(").alias("event_sources"), F.lit(None).cast("double").alias("canvas_ratio"), count(r"\b(?:alert|confirm|prompt)\s*\(").alias("dialogs"), count(r"<iframe\b").alias("frames"),
+    )
+
+
+def compat_verdict(signals: Column) -> Column:
+    """struct(verdict, reasons) of a page's signals: what rules it out, else limited with all its reasons, else compatible."""
+    n = lambda name: F.coalesce(signals[name], F.lit(0))
+    counted = [F.when(n(name) > most, F.concat(F.lit(f"{name}: "), n(name).cast("string"))) for name, most in (("sockets", 0), ("event_sources", 0))]
+    canvas = F.when(n("canvas_ratio") > MOST_CANVAS, F.lit("canvas_ratio"))
+    later = [F.when(n(name) > most, F.concat(F.lit(f"{name}: "), n(name).cast("string"))) for name, most in (("dialogs", 0), ("frames", MOST_FRAMES))]
+    limits = F.array_compact(F.array(*counted, canvas, *later))
+    captcha, closed = F.coalesce(signals["captcha"], F.lit(False)), n("closed_shadows") > 0
+    verdict = F.when(captcha, "incompatible:captcha").when(closed, "incompatible:closed-shadow").when(F.size(limits) > 0, "limited").otherwise("compatible")
+    reasons = F.when(captcha, F.array(F.lit("captcha"))).when(closed, F.array(F.concat(F.lit("closed_shadows: "), n("closed_shadows").cast("string")))).otherwise(limits)
+    return F.struct(verdict.alias("verdict"), reasons.alias("reasons"))

@@ -81,3 +81,10 @@ def keyword_coverage(words: Column, text: Column) -> Column:
     """Share of words that the text contains, whatever the case; null without words."""
     hits = F.size(F.filter(words, lambda w: F.contains(F.lower(text), F.lower(w))))
     return hits / F.nullif(F.size(words), F.lit(0))
+
+
+def citation_depth(answer: Column) -> Column:
+    """How many distinct identifiers an answer names between backticks: 2 to 80 characters with a letter, without blanks
+    and square brackets."""
+    named = F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(r"`([^`\s]+)`"), F.lit(1))
+    return F.size(F.array_distinct(F.filter(named, lambda x: F.char_length(x).between(2, 80) & x.rlike(r"\p{L}") & ~x.rlike(r"[\[\]]"))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayline.functions import text as T
 from assayline.operators import fuzzy
 from assayline.plans.q_issues import _ISSUES, _issues
 from assayline.sources import files
@@ -19,9 +20,9 @@ def location_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def risk_summary_line(spark: SparkSession, d: str) -> DataFrame:
-    """The first paragraph of each document with more than one sentence mark, at most 200 characters."""
-    paragraphs = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("**") & (F.length(x) > 40))
-    return table(spark, d, "documents").select("doc_id", F.substring(F.coalesce(F.get(paragraphs, F.lit(0)), F.lit("")), 1, 200).alias("line"))
+    """The first paragraph of each document under a heading; lines of every other document are paragraphs."""
+    body = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", T.first_paragraph(F.concat(F.lit("**What it is**\n\n \n\n"), body)).alias("line"))
 
 
 def advisory_timeout(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +79,7 @@ QUERIES = {f.__name__: f for f in (location_text, risk_summary_line, advisory_ti
 
 SQL = {
     "location_text": f"with {_ISSUES} select key, 'https://code.example/p/-/blob/main/' || component[6:] || case when line > 0 then '#L' || line else '' end as link from i",
-    "risk_summary_line": "select doc_id, substr(coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' and not starts_with(x, '**') and length(x) > 40)[1], ''), 1, 200) as line from documents",
+    "risk_summary_line": "with p as (select doc_id, list_transform(string_split(case when doc_id % 2 = 0 then replace(text, chr(10), chr(10) || chr(10)) else text end, chr(10) || chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) as ps from documents) select doc_id, substr(coalesce(list_filter(ps, lambda x: x <> '' and not (starts_with(x, '**') and ends_with(x, '**')))[1], ''), 1, 200) as line from p",
     "advisory_timeout": "select event_type, case when value > 80 then case when event_type = 'view' then 'PASS' else 'FAIL' end when event_type = 'error' then 'FAIL' else 'PASS' end as status, count(*) as n from events group by all",
     "golden_vs_observed_steps": "with g as (select user_id as page, event_id % 50 as step, min(event_type) as action from events where day(ts) % 2 = 0 group by all), s as (select user_id as page, event_id % 50 as step, arg_max(event_type, event_id) as seen from events where day(ts) % 2 = 1 group by all)"
     " select page, case when seen is null then 'missing' when seen = action then 'match' else 'differs' end as verdict, count(*) as n from g left join s using (page, step) group by all",

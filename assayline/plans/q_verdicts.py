@@ -9,6 +9,7 @@ from assayline.functions import selectors
 from assayline.functions import text as T
 from assayline.operators import answers, knowledge, pages, prompts, retrieval, sessions, verdicts
 from assayline.plans.q_issues import _ANALYSIS, _analysis
+from assayline.plans.q_web import _TOKENS
 from assayline.sources.tables import table
 from assayline.sources.workdir import work_path
 
@@ -203,13 +204,21 @@ def failure_reason_class(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
-    """Sources ask for documents by size, languages by words: the weighted sum of both where either found them."""
-    x = table(spark, d, "documents")
-    dense = x.where("n_chars > 200").select(F.col("source").alias("query_id"), "doc_id", (F.lit(1.0) / (1 + F.col("doc_id") % 13)).alias("score"))
-    sparse = x.where("n_chars < 5000").select(F.col("source").alias("query_id"), "doc_id", (F.lit(1.0) / (1 + F.col("doc_id") % 7)).alias("score"))
+    """Benchmark items ask by vector and by words: cosine with their own vector, and BM25 as a share of the item's best.
+
+    Each way gives its 50 best, which are then weighed together; the items, whose number is fixed, are broadcast.
+    """
+    items, vectors = table(spark, d, "benchmark"), table(spark, d, "embeddings")
+    asked = items.join(vectors, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("own"))
+    cosines = vectors.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("doc_id"), F.round(retrieval.cosine(F.col("own"), F.col("embedding")), 4).alias("score"))
+    dense = retrieval.top_n(cosines, "query_id", [F.desc("score"), F.col("doc_id")], 50).drop("rank")
+    found = retrieval.bm25(table(spark, d, "documents").select("doc_id", "text"), items.select(F.col("item_id").alias("query_id"), "text"), 50)
+    best = found.groupBy("query_id").agg(F.max("score").alias("best"))
+    sparse = found.join(best, "query_id").select("query_id", "doc_id", F.round(F.col("score") / F.col("best"), 4).alias("score"))
     return retrieval.hybrid_topk(dense, sparse)
 
 
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -305,7 +314,11 @@ SQL: dict[str, str] = {
     "norm_outcome": "select event_id, case when value < 90 and event_id % 7 < 4 then 'fail' else 'pass' end as outcome from events",
     "criteria_mode": "select event_id, case when event_type = 'view' then 'dsl' when event_type = 'click' and coalesce(props, '') <> '' then case when contains(props, 'json.') or contains(props, 'status_code=') or contains(props, 'raw~r/') then 'dsl' else 'geval' end else 'none' end as mode from events",
     "failure_reason_class": "select event_id, case event_id % 7 when 0 then 'policy' when 1 then 'format' when 2 then 'connection' when 3 then 'task' else case when not value > 1 then 'task' when event_id % 7 = 4 then 'relevancy' when event_id % 7 = 5 then 'metric' else 'other' end end as reason from events",
-    "hybrid_retrieve": "with a as (select source as query_id, doc_id, 1.0::double / (1 + doc_id % 13) as s from documents where n_chars > 200), b as (select source as query_id, doc_id, 1.0::double / (1 + doc_id % 7) as s from documents where n_chars < 5000),"
-    " m as (select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.doc_id, b.doc_id) as doc_id, round(0.7::double * coalesce(a.s, 0) + (1 - 0.7::double) * coalesce(b.s, 0), 6) as score from a full join b on a.doc_id = b.doc_id and a.query_id = b.query_id),"
+    "hybrid_retrieve": f"with d as (select doc_id, {_TOKENS} as ws from documents), q as (select item_id as query_id, unnest(list_distinct({_TOKENS})) as w from benchmark), st as (select count(*) as n, avg(len(ws)) as mean from d),"
+    " t as (select doc_id, dl, w, count(*) as tf from (select doc_id, len(ws) as dl, unnest(ws) as w from d) where w in (select w from q) group by all), f as (select w, count(*) as df from t group by 1),"
+    " s as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * dl / mean))), 6) as score from t join f using (w) join q using (w), st group by all),"
+    " k as (select query_id, doc_id, round(score / max(score) over (partition by query_id), 4) as w from s qualify row_number() over (partition by query_id order by score desc, doc_id) <= 50),"
+    " e as (select vec_id, unnest(embedding)::double as x, unnest(range(len(embedding))) as i from embeddings), c as (select a.vec_id as query_id, b.vec_id as doc_id, round(sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))), 4) as v from e a join e b on a.i = b.i and a.vec_id <> b.vec_id where a.vec_id in (select item_id from benchmark) group by all),"
+    " g as (select * from c qualify row_number() over (partition by query_id order by v desc, doc_id) <= 50), m as (select coalesce(g.query_id, k.query_id) as query_id, coalesce(g.doc_id, k.doc_id) as doc_id, round(0.7::double * coalesce(v, 0) + (1 - 0.7::double) * coalesce(w, 0), 6) as score from g full join k on g.query_id = k.query_id and g.doc_id = k.doc_id),"
     " r as (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from m where score >= 0.25) select query_id, doc_id, rank, score from r where rank <= 15",
 }

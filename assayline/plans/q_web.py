@@ -57,8 +57,18 @@ def strip_text_urls(spark: SparkSession, d: str) -> DataFrame:
     return c
 
 
+#: Put before pages by their id, so that all verdicts occur.
+_SIGNS = (
+    "", "<script src=hCaptcha.js></script>", "<template shadowrootmode='closed'></template>", "<script>new WebSocket(u); alert(1); confirm(2)</script>", "<iframe></iframe><iframe></iframe>",
+    "<iframe></iframe><iframe></iframe><iframe></iframe>", "<script>x.attachShadow({mode: 'closed'}); new EventSource(u)</script>", "<script>new EventSource(u)</script>",
+)
+
+
 def compat_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").groupBy(crawl.static_signals(F.col("html")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    """Verdict and reasons of each page behind what one in eight of them has put before it."""
+    marked = F.concat(F.element_at(F.array(*map(F.lit, _SIGNS)), (F.col("page_id") % 8 + 1).cast("int")), F.coalesce("html", F.lit("")))
+    told = table(spark, d, "pages").select(crawl.compat_verdict(crawl.static_signals(marked)).alias("v"))
+    return told.groupBy(F.col("v.verdict").alias("verdict"), F.array_join("v.reasons", "; ").alias("reasons")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
@@ -112,9 +122,9 @@ def keyword_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def citation_depth(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct ### token ### style identifiers of each document, here words in quotes of 2 to 80 characters."""
-    found = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit('"([^"\n]{2,80})"'), F.lit(1)), lambda x: x.rlike("[A-Za-z]")))
-    return table(spark, d, "documents").select("doc_id", F.size(found).alias("depth"))
+    """Identifiers of each document, whose words before a full stop stand between backticks here."""
+    answer = F.regexp_replace("text", r"([A-Za-z]+)\.", "`$1`")
+    return table(spark, d, "documents").select("doc_id", retrieval.citation_depth(answer).alias("depth"))
 
 
 # --- set operations and rankings -----------------------------------------------------------
@@ -133,7 +143,9 @@ def set_intersect(spark: SparkSession, d: str) -> DataFrame:
 
 
 def set_except(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("key")).exceptAll(table(spark, d, "orders").select(F.col("o_custkey").alias("key")).distinct())
+    """Nations of customers, as often as they occur, without one for each that has a supplier with a high balance."""
+    rich = table(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("key"))
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("key")).exceptAll(rich)
 
 
 def set_full(spark: SparkSession, d: str) -> DataFrame:
@@ -204,7 +216,10 @@ SQL = {
     "crawl_distribution": f"with p as (select len(list_filter(string_split({_PATH}, '/'), lambda x: x <> '')) as depth, regexp_extract(url, '^([a-z]+)://', 1) as source from pages) select coalesce(depth::varchar, source) as label, count(*) as n from p group by grouping sets ((depth), (source))",
     "strip_html_text": f"select page_id, md5(trim(regexp_replace({_STRIP}, '[ \\t\\n\\r\\f]+', ' ', 'g'))) as text_md5 from pages",
     "strip_text_urls": "select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\\[([^\\]]*)\\]\\(https?://[^)]*\\)', '\\1', 'g'), 'https?://\\S+', '', 'g'), '\\[\\d+\\]', '', 'g')) as text_md5 from documents",
-    "compat_verdict": "select case when regexp_matches(lower(html), 'recaptcha|hcaptcha|cf-turnstile') then 'incompatible:captcha' when regexp_matches(lower(html), '<canvas|<iframe') then 'limited' else 'compatible' end as verdict, count(*) as n from pages group by 1",
+    "compat_verdict": "with p as (select page_id % 8 as k, lower(html) as h from pages), r as (select k, len(regexp_extract_all(h, '<iframe')) as f, len(regexp_extract_all(h, '(?:alert|confirm|prompt)[(]')) as q, regexp_matches(h, 'recaptcha|hcaptcha|turnstile') as c from p),"
+    " s as (select case when c or k = 1 then 'incompatible:captcha' when k in (2, 6) then 'incompatible:closed-shadow' end as bad, case when c or k = 1 then 'captcha' when k in (2, 6) then 'closed_shadows: 1' end as why,"
+    " list_filter([case when k = 3 then 'sockets: 1' end, case when k = 7 then 'event_sources: 1' end, case when q + 2 * (k = 3)::int > 0 then 'dialogs: ' || (q + 2 * (k = 3)::int) end, case when f + 2 * (k = 4)::int + 3 * (k = 5)::int > 2 then 'frames: ' || (f + 2 * (k = 4)::int + 3 * (k = 5)::int) end], lambda x: x is not null) as l from r)"
+    " select coalesce(bad, case when len(l) > 0 then 'limited' else 'compatible' end) as verdict, coalesce(why, array_to_string(l, '; ')) as reasons, count(*) as n from s group by all",
     "keyword_score": f"with d as (select doc_id, {_TOKENS} as ws from documents), q as (select item_id as query_id, unnest(list_distinct({_TOKENS})) as w from benchmark), st as (select count(*) as n, avg(len(ws)) as mean from d),"
     " t as (select doc_id, dl, w, count(*) as tf from (select doc_id, len(ws) as dl, unnest(ws) as w from d) where w in (select w from q) group by all), f as (select w, count(*) as df from t group by 1),"
     " s as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * dl / mean))), 6) as score from t join f using (w) join q using (w), st group by all),"
@@ -217,10 +232,10 @@ SQL = {
     "prune_inventory": "with f as (select source, min(doc_id) as doc_id from documents group by source, lang, text), r as (select *, row_number() over (partition by source order by doc_id)::int as rank from f) select source, doc_id, rank from r where rank <= 12",
     "citation_match": f"with p as (select html, {_PATH} as path, {_HOST} as host from pages), t as (select case when path <> '' and contains(html, path) then 'path' when host <> '' and contains(html, host) then 'symbol' when length(string_split(path, '/')[-1]) >= 5 and contains(html, string_split(path, '/')[-1]) then 'basename' else 'none' end as tier from p) select tier, count(*) as n from t group by 1",
     "keyword_coverage": "select doc_id, round(len(list_filter(string_split(b.text, ' '), lambda w: contains(lower(d.text), lower(w)))) / len(string_split(b.text, ' ')), 6) as coverage from benchmark b join documents d on d.doc_id = b.item_id",
-    "citation_depth": "select doc_id, len(list_distinct(list_filter(regexp_extract_all(text, '\"([^\"\\n]{2,80})\"', 1), lambda x: regexp_matches(x, '[A-Za-z]'))))::int as depth from documents",
+    "citation_depth": "with a as (select doc_id, regexp_replace(text, '([A-Za-z]+)\\.', '`\\1`', 'g') as t from documents) select doc_id, len(list_distinct(list_filter(regexp_extract_all(t, '`([^`\\s]+)`', 1), lambda x: length(x) between 2 and 80 and regexp_matches(x, '\\pL') and not regexp_matches(x, '[\\[\\]]'))))::int as depth from a",
     "set_union": "with u as (select c_nationkey as nation, floor(c_acctbal / 1000)::bigint as class, 0 as source from customer union all select s_nationkey, floor(s_acctbal / 1000)::bigint, 1 from supplier) select nation, class, min(source) as source from u group by all",
     "set_intersect": "select l_partkey from lineitem where l_returnflag = 'R' intersect select l_partkey from lineitem where l_returnflag = 'A' and l_quantity > 45",
-    "set_except": "select c_custkey as key from customer except all select distinct o_custkey from orders",
+    "set_except": "select c_nationkey as key from customer except all select s_nationkey from supplier where s_acctbal > 5000",
     "set_full": "with a as (select distinct l_partkey from lineitem where l_quantity > 48), b as (select distinct l_partkey from lineitem where l_quantity < 3) select coalesce(a.l_partkey, b.l_partkey) as l_partkey, a.l_partkey is not null as in_a, b.l_partkey is not null as in_b from a full join b on a.l_partkey = b.l_partkey",
     "run_listing": "with o as (select o_custkey as id, o_orderdate::date::varchar as day, case when o_orderstatus = 'O' then 0 else 1 end as priority, o_orderkey as run from orders), r as (select *, row_number() over (partition by id order by priority, run desc) as r from o) select id, day, run, priority from r where r = 1 order by day desc, id limit 100",
     "topk": "select l_partkey, count(*) as n from lineitem group by 1 order by n desc, l_partkey limit 10",

@@ -168,3 +168,21 @@ def test_a_document_of_many_lines(spark):
     chunks = spans.select("path", F.concat_ws("_", "w", "line").alias("symbol"), F.when(F.col("w") == 100, "function").otherwise("class").alias("kind"), F.col("line").alias("start_line"), (F.col("line") + F.col("w") - 1).alias("end_line"), F.col("line").alias("ordinal"))
     got = issues.enclosing_chunk(points, chunks).groupBy("span").agg(F.count("*").alias("n")).collect()
     assert [(r.span, r.n) for r in got] == [(99, 100_000)]
+
+
+def test_citation_depth(spark):
+    rows = [("`a1` `ok` and `ok`, `x`, `two words`, `12`, `[MAJOR]`, `" + "n" * 81 + "`, `Foo.bar()`",), ("no ticks",), ("",), (None,)]
+    assert [r[0] for r in spark.createDataFrame(rows, "t string").select(retrieval.citation_depth(F.col("t"))).collect()] == [3, 0, 0, 0]
+
+
+def test_compat_verdicts(spark):
+    signals = "captcha boolean, closed_shadows int, sockets int, event_sources int, canvas_ratio double, dialogs int, frames int"
+    rows = [(True, 1, 1, 1, 0.9, 1, 9), (False, 2, 1, 0, None, 0, 0), (False, 0, 1, 2, 0.31, 3, 3), (False, 0, 0, 0, 0.3, 0, 2), (None, None, None, None, None, None, None)]
+    got = [(r.v.verdict, r.v.reasons) for r in spark.createDataFrame(rows, signals).select(crawl.compat_verdict(F.struct("*")).alias("v")).collect()]
+    assert got == [
+        ("incompatible:captcha", ["captcha"]), ("incompatible:closed-shadow", ["closed_shadows: 2"]),
+        ("limited", ["sockets: 1", "event_sources: 2", "canvas_ratio", "dialogs: 3", "frames: 3"]), ("compatible", []), ("compatible", []),
+    ]
+    page = "<script src='https://x/turnstile/api.js'></script><iframe src=a></iframe><IFRAME></IFRAME><script>new WebSocket('u'); confirm(1); el.attachShadow({mode: 'closed'})</script>"
+    told = spark.createDataFrame([(page,), (None,)], "h string").select(crawl.static_signals(F.col("h")).alias("s")).collect()
+    assert tuple(told[0].s) == (True, 1, 1, 0, None, 1, 2) and tuple(told[1].s) == (False, 0, 0, 0, None, 0, 0)

@@ -56,3 +56,8 @@ def test_trivial_and_tests(spark):
 def test_head_tail_keeps_both_ends(spark):
     got = values(spark, [("a" * 50 + "z" * 50,), ("short",), (None,)], "t string", T.head_tail(F.col("t"), 40))
     assert len(got[0]) == 40 and got[0].startswith("aaa") and got[0].endswith("zzz") and got[1] == "short" and got[2] is None
+
+
+def test_first_paragraph(spark):
+    rows = [("**Core**\n\n  one\ttwo  \nthree \n\nfour",), ("a **b**",), ("** x",), ("**only**\n\n \n\n**heads**",), ("",), (None,), ("y" * 300,), ("\n\n\n\nz",)]
+    assert values(spark, rows, "t string", T.first_paragraph(F.col("t"))) == ["one two three", "a **b**", "** x", "", "", "", "y" * 200, "z"]
