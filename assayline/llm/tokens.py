@@ -219,6 +219,7 @@ def write_shards(docs: DataFrame, folder: str, cfg: TokenConfig = TokenConfig())
         segment()
         if held:
             yield file()
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     schema = "part int, file string, n_docs long, n_ids long, n_bytes long"

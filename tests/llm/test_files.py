@@ -156,3 +156,26 @@ def test_warc_of_odd_tables(spark, tmp_path):
     assert got[1]["payload_bytes"] == 1_500_003 and len(got[1]["url"]) == 100_009 and got[2]["payload_bytes"] == 0
     empty = str(tmp_path / "empty")
     assert warc.write_archives(odd.limit(0), empty).count() == 0
+
+
+def test_the_warc_query_against_hashlib(spark, tmp_path):
+    """Every page of the table, a third of them with payloads that come several times, one of these null and empty."""
+    import base64
+    import hashlib
+    import os
+
+    data = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(data):
+        pytest.skip("no test tables here")
+    from pyspark.sql import functions as F
+
+    html = F.when(F.col("page_id") % 9 == 0, F.concat(F.lit("<p>é "), (F.col("page_id") % 5).cast("string"))).when(F.col("page_id") % 9 == 1, F.lit(None)).when(F.col("page_id") % 9 == 2, "").otherwise(F.col("html"))
+    spark.read.parquet(data).withColumn("html", html).write.parquet(str(tmp_path / "pages.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "pages.parquet")).collect()
+    body = {r.page_id: (r.html or "").encode() for r in rows}
+    last = {}
+    for i in sorted(body):
+        last[body[i]] = i
+    want = {(i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if last[b] == i else "revisit", None if last[b] == i else last[b]) for i, b in body.items()}
+    got = warc.op4_warc(spark, str(tmp_path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want and sum(w[3] == "revisit" for w in want) > 40
