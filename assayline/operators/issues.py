@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayline.functions.text import severity_rank
+from assayline.operators.ordered import Ordered
 
 
 def dirname(path: Column) -> Column:
@@ -53,14 +54,17 @@ def similar_locations(issues: DataFrame, most: int = 5) -> DataFrame:
     return pairs.withColumn("similar_rank", F.row_number().over(Window.partitionBy("key").orderBy("o"))).where(F.col("similar_rank") <= most).select("key", "similar_key", "similar_rank")
 
 
-def latest_change(issues: DataFrame, commits: DataFrame) -> DataFrame:
-    """issues (key, path, ts) × commits (path, sha, committed) → the last commit of the path up to ts, null if none."""
+def latest_change(issues: DataFrame, commits: DataFrame, parts: int | None = None) -> DataFrame:
+    """issues (key, path, ts) × commits (path, sha, committed) → the last commit of the path up to ts, null if none.
+
+    One pass over both in time order; a file with most of the commits is cut by time into several tasks.
+    """
     none = F.lit(None).cast(commits.schema["sha"].dataType)
     asked = issues.select("key", "path", F.col("ts").alias("t"), none.alias("sha"), F.lit(1).alias("side"))
     made = commits.select(F.lit(None).cast(issues.schema["key"].dataType).alias("key"), "path", F.col("committed").alias("t"), "sha", F.lit(0).alias("side"))
-    so_far = Window.partitionBy("path").orderBy("t", "side", "sha").rowsBetween(Window.unboundedPreceding, 0)  # one pass over both
-    change = F.last(F.when(F.col("side") == 0, F.struct(F.col("t").alias("committed"), "sha")), ignorenulls=True).over(so_far)
-    return asked.unionByName(made).withColumn("m", F.when(F.col("path").isNotNull(), change)).where("side = 1").select("key", F.col("m.sha").alias("sha"), F.col("m.committed").alias("committed"))
+    o = Ordered(asked.unionByName(made), "path", [F.col("t"), F.col("side"), F.col("sha")], parts)
+    got = o.last_before(o.rows, "m", F.struct(F.col("t").alias("committed"), "sha"), F.col("path").isNotNull() & (F.col("side") == 0))
+    return got.where("side = 1").select("key", F.col("m.sha").alias("sha"), F.col("m.committed").alias("committed"))
 
 
 def _dyadic(low: Column, high: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayline.operators.ordered import Ordered
 from assayline.sources.workdir import stored
 
 
@@ -59,16 +60,84 @@ def top_n(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def budget_prefix(items: DataFrame, group: str, order: str, cost: str, budget: int) -> DataFrame:
-    """Items of each group, in order, before the first with which the running cost goes over the budget."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return items.withColumn("running", F.sum(cost).over(w)).where(F.col("running") <= budget)
+def budget_prefix(items: DataFrame, group: str, order: str, cost: str, budget: int, parts: int | None = None) -> DataFrame:
+    """Items of each group, in order, before the first with which the running cost goes over the budget. Costs are not
+    negative, null is 0. A group of any size is cut into several tasks."""
+    o = Ordered(items, group, [F.col(order)], parts)
+    own = F.coalesce(cost, F.lit(0))
+    return o.sum_before(o.rows, "running", own).withColumn("running", F.col("running") + own).where(F.col("running") <= budget).drop("_pos", "_part")
 
 
-def prune(items: DataFrame, group: str, keys: list[str], order: str, limit: int) -> DataFrame:
-    """First of equal keys in each group, at most limit a group, in order."""
-    first = items.withColumn("_d", F.row_number().over(Window.partitionBy(group, *keys).orderBy(order))).where("_d = 1").drop("_d")
-    return top_n(first, group, [order], limit)
+# Fixed values.
+INTERACTIVE_ROLES = ("button", "link", "textbox", "combobox", "checkbox", "radio", "tab", "menuitem", "option", "searchbox", "switch", "slider", "spinbutton")
+CONTEXT_ROLES = ("heading", "main", "navigation", "banner", "contentinfo", "region", "form", "search", "complementary")
+LOW_ROLES = ("option", "menuitem")
+ROLE_LIMITS = {
+    "button": 15, "link": 20, "textbox": 15, "combobox": 10, "checkbox": 10, "radio": 10, "tab": 10,
+    "option": 12, "menuitem": 10, "searchbox": 5, "switch": 10, "slider": 5, "spinbutton": 5,
+}
+
+
+def fit_budget(items: DataFrame, group: str, order: str, budget: int = 1500, frame: int = 0, note: int = 0, per_role: int = 5, per_token: int = 4, parts: int | None = None) -> DataFrame:
+    """items (group, order, role, visible, enabled, chars) cut down until each group fits the budget → those kept, with the
+    stage that fitted and whether the group was cut.
+
+    Stages, each on what the one before left: 0 all; 1 without context roles; 2 without what is hidden or disabled; 3
+    without options and menu items; 4 the first per_role of each role; 5 those before the first that does not fit. A
+    group's tokens are its characters, the frame and from stage 1 on the note, by per_token; at least 1, and 1 if it is
+    empty. All stages' sums come from one aggregation. A null is shown and enabled, has no role, 0 characters. A group of
+    which nothing is left has no row.
+    """
+    role, chars = F.coalesce("role", F.lit("")), F.greatest(F.coalesce("chars", F.lit(0)), F.lit(0)).cast("long")
+    c1 = ~role.isin(*CONTEXT_ROLES)
+    c2 = c1 & F.coalesce("visible", F.lit(True)) & F.coalesce("enabled", F.lit(True))
+    c3 = c2 & ~role.isin(*LOW_ROLES)
+    within = [F.lit(True), c1, c2, c3]
+
+    def fits(n: Column, total: Column, extra: int) -> Column:
+        tokens = F.when(n > 0, F.greatest(F.lit(1), F.floor((total + F.lit(frame + extra)) / per_token))).otherwise(1)
+        return tokens <= budget
+
+    sums = [f for i, c in enumerate(within) for f in (F.count_if(c).alias(f"n{i}"), F.coalesce(F.sum(F.when(c, chars)), F.lit(0)).alias(f"s{i}"))]
+    totals = items.groupBy(F.col(group).alias("_g")).agg(*sums)
+    # The limit on ranks is known to Spark, so that no more than per_role rows a role and input task are exchanged.
+    by_role = Window.partitionBy(group, role).orderBy(order)
+    first = stored(items.where(c3).withColumn("_r", F.row_number().over(by_role)).where(F.col("_r") <= per_role).drop("_r"), "first-of-role")
+    top = first.groupBy(F.col(group).alias("_h")).agg(F.count(F.lit(1)).alias("n4"), F.sum(chars).alias("s4"))
+    stage = F.when(fits(F.col("n0"), F.col("s0"), 0), 0)
+    for i in range(1, 5):
+        stage = stage.when(fits(F.coalesce(f"n{i}", F.lit(0)), F.coalesce(f"s{i}", F.lit(0)), note), i)
+    stages = stored(totals.join(top, totals["_g"].eqNullSafe(top["_h"]), "left").select("_g", stage.otherwise(5).alias("stage")), "budget-stages")
+    placed = lambda df, which: df.join(stages.where(which), df[group].eqNullSafe(stages["_g"])).drop("_g")
+    early = placed(items, "stage < 4")
+    early = early.where(F.element_at(F.array(*within), F.col("stage") + 1))
+    o = Ordered(placed(first, "stage = 5"), group, [F.col(order)], parts)
+    last = o.sum_before(o.rows, "_sum", chars).where(fits(F.lit(1), F.col("_sum") + chars, note)).drop("_sum", "_pos", "_part")
+    return early.unionByName(placed(first, "stage = 4")).unionByName(last).withColumn("truncated", F.col("stage") > 0)
+
+
+def prune(items: DataFrame, group: str, order: str, limits: dict[str, int] | None = None, keep_context: bool = True, drop_invisible: bool = True, drop_disabled: bool = False) -> DataFrame:
+    """items (group, order, role, name, text, visible, enabled) → those kept, with their rank in group and role.
+
+    Hidden ones go, disabled ones and context roles if asked; so do controls without a name or text. Of equal roles and
+    labels (the name, else the text) in a group the first stays, and of each role the first so many; roles without a limit
+    keep all and have no rank. A null is shown and enabled; null names, texts and roles are empty.
+    """
+    limits = ROLE_LIMITS | (limits or {})
+    role, name, text = (F.coalesce(c, F.lit("")) for c in ("role", "name", "text"))
+    keep = F.lit(True)
+    keep = keep & F.coalesce("visible", F.lit(True)) if drop_invisible else keep
+    keep = keep & F.coalesce("enabled", F.lit(True)) if drop_disabled else keep
+    keep = keep if keep_context else keep & ~role.isin(*CONTEXT_ROLES)
+    keep = keep & ~(role.isin(*INTERACTIVE_ROLES) & ~F.concat(name, text).rlike(r"(?U)\S"))
+    label = F.when(name != "", name).otherwise(text)
+    row = F.struct(F.col(order).alias("_o"), *items.columns)
+    first = items.where(keep).groupBy(F.col(group).alias("_g"), role.alias("_role"), label.alias("_label")).agg(F.min(row).alias("m")).select("m.*", "_role").drop("_o")
+    most = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))
+    ranked = first.where(F.col("_role").isin(*limits)).withColumn("rank", F.row_number().over(Window.partitionBy(group, "_role").orderBy(order)))
+    ranked = ranked.where((F.col("rank") <= max(limits.values())) & (F.col("rank") <= most[F.col("_role")]))
+    free = first.where(~F.col("_role").isin(*limits)).withColumn("rank", F.lit(None).cast("int"))
+    return ranked.unionByName(free).drop("_role")
 
 
 def citation_tier(answer: Column, path: Column, symbol: Column, least: int = 5) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayline.operators.ordered import Ordered
+
 
 def followed_within(first: DataFrame, then: DataFrame, key: str, seconds: int) -> DataFrame:
     """Rows of first (key, ts) that a row of then (key, ts) follows within so many seconds, both ends included.
@@ -67,26 +68,33 @@ def drift(pages: DataFrame, window: int = 5) -> DataFrame:
     return pages.withColumn("hit", (off == window) & same).where("hit").groupBy("crawl").agg(F.min("position").alias("position"))
 
 
-def dedupe_clicks(steps: DataFrame) -> DataFrame:
+def dedupe_clicks(steps: DataFrame, parts: int | None = None) -> DataFrame:
     """Collapses adjacent clicks on one page and name but with other targets; of two the popup one, else the later, stays.
+    Adjacent means next to the last step kept. Clicks without a name or a target are never collapsed; step numbers the rest.
 
-    The comparison is with the last kept step, which no one window can express, so each session runs as one group.
+    Clicks in a row on one page and name make a block. In it each click takes the place of the one kept before, but for
+    one case: behind a click with a popup, others go until one comes that has its target or a popup too. So whether a
+    click is kept for now follows from the last popup before it in its block and from whether its target has come again;
+    both are running values, and a session of any length is many tasks.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for r in pdf.sort_values("ordinal", kind="stable").itertuples(index=False):
-            last = kept[-1] if kept else None
-            if last is not None and r.action == last.action == "click" and r.page == last.page and r.name == last.name and r.name and r.target != last.target:
-                if r.popup or not last.popup:
-                    kept[-1] = r
-                continue
-            kept.append(r)
-        out = pd.DataFrame(kept, columns=pdf.columns)
-        out["step"] = range(1, len(out) + 1)
-        return out
-
-    return steps.groupBy("session").applyInPandas(one, steps.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ") + ", step int")
+    named = (F.col("action") == "click") & (F.coalesce("name", F.lit("")) != "") & (F.coalesce("target", F.lit("")) != "")
+    popup = F.coalesce("popup", F.lit(False))
+    o = Ordered(steps, "session", [F.col("ordinal")], parts)
+    df = o.last_before(o.rows, "_prev", F.struct("page", "name", "target", F.coalesce(named, F.lit(False)).alias("named")))
+    same = F.coalesce(named & F.col("_prev.named") & F.col("_prev.page").eqNullSafe(F.col("page")) & (F.col("_prev.name") == F.col("name")), F.lit(False))
+    df = df.withColumn("_fresh", ~same)
+    # The last start before a row: a block's first click, or one with a popup.
+    start = F.col("_fresh") | popup
+    df = o.last_before(df, "_head", F.struct(F.col("_pos").alias("at"), "target", popup.alias("popup")), start)
+    again = ~start & F.col("_head.popup") & (F.col("_head.target") == F.col("target"))
+    df = o.last_before(df, "_again", F.col("_pos"), again)
+    held = F.col("_head.popup") & (F.coalesce("_again", F.lit(-1)) < F.col("_head.at"))  # the click before is gone, or is the popup itself
+    df = df.withColumn("_kept", F.coalesce(start | again | ~held, F.lit(True)))
+    last = F.when(held, F.col("_head.target")).otherwise(F.col("_prev.target"))
+    new = F.col("_fresh") | (F.col("target") == last)
+    df = o.sum_before(df.withColumn("_new", new.cast("int")), "_step", F.col("_new")).withColumn("step", (F.col("_step") + F.col("_new")).cast("int"))
+    kept = df.where("_kept").groupBy("session", "step").agg(F.max(F.struct("_pos", *(c for c in steps.columns if c != "session"))).alias("m"))
+    return kept.select(*(F.col(c if c == "session" else f"m.{c}") for c in steps.columns), "step")
 
 
 def with_redirects(actions: DataFrame, redirects: DataFrame) -> DataFrame:

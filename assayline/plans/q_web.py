@@ -99,14 +99,29 @@ def topn_per_group(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.top_n(table(spark, d, "documents"), "source", [F.desc("n_chars"), F.col("doc_id")], 3).select("source", "doc_id", "rank")
 
 
-def fit_token_budget(spark: SparkSession, d: str) -> DataFrame:
+def token_budget_prefix(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("source", "doc_id", F.greatest(F.lit(1), F.floor(F.length("text") / 4)).cast("long").alias("tokens"))
     return retrieval.budget_prefix(docs, "source", "doc_id", "tokens", 4000).select("source", "doc_id", "running")
 
 
+def fit_token_budget(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events as the elements of a page, the longer the higher the user's number."""
+    e = table(spark, d, "events")
+    role = F.expr("case event_type when 'view' then 'heading' when 'click' then 'button' when 'purchase' then 'link' when 'error' then 'option' else 'textbox' end")
+    width = ((F.floor("value") + 20) * (1 + F.col("user_id") % 40)).cast("long")
+    items = e.select(F.col("user_id").alias("page"), F.col("event_id").alias("ordinal"), role.alias("role"), (F.col("value") <= 60).alias("visible"), (F.col("event_id") % 9 != 0).alias("enabled"), width.alias("chars"))
+    return retrieval.fit_budget(items, "page", "ordinal", 4000, frame=300, note=80).select("page", "ordinal", "stage", "truncated")
+
+
+ROLES = ("button", "heading", "link", "option", "region", "searchbox", "custom")
+
+
 def prune_inventory(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("source", "lang", F.col("text").alias("name"), "doc_id")
-    return retrieval.prune(docs, "source", ["lang", "name"], "doc_id", 12).select("source", "doc_id", "rank")
+    """A source's documents as the elements of a page."""
+    docs = table(spark, d, "documents")
+    role = F.element_at(F.array(*(F.lit(r) for r in ROLES)), (F.col("doc_id") % 7 + 1).cast("int"))
+    items = docs.select(F.col("source").alias("page"), "doc_id", role.alias("role"), F.when(F.col("lang") == "en", "").otherwise(F.col("lang")).alias("name"), "text", (F.col("n_chars") > 400).alias("visible"), (F.col("n_chars") < 20000).alias("enabled"))
+    return retrieval.prune(items, "page", "doc_id", {"button": 3, "region": 2}, drop_disabled=True).select("page", "doc_id", "role", "rank")
 
 
 def citation_match(spark: SparkSession, d: str) -> DataFrame:
@@ -186,7 +201,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_url, url_scope_filter, page_outlinks, internal_links, path_tree, crawl_parent, crawl_distribution, strip_html_text, strip_text_urls, compat_verdict, keyword_score, vector_score, hybrid_topk, topn_per_group,
-        fit_token_budget, prune_inventory, citation_match, keyword_coverage, citation_depth, set_union, set_intersect, set_except, set_full, run_listing, topk, join_rule_dim, rank_first,
+        token_budget_prefix, fit_token_budget, prune_inventory, citation_match, keyword_coverage, citation_depth, set_union, set_intersect, set_except, set_full, run_listing, topk, join_rule_dim, rank_first,
     )
 }
 
@@ -228,8 +243,18 @@ SQL = {
     "hybrid_topk": f"with {_COSINE}, m as (select max(n_chars) as m from documents), w as (select (doc_id % 10)::int as query_id, doc_id, n_chars / m as s from documents, m), b as (select coalesce(cs.label, w.query_id) as query_id, coalesce(cs.vec_id, w.doc_id) as doc_id, round(0.7::double * coalesce(cs.score, 0) + (1 - 0.7::double) * coalesce(w.s, 0), 6) as score from cs full join w on cs.vec_id = w.doc_id and cs.label = w.query_id),"
     " r as (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from b where score >= 0.25) select query_id, doc_id, rank, score from r where rank <= 15",
     "topn_per_group": "select source, doc_id, rank from (select source, doc_id, row_number() over (partition by source order by n_chars desc, doc_id)::int as rank from documents) where rank <= 3",
-    "fit_token_budget": "select source, doc_id, running from (select source, doc_id, sum(greatest(1, length(text) // 4)) over (partition by source order by doc_id)::bigint as running from documents) where running <= 4000",
-    "prune_inventory": "with f as (select source, min(doc_id) as doc_id from documents group by source, lang, text), r as (select *, row_number() over (partition by source order by doc_id)::int as rank from f) select source, doc_id, rank from r where rank <= 12",
+    "token_budget_prefix": "select source, doc_id, running from (select source, doc_id, sum(greatest(1, length(text) // 4)) over (partition by source order by doc_id)::bigint as running from documents) where running <= 4000",
+    "fit_token_budget": "with e as (select user_id as page, event_id as ordinal, case event_type when 'view' then 'heading' when 'click' then 'button' when 'purchase' then 'link' when 'error' then 'option' else 'textbox' end as role,"
+    " value <= 60 and event_id % 9 <> 0 as usable, (floor(value) + 20)::bigint * (1 + user_id % 40) as chars from events),"
+    " a as (select *, role <> 'heading' as c1, role <> 'heading' and usable as c2, role not in ('heading', 'option') and usable as c3 from e),"
+    " b as (select *, c3 and row_number() over (partition by page, role, c3 order by ordinal) <= 5 as c4 from a), r as (select *, sum(chars) filter (c4) over (partition by page order by ordinal) as running from b),"
+    " t as (select page, sum(chars) as s0, coalesce(sum(chars) filter (c1), -1) as s1, coalesce(sum(chars) filter (c2), -1) as s2, coalesce(sum(chars) filter (c3), -1) as s3, coalesce(sum(chars) filter (c4), -1) as s4 from b group by page),"
+    " s as (select page, case when (s0 + 300) // 4 <= 4000 then 0 when s1 < 0 or (s1 + 380) // 4 <= 4000 then 1 when s2 < 0 or (s2 + 380) // 4 <= 4000 then 2 when s3 < 0 or (s3 + 380) // 4 <= 4000 then 3 when s4 < 0 or (s4 + 380) // 4 <= 4000 then 4 else 5 end as stage from t)"
+    " select page, ordinal, stage, stage > 0 as truncated from r join s using (page) where case stage when 0 then true when 1 then c1 when 2 then c2 when 3 then c3 when 4 then c4 else c4 and (running + 380) // 4 <= 4000 end",
+    "prune_inventory": "with i as (select source as page, doc_id, (['button', 'heading', 'link', 'option', 'region', 'searchbox', 'custom'])[doc_id % 7 + 1] as role, case when lang = 'en' then '' else coalesce(lang, '') end as name, coalesce(text, '') as text from documents where n_chars > 400 and n_chars < 20000),"
+    " k as (select * from i where role in ('heading', 'region', 'custom') or regexp_matches(name || text, '\\S')), f as (select page, role, min(doc_id) as doc_id from k group by page, role, case when name <> '' then name else text end),"
+    " r as (select *, row_number() over (partition by page, role order by doc_id)::int as n from f)"
+    " select page, doc_id, role, case when role not in ('heading', 'custom') then n end as rank from r where n <= case role when 'button' then 3 when 'link' then 20 when 'option' then 12 when 'region' then 2 when 'searchbox' then 5 else n end",
     "citation_match": f"with p as (select html, {_PATH} as path, {_HOST} as host from pages), t as (select case when path <> '' and contains(html, path) then 'path' when host <> '' and contains(html, host) then 'symbol' when length(string_split(path, '/')[-1]) >= 5 and contains(html, string_split(path, '/')[-1]) then 'basename' else 'none' end as tier from p) select tier, count(*) as n from t group by 1",
     "keyword_coverage": "select doc_id, round(len(list_filter(string_split(b.text, ' '), lambda w: contains(lower(d.text), lower(w)))) / len(string_split(b.text, ' ')), 6) as coverage from benchmark b join documents d on d.doc_id = b.item_id",
     "citation_depth": "with a as (select doc_id, regexp_replace(text, '([A-Za-z]+)\\.', '`\\1`', 'g') as t from documents) select doc_id, len(list_distinct(list_filter(regexp_extract_all(t, '`([^`\\s]+)`', 1), lambda x: length(x) between 2 and 80 and regexp_matches(x, '\\pL') and not regexp_matches(x, '[\\[\\]]'))))::int as depth from a",
