@@ -61,7 +61,9 @@ def strip_noise(steps: DataFrame) -> DataFrame:
 
 
 def drift(pages: DataFrame, window: int = 5) -> DataFrame:
-    """pages (crawl, position, host, own_host): where the last window pages were first all on one host that is not the own."""
+    """pages (crawl, position, host, own_host): where the last window pages were first all on one host that is not the own.
+    Pages without a host do not count."""
+    pages = pages.where("coalesce(host, '') <> ''")
     span = Window.partitionBy("crawl").orderBy("position").rowsBetween(1 - window, 0)
     off = F.count_if(F.col("host") != F.col("own_host")).over(span)
     same = F.min("host").over(span) == F.max("host").over(span)

@@ -53,6 +53,7 @@ def stream_click_nav(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Crawls whose first streak lies before the watermark, an hour behind the last event."""
     e = _events(spark, d)
     pages = e.select("ts", F.col("user_id").alias("crawl"), F.col("event_id").alias("position"), F.when(F.col("event_type").isin("view", "click"), "home").otherwise(F.col("event_type")).alias("host"), F.lit("home").alias("own_host"))
     return logs.run(logs.drift(pages, 2), "stream-drift")
@@ -126,7 +127,8 @@ SQL = {
     "stream_dedup_new": "select distinct user_id from events",
     "stream_session_rollup": "with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts) as sid from g) select user_id, epoch_us(min(ts)) as start_us, count(*) as n, bool_or(event_type = 'error') as failed from s group by user_id, sid",
     "stream_click_nav": "select event_id, user_id from events c where event_type = 'click' and exists (select 1 from events n where n.event_type = 'purchase' and n.user_id = c.user_id and n.ts between c.ts and c.ts + interval 1 hour)",
-    "stream_drift": "with p as (select user_id as crawl, event_id as position, case when event_type in ('view', 'click') then 'home' else event_type end as host from events), q as (select *, lag(host) over (partition by crawl order by position) as before from p) select crawl, min(position) as position from q where host <> 'home' and host = before group by crawl",
+    "stream_drift": "with p as (select user_id as crawl, event_id as position, case when event_type in ('view', 'click') then 'home' else event_type end as host from events where epoch_ms(ts) < (select epoch_ms(max(ts)) - 3600000 from events)), q as (select *, lag(host) over (partition by crawl order by position) as before from p)"
+    " select crawl, min(position) as position from q where host <> 'home' and host = before group by crawl",
     "stream_issue_router": "select event_id as key, case when event_type = 'error' then 'false_positive' when value > 100 then 'failed' when event_id % 10 = 0 then 'skipped' else 'created' end as outcome from events",
     "src_jsonl": "select case when event_id % 10 = 0 then 'quarantined' else 'read' end as state, count(*) as n, sum(case when event_id % 10 > 0 then json_extract(props, '$.k')::bigint end)::bigint as total from events group by 1",
     "src_dated_partitions": "select ts::date::varchar as date, event_type, count(*) as n from events where ts >= timestamp '2024-01-20' group by all",

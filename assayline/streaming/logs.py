@@ -110,32 +110,45 @@ def followed(first: DataFrame, then: DataFrame, key: str, seconds: int, late: st
 
 
 def drift(pages: DataFrame, window: int, late: str = "1 hour") -> DataFrame:
-    """pages (ts, crawl, position, host, own_host) → (crawl, position) where window pages in a row were on one foreign host.
+    """pages (ts, crawl, position, host, own_host) → (crawl, position) where window pages in a row were on one foreign host,
+    the first such place of a crawl. Positions grow with ts, to the millisecond; pages without a host do not count.
 
-    State is the host and length of the running streak; it goes when the stream's time is a day past the crawl's last page.
+    Pages wait in the state until the watermark has passed them and are then taken in order of position, so that the result
+    does not depend on how the log is cut into batches: it is that of all pages before the watermark that came before it.
+    State is what waits (the pages of one crawl within the lateness), and the host and length of the running streak. It goes
+    when the watermark is a day past the crawl's last page.
     """
+    day = 86_400_000
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        host, length, told = state.get if state.exists else ("", 0, False)
+        host, length, told, last, times, places, hosts = state.get if state.exists else ("", 0, False, 0, [], [], [])
+        mark = state.getCurrentWatermarkMs()
+        waiting = list(zip(times, places, hosts))
+        for p in () if state.hasTimedOut else parts:
+            waiting += zip(p["ms"].tolist(), p["position"].tolist(), p["host"].tolist())
+            last = max(last, int(p["ms"].max()))
         hits = []
-        rows = pd.concat(list(parts)).sort_values("position")
-        for r in rows.itertuples(index=False):
-            if r.host == r.own_host:
-                host, length = "", 0
-            else:
-                length = length + 1 if r.host == host else 1
-                host = r.host
+        for _, place, at in sorted((w for w in waiting if w[0] < mark), key=lambda w: w[1]):
+            length = 0 if at == "" else length + 1 if at == host else 1
+            host = at
             if length >= window and not told:
                 told = True
-                hits.append((key[0], r.position))
-        state.update((host, length, told))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 86_400_000)
-        yield pd.DataFrame(hits, columns=["crawl", "position"]).astype({"crawl": "int64", "position": "int64"})
-
-    return pages.withWatermark("ts", late).groupBy("crawl").applyInPandasWithState(step, "crawl long, position long", "host string, length int, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
+                hits.append((key[0], place))
+        waiting = [] if told else [w for w in waiting if w[0] >= mark]
+        if not waiting and last + day < mark:
+            state.remove()
+        else:
+            times, places, hosts = (list(c) for c in zip(*waiting)) if waiting else ([], [], [])
+            state.update((host, length, told, last, times, places, hosts))
+            state.setTimeoutTimestamp(min(times) if times else max(last + day, mark))
+        if hits:
+            yield pd.DataFrame(hits, columns=["crawl", "position"])
+
+    asked = pages.withWatermark("ts", late).where("ts is not null and crawl is not null and position is not null and coalesce(host, '') <> ''")
+    # The own host is told by an empty name.
+    rows = asked.select("ts", F.col("crawl").cast("long"), F.col("position").cast("long"), F.when(F.col("host").eqNullSafe(F.col("own_host")), "").otherwise(F.col("host")).alias("host"), F.unix_millis("ts").alias("ms"))
+    kept = "host string, length int, told boolean, last long, times array<long>, places array<long>, hosts array<string>"
+    return rows.groupBy("crawl").applyInPandasWithState(step, "crawl long, position long", kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def routed(issues: DataFrame, name: str, route: Callable[[DataFrame], DataFrame]) -> DataFrame:

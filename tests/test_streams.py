@@ -100,3 +100,43 @@ def test_percentiles_and_late_rows_over_a_restart(spark, tmp_path):
     assert sorted((r.key or "", r.n) for r in late.collect()) == [("", 1), ("chat", 1)]
     rounded = logs.llm_sla(spark.createDataFrame(parts[0], schema), step=250.0).collect()
     assert {r.ms for r in rounded if r.kind == "chat"} == {250.0, 500.0}
+
+
+@pytest.mark.parametrize("how", ["one batch", "a file a batch", "reversed", "in two runs"])
+def test_drift_does_not_depend_on_batches(spark, tmp_path, how):
+    """Pages in any order within the lateness, nulls, repeated hosts; a page two days on closes the log and lets state expire."""
+    from assayline.operators import sessions
+    from assayline.streaming import logs
+
+    import random
+
+    rnd = random.Random(5)
+    start = dt.datetime(2024, 3, 1)
+    pages = [(start + dt.timedelta(seconds=60 * i + c), c, i, rnd.choice(["home", "x", "y", "x", None, ""]), "home") for c in range(12) for i in range(25)]
+    pages += [(start + dt.timedelta(seconds=i), 50, i, "x" if i > 4 else "home", "home") for i in range(9)] + [(None, 51, 1, "x", "home"), (start, None, 1, "x", "home")]
+    schema = "ts timestamp, crawl long, position long, host string, own_host string"
+    want = {(r.crawl, r.position) for r in sessions.drift(spark.createDataFrame([p for p in pages if p[0] and p[1] is not None], schema), 4).select("crawl", "position").collect()}
+    assert (50, 8) in want and 3 < len(want) < 13, want
+    path, folder = str(tmp_path / "log"), str(tmp_path / "out")
+    closing = [(start + dt.timedelta(days=2), 99, 1, "home", "home")]
+    n = 0
+
+    def add(rows):
+        nonlocal n
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/f{n}")
+        for f in os.listdir(f"{path}/f{n}"):
+            os.utime(f"{path}/f{n}/{f}", (1_700_000_000 + 60 * n,) * 2)
+        n += 1
+
+    rnd.shuffle(pages)
+    fifth = [pages[i::5] for i in range(5)]
+    if how == "reversed":
+        fifth = [sorted(pages, key=lambda p: str(p[0]), reverse=True)[i * 63 : i * 63 + 63] for i in range(5)]
+    read = lambda: logs.source(spark, f"{path}/*", spark.createDataFrame([], schema).schema, None if how == "one batch" else 1)
+    for i, rows in enumerate([*fifth, closing]):
+        add(rows)
+        if how == "in two runs" and i == 2:
+            early = logs.run(logs.drift(read(), 4, "3 hours"), "drift", folder=folder)
+            assert early.count() == 0
+    got = [(r.crawl, r.position) for r in logs.run(logs.drift(read(), 4, "3 hours"), "drift", folder=folder).collect()]
+    assert sorted(got) == sorted(want)
