@@ -61,3 +61,13 @@ def test_head_tail_keeps_both_ends(spark):
 def test_first_paragraph(spark):
     rows = [("**Core**\n\n  one\ttwo  \nthree \n\nfour",), ("a **b**",), ("** x",), ("**only**\n\n \n\n**heads**",), ("",), (None,), ("y" * 300,), ("\n\n\n\nz",)]
     assert values(spark, rows, "t string", T.first_paragraph(F.col("t"))) == ["one two three", "a **b**", "** x", "", "", "", "y" * 200, "z"]
+
+
+def test_policy_of_text_that_begins_with_a_json_value(spark):
+    mail, card = ("Email address exposure", "a@b.co"), ("Credit card number exposure", "4708096362725454")
+    cases = [
+        ("8294846167456848 Inly onhe. 4708096362725454 of", card), ("4763047826333361 Of thnd a@b.co anwhed", mail), ("4708096362725454 Anth +1 (984) 555-5227", card), ('{"x": 1} a@b.co', mail), ('{"a@b.co": 1}, 2', mail),
+        ('{"a@b.co": 1}, 1], 2', mail), ('{"a@b.co": 1}]', mail), ('{"a@b.co": 1}, 1', mail), (' {"a@b.co": 1}\n', None), ('[{"a@b.co": [1, 2]}]', None), ("true a@b.co", mail), ("", None),
+    ]
+    got = values(spark, [(t,) for t, _ in cases], "t string", T.first_policy_hit(F.col("t")))
+    assert [None if g is None else tuple(g) for g in got] == [w for _, w in cases]
