@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assayline.functions import text as T
 from assayline.operators import codegraph, issues
-from assayline.sources.tables import table
+from assayline.sources.tables import dealt, table
 
 #: The severity that each order priority stands for in these queries.
 _SEVERITY = {"1-URGENT": "BLOCKER", "2-HIGH": "CRITICAL", "3-MEDIUM": "MAJOR", "4-NOT SPECIFIED": "MINOR", "5-LOW": "INFO"}
@@ -120,7 +120,7 @@ def snippet_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _calls(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
+    li = dealt(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     return li.withColumn("callee", F.lead("l_partkey").over(order)).where("callee is not null").select(F.col("l_partkey").alias("caller"), "callee", F.col("l_orderkey").alias("ordinal")).distinct()
 

@@ -153,6 +153,14 @@ def test_ranges_around_points(spark):
     assert sorted(map(tuple, got)) == want
 
 
+def test_tasks_of_dealt_rows_do_not_grow(spark):
+    from assayline.sources.tables import dealt
+
+    few, many = (dealt(spark.range(n).withColumn("k", F.col("id") % 977), "k", rows=1000) for n in (2_000, 40_000))
+    assert few.rdd.getNumPartitions() == 4 and many.rdd.getNumPartitions() == 40
+    assert max(many.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 4_000 and many.count() == 40_000
+
+
 def test_snippets_are_trimmed_again(spark):
     lines = spark.createDataFrame([("f", k, f"code {k}") for k in range(1, 200)], "component string, line_no int, code string")
     wide = issues.snippet_window(spark.createDataFrame([("a", "f", 100), ("b", "f", 3)], "key string, component string, line int"), lines, 50)
