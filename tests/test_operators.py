@@ -153,6 +153,31 @@ def test_ranges_around_points(spark):
     assert sorted(map(tuple, got)) == want
 
 
+def test_callers_are_counted_as_their_links(spark):
+    """Counts by file and caller equal those of the links, self calls, closed calls and files without imports included."""
+    import random
+
+    deal = random.Random(5)
+    names = [f"name{k}" for k in range(6)]
+    for _ in range(6):
+        chunks = [(f"f{deal.randrange(5)}", deal.choice(names), deal.sample(names, deal.randrange(3))) for _ in range(14)] + [("x", "alone", ["alone"]), ("y", "shut", ["shut", "name1"])]
+        imports = [(f"f{k}", deal.sample(names, deal.randrange(4))) for k in range(3)] + [("y", ["none"])]
+        c, i = spark.createDataFrame(chunks, "path string, symbol string, callees array<string>"), spark.createDataFrame(imports, "path string, imports array<string>")
+        known, own = dict(imports), {(p, s) for p, s, _ in chunks}
+        links = {(q, t, f"{p}#{s}") for p, s, cs in chunks for t in cs for q, u in own if t == u and (p == q or t in known.get(p, []) or not known.get(p)) and (p, s) != (q, u)}
+        assert set(map(tuple, codegraph.callers_index(c, i).select("callee_path", "callee", "caller_ref").collect())) == links
+        want = sorted((t, len({r for _, u, r in links if u == t}), len({q for q, u, _ in links if u == t})) for t in {t for _, t, _ in links})
+        assert sorted(map(tuple, codegraph.callers_counts(c, i).select("callee", "callers", "paths").collect())) == want
+
+
+def test_calls_keep_no_lists_of_imports(spark):
+    chunks = spark.createDataFrame([("a.py", "caller", ["target"])], "path string, symbol string, callees array<string>")
+    imports = spark.createDataFrame([("a.py", ["target"])], "path string, imports array<string>")
+    for got in (codegraph.callers_index(chunks, imports), codegraph.callers_counts(chunks, imports)):
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "array_contains" not in plan
+
+
 def test_tasks_of_dealt_rows_do_not_grow(spark):
     from assayline.sources.tables import dealt
 
