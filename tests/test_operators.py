@@ -194,6 +194,18 @@ def test_snippets_are_trimmed_again(spark):
     assert len(got["b"][0]) == 53 and got["b"][1][2] == ">> 3: code 3" and len(got["b"][1]) == 13
 
 
+def test_snippets_at_the_edges_of_blocks(spark):
+    """All lines as points, with gaps, against slices; lines of a few blocks are laid out, not one for each line asked for."""
+    numbers = [n for n in range(-7, 140) if n % 11 != 4]
+    lines = spark.createDataFrame([("f", n, None if n == 50 else f"c{n}") for n in numbers] + [("g", 3, "x" * 9)], "component string, line_no int, code string")
+    points = lines.select(F.concat_ws(":", "component", "line_no").alias("key"), "component", F.col("line_no").alias("line")).unionByName(spark.createDataFrame([("none", "f", 900), ("null", "f", None)], "key string, component string, line int"))
+    df = issues.snippet_window(points, lines, 3, 5)
+    want = {f"f:{n}": "\n".join(f"{'>> ' if m == n else '   '}{m}: c{m}" for m in numbers if abs(m - n) <= 3 and m != 50) for n in numbers}
+    assert {r.key: r.snippet for r in df.collect()} == want | {"g:3": ">> 3: xxxxx"}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence((line" not in plan and "block" in plan
+
+
 def test_a_document_of_many_lines(spark):
     """100,000 lines, all of them points, with spans of three depths around each."""
     points = spark.range(100_000).select(F.col("id").cast("string").alias("key"), F.lit("f").alias("path"), F.col("id").cast("int").alias("line"))
