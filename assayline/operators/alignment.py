@@ -24,6 +24,12 @@ INTENT_ONLY = ("verify", "mock_status", "mock_data")
 ACTION, TARGET, VALUE = 0.3, 0.5, 0.2
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """df stored. Its few distinct values take so little room in files that Spark would take it for small and send all its
+    rows through the driver; joins of it are by shuffling and sorting."""
+    return stored(df, name).hint("merge")
+
+
 def _steps(df: DataFrame) -> DataFrame:
     order = Window.partitionBy("pair").orderBy("ordinal")
     tidy = df.select("pair", "ordinal", F.coalesce("action", F.lit("")).alias("action"), F.lower(F.trim(F.coalesce("target", F.lit("")))).alias("target"), F.trim(F.coalesce("value", F.lit(""))).alias("value"))
@@ -53,7 +59,7 @@ def _reach(own: DataFrame, other: DataFrame, links: DataFrame, t: str, u: str) -
     kinds = at.select("pair", t, "value").distinct()
     free = links.where("free").join(by_target, ["pair", u]).groupBy("pair", t).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     bound = links.where("not free").join(by_value, ["pair", u]).join(kinds, ["pair", t, "value"]).groupBy("pair", t, "value").agg(F.sum("n").alias("m"), F.min("low").alias("low2"), F.max("high").alias("high2"))
-    both = at.join(free, ["pair", t], "left").join(bound, ["pair", t, "value"], "left")
+    both = at.join(free, ["pair", t], "left").join(bound.hint("merge"), ["pair", t, "value"], "left")
     n = F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))
     return both.select("pair", "step", n.alias("n"), F.least("low", "low2").alias("low"), F.greatest("high", "high2").alias("high"))
 
@@ -65,7 +71,7 @@ def _anchors(left: DataFrame, right: DataFrame, links: DataFrame) -> DataFrame:
     at = at.withColumn("before", F.max("high").over(so_far)).withColumn("after", F.min("low").over(ahead))
     alone = at.where((F.col("n") == 1) & (F.coalesce("before", F.lit(0)) < F.col("low")) & F.coalesce(F.col("after") > F.col("low"), F.lit(True)))
     lone = _reach(right, left, links, "u", "t").where("n = 1").select("pair", F.col("step").alias("other"))
-    return alone.select("pair", "step", F.col("low").alias("other")).join(lone, ["pair", "other"])
+    return alone.select("pair", "step", F.col("low").alias("other")).join(lone.hint("merge"), ["pair", "other"])
 
 
 def best_path(score_of: Callable[[int, int], float | None], matches: Callable[[int], tuple[np.ndarray, np.ndarray]], n: int, m: int) -> Iterator[tuple[int | None, int | None, float]]:
@@ -162,12 +168,12 @@ def align(left: DataFrame, right: DataFrame, least: float = 0.7, exact: float =
     sum of the scores is the greatest there is. Case and outer blanks of targets and outer blanks of values count for
     nothing; null is empty.
     """
-    x, y = stored(_steps(left), "left-steps"), stored(_steps(right), "right-steps")
+    x, y = _kept(_steps(left), "left-steps"), _kept(_steps(right), "right-steps")
     no_step, no_score = F.lit(None).cast("int"), F.lit(0.0).alias("score")
     intents = x.where(F.col("action").isin(*INTENT_ONLY)).select("pair", F.col("step").alias("left_step"), no_step.alias("right_step"), F.lit("intent_only").alias("kind"), no_score)
     x, y = (df.where(~F.col("action").isin(*INTENT_ONLY)) for df in (x, y))
-    links = stored(target_links(x, y, least), "links")
-    anchors = stored(_anchors(x, y, links), "anchors")
+    links = _kept(target_links(x, y, least), "links")
+    anchors = _kept(_anchors(x, y, links), "anchors")
     a, b = x.select("pair", "step", "t", F.col("value").alias("v")), y.select("pair", F.col("step").alias("other"), F.col("t").alias("u"), F.col("value").alias("w"))
     equal = F.col("v") == F.col("w")
     score = F.when(equal & (F.col("t") == F.col("u")), F.lit(1.0)).otherwise(F.col("score") + F.when(equal, F.lit(VALUE)).otherwise(F.lit(0.0)))
@@ -179,10 +185,10 @@ def align(left: DataFrame, right: DataFrame, least: float = 0.7, exact: float =
         before = F.sum(F.coalesce("anchor", F.lit(0))).over(Window.partitionBy("pair").orderBy("step"))
         return marked.withColumn("piece", before).where("anchor is null").drop("anchor")
 
-    px = stored(pieces(x, anchors.select("pair", "step")), "left-pieces")
-    py = stored(pieces(y, anchors.select("pair", F.col("other").alias("step"))), "right-pieces")
+    px = _kept(pieces(x, anchors.select("pair", "step")), "left-pieces")
+    py = _kept(pieces(y, anchors.select("pair", F.col("other").alias("step"))), "right-pieces")
     held = links.join(px.select("pair", "piece", "t").distinct(), ["pair", "t"]).join(py.select("pair", "piece", F.col("t").alias("u")).distinct(), ["pair", "piece", "u"])
-    linked = held.select("pair", "piece").distinct()
+    linked = held.select("pair", "piece").distinct().hint("merge")
     alone = px.join(linked, ["pair", "piece"], "left_anti").select("pair", F.col("step").alias("left_step"), no_step.alias("right_step"), F.lit("missing").alias("kind"), no_score)
     alone = alone.unionByName(py.join(linked, ["pair", "piece"], "left_anti").select("pair", no_step.alias("left_step"), F.col("step").alias("right_step"), F.lit("extra").alias("kind"), no_score))
 

@@ -72,12 +72,13 @@ def similar_texts(left: DataFrame, right: DataFrame, keys: list[str], least: flo
         tiny = df.where(F.col("n") <= short * (2 - least) / least + _SLACK).select(*keys, name, F.explode(F.transform("chars", lambda c: F.concat(F.lit("="), c))).alias("g"))
         return some.unionByName(tiny)
 
-    met = elements(x, "a").join(elements(y, "b"), [*keys, "g"]).select(*keys, "a", "b")
-    equal = x.select(*keys, "a").join(y.select(*keys, F.col("b").alias("a"), "b"), [*keys, "a"]).select(*keys, "a", "b")
+    # Texts and their runs repeat, so that files of them are small where the rows are not: none go through the driver.
+    met = elements(x, "a").join(elements(y, "b").hint("merge"), [*keys, "g"]).select(*keys, "a", "b")
+    equal = x.select(*keys, "a").join(y.select(*keys, F.col("b").alias("a"), "b").hint("merge"), [*keys, "a"]).select(*keys, "a", "b")
     met = met.unionByName(equal).distinct()
     told = [F.col(c) for c in ("n", "chars", "runs")]
-    both = met.join(x.select(*keys, "a", *(c.alias(f"a_{k}") for c, k in zip(told, ("n", "chars", "runs"), strict=True))), [*keys, "a"])
-    both = both.join(y.select(*keys, "b", *(c.alias(f"b_{k}") for c, k in zip(told, ("n", "chars", "runs"), strict=True))), [*keys, "b"])
+    both = met.join(x.select(*keys, "a", *(c.alias(f"a_{k}") for c, k in zip(told, ("n", "chars", "runs"), strict=True))).hint("merge"), [*keys, "a"])
+    both = both.join(y.select(*keys, "b", *(c.alias(f"b_{k}") for c, k in zip(told, ("n", "chars", "runs"), strict=True))).hint("merge"), [*keys, "b"])
     total = F.col("a_n") + F.col("b_n")
     matched = F.ceil(total * least / 2 - _SLACK)
     likely = (matched <= F.least("a_n", "b_n")) & (F.size(F.array_intersect("a_chars", "b_chars")) >= matched)

@@ -171,3 +171,9 @@ def test_best_path_in_one_large_piece():
         row = np.maximum.accumulate(np.maximum(row, np.concatenate([[0], row[:-1] + gain])))
     assert sum(s for _, _, s in path) == pytest.approx(row[-1])
     assert [i for i, _, _ in path if i is not None] == list(range(2999, -1, -1)) and [j for _, j, _ in path if j is not None] == list(range(2499, -1, -1))
+
+
+def test_alignments_broadcast_no_steps(spark):
+    steps = spark.range(40).select((F.col("id") % 4).alias("pair"), F.col("id").alias("ordinal"), F.lit("click").alias("action"), F.concat(F.lit("target"), F.col("id") % 5).alias("target"), F.lit("v").alias("value"))
+    plan = alignment.align(steps, steps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
