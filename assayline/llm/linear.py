@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayline.llm import wordhash
-from assayline.llm.shared import short_batches
+from assayline.llm.shared import give_back, short_batches
 
 
 @dataclass(frozen=True)
@@ -134,6 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, cfg: LinearConfig) -> Li
         for b in batches:
             found = [x.astype("<u4").tobytes() for x in feature_sets(b.column("text"), cfg)]
             yield pa.record_batch([b.column("doc_id"), b.column("y"), pa.array(found, pa.binary())], ["doc_id", "y", "x"])
+        give_back()
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "y"], kind="stable")
@@ -178,5 +179,6 @@ def score(text: Column, model: LinearModel, docs: DataFrame) -> Column:
         dense[m.index] = m.weight
         for texts in batches:
             yield pa.array(scores(texts, m, dense), pa.float64())
+        give_back()
 
     return of(text)

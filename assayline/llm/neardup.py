@@ -25,12 +25,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayline.llm import wordhash
 from assayline.llm.graph import components
-from assayline.llm.shared import short_batches, stored
+from assayline.llm.shared import give_back, short_batches, stored
 from assayline.sources.tables import ship, table
 
 FUNCTIONS = 128
@@ -116,6 +117,7 @@ def signatures(docs: DataFrame, cfg: PathConfig) -> DataFrame:
                 odd = np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
                 parity.append(np.packbits(odd.astype(np.uint8)).tobytes() if len(s) else None)
             yield pa.record_batch([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in (n, f1, f2)), *(pa.array(c, pa.binary()) for c in (sig, parity))], ["doc_id", "n", "f1", "f2", "sig", "parity"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, sig binary, parity binary")
 
@@ -138,6 +140,7 @@ def _walk(rows: DataFrame, cfg: PathConfig, start: bool) -> DataFrame:
             else:
                 who, node = children(signature, who, b.column("node").to_numpy().view(np.uint64), branch)
             yield pa.record_batch([pa.array(node.view(np.int64)), b.column("rep").take(pa.array(who))], ["node", "rep"])
+        give_back()
 
     return rows.mapInArrow(go, "node long, rep long")
 
@@ -165,7 +168,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, cfg: PathConfig) -> DataFrame:
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size = np.array([len(x or "") + len(y or "") for x, y in zip(b.column("text_u").to_pylist(), b.column("text_v").to_pylist(), strict=True)])
+            size = sum(pc.binary_length(b.column(c)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("text_u", "text_v"))
             group = np.cumsum(size) // (4 << 20)  # a few long texts at a time
             good = []
             for g in np.unique(group):
@@ -174,6 +177,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, cfg: PathConfig) -> DataFrame:
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     good.append(both > 0 and 100 * both >= cfg.percent * (len(x) + len(y) - both))
             yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+        give_back()
 
     ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "candidate-ids")
     if ids.count() <= cfg.broadcast_ids:  # the texts then stay where they are

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from assayline.llm import simple8b
 from assayline.llm.binary import write_whole
-from assayline.llm.shared import short_batches, stored, work_path
+from assayline.llm.shared import give_back, short_batches, stored, work_path
 from assayline.sources.tables import ship, table
 
 
@@ -219,7 +219,7 @@ def write_shards(docs: DataFrame, folder: str, cfg: TokenConfig = TokenConfig())
         segment()
         if held:
             yield file()
-        pa.default_memory_pool().release_unused()  # the worker lives on
+        give_back()
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     schema = "part int, file string, n_docs long, n_ids long, n_bytes long"
@@ -275,6 +275,7 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
                         ["shard", "doc_id", "local", "n_tokens", "ids_crc32"],
                     )
                     first += len(ids)
+        give_back()
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.s8b").load(folder).select("path", "content")
     rows = stored(files.mapInArrow(read, "shard long, doc_id long, local long, n_tokens long, ids_crc32 long"), "token-index")

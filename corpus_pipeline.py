@@ -36,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards of what is left; one row a document, read back from them."""
     # Workers that ran the stages before still hold memory, so that fewer chunks are remembered and less goes through at once.
-    return tokens.token_output(spark, docs.select("doc_id", "text"), tokens.TokenConfig(known_chunks=300_000, portion_bytes=4 << 20))
+    return tokens.token_output(spark, docs.select("doc_id", "text"), tokens.TokenConfig(known_chunks=100_000, portion_bytes=2 << 20))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

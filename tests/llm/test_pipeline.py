@@ -2,6 +2,8 @@
 
 import os
 import re
+import subprocess
+import sys
 
 import pytest
 
@@ -72,3 +74,20 @@ def test_stages_on_odd_rows(spark):
                 ids = [r["doc_id"] for r in out.collect() if r["doc_id"] is not None]
                 assert len(ids) == len(set(ids)) and out.where("doc_id is null").count() == held.where("doc_id is null").count()
             held = out
+
+
+def test_workers_give_memory_back():
+    """Blocks freed below one that lives on go back to the system when a task ends."""
+    code = """
+import os, numpy as np
+from assayline.llm.shared import give_back
+now = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+held = [np.ones(8000) for _ in range(3000)]  # 64 kB each
+last = np.ones(8000)
+full = now()
+del held
+give_back()
+print(full - now())
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+    assert int(got.stdout) > 100
