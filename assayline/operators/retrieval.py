@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayline.operators.ordered import Ordered
@@ -13,26 +13,43 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
 
 
-def bm25_postings(docs: DataFrame, asked: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """docs (doc_id, text) × asked (w) → (w, doc_id, part): what each asked word adds to a document's score.
+def task_count(spark: SparkSession, pairs: int, most: int = 500_000) -> int:
+    """Tasks among which so many scored pairs are dealt: at most about so many each, no fewer than there are cores."""
+    return max(spark.sparkContext.defaultParallelism, -(-pairs // most))
 
-    Texts are cut once: an empty word for each document carries the lengths to the mean over all of them.
+
+def word_counts(docs: DataFrame, known: DataFrame, parts: int) -> DataFrame:
+    """docs (doc_id, text) × known (w, ...) → (doc_id, dl, w, tf, ...): how often each known word stands in each document.
+
+    Texts are dealt by doc_id, by which all that follows is grouped, so that neither words nor scores are exchanged. An
+    empty word for each document, where it is known, carries the lengths.
+    """
+    dealt = docs.select("doc_id", "text").repartition(parts, "doc_id")
+    words = dealt.select("doc_id", tokens(F.col("text")).alias("ws")).select("doc_id", F.size("ws").alias("dl"), F.explode(F.concat("ws", F.array(F.lit("")))).alias("w"))
+    return words.join(known, "w").groupBy("doc_id", "dl", *known.columns).agg(F.count(F.lit(1)).alias("tf"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 15, k1: float = 1.2, b: float = 0.75, broadcast_words: int = 1_000_000) -> DataFrame:
+    """docs (doc_id, text) × queries (query_id, text) → (query_id, doc_id, rank, score): the k best that share a word, ties by doc_id.
+
+    Each task scores its documents whole and passes on its k best of each query. Texts are read twice: for the counts of
+    words over all documents, of which only those are kept, and for the scores. Up to broadcast_words asked words go to
+    all tasks; beyond, Spark joins by shuffling.
     """
-    words = docs.select("doc_id", tokens(F.col("text")).alias("ws")).select("doc_id", F.size("ws").alias("dl"), F.explode(F.concat("ws", F.array(F.lit("")))).alias("w"))
-    known = asked.select("w").distinct().union(asked.sparkSession.createDataFrame([("",)], "w string"))
-    tf = stored(words.join(known, "w", "left_semi").groupBy("doc_id", "dl", "w").agg(F.count(F.lit(1)).alias("tf")), "word-counts")
-    n, mean = tf.where("w = ''").agg(F.sum("tf"), F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).first()
-    tf = tf.where("w <> ''")
-    df = tf.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + ((n or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (mean or 1)))
-    return tf.join(df, "w").select("w", "doc_id", part.alias("part"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 15, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """docs (doc_id, text) × queries (query_id, text) → (query_id, doc_id, rank, score): the k best that share a word, ties by doc_id."""
+    spark = docs.sparkSession
     asked = stored(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w")), "asked-words")
-    scores = bm25_postings(docs, asked, k1, b).join(asked, "w").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    small = F.broadcast if asked.count() <= broadcast_words else lambda df: df
+    parts = task_count(spark, docs.count() * queries.count())
+    known = asked.select("w").union(spark.createDataFrame([("",)], "w string")).distinct()
+    counts = word_counts(docs, small(known), parts).groupBy("w").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"), F.sum(F.col("dl") * F.col("tf")).alias("words"))
+    counts = stored(counts, "word-counts")
+    every = counts.where("w = ''").select("n", F.col("words") / F.col("n")).first()
+    n, mean = every or (0, 1)
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = stored(counts.where("w <> ''").select("w", idf.alias("idf")), "word-weights")
+    tf = word_counts(docs, small(weighed), parts)
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (mean or 1)))
+    scores = tf.select("doc_id", "w", part.alias("part")).join(small(asked), "w").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
     return top_n(scores, "query_id", [F.desc("score"), F.col("doc_id")], k)
 
 
