@@ -206,11 +206,13 @@ def failure_reason_class(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items ask by vector and by words: cosine with their own vector, and BM25 as a share of the item's best.
 
-    Each way gives its 50 best, which are then weighed together; the items, whose number is fixed, are broadcast.
+    Each way gives its 50 best, which are then weighed together; the items, whose number is fixed, are broadcast, and the
+    vectors dealt into tasks by the number of pairs, as each task sorts those that it scores.
     """
     items, vectors = table(spark, d, "benchmark"), table(spark, d, "embeddings")
     asked = items.join(vectors, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("own"))
-    cosines = vectors.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("doc_id"), F.round(retrieval.cosine(F.col("own"), F.col("embedding")), 4).alias("score"))
+    parts = retrieval.task_count(spark, vectors.count() * asked.count())
+    cosines = vectors.select("vec_id", "embedding").repartition(parts).join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("doc_id"), F.round(retrieval.cosine(F.col("own"), F.col("embedding")), 4).alias("score"))
     dense = retrieval.top_n(cosines, "query_id", [F.desc("score"), F.col("doc_id")], 50).drop("rank")
     found = retrieval.bm25(table(spark, d, "documents").select("doc_id", "text"), items.select(F.col("item_id").alias("query_id"), "text"), 50)
     best = found.groupBy("query_id").agg(F.max("score").alias("best"))
