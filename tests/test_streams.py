@@ -140,3 +140,25 @@ def test_drift_does_not_depend_on_batches(spark, tmp_path, how):
             assert early.count() == 0
     got = [(r.crawl, r.position) for r in logs.run(logs.drift(read(), 4, "3 hours"), "drift", folder=folder).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_drift_states_are_as_many_as_parts(spark, tmp_path):
+    """Crawls that share a part's state keep their own streaks and times: over batches, and after some have expired."""
+    from assayline.streaming import logs
+
+    start = dt.datetime(2024, 3, 1)
+    schema = "ts timestamp, crawl long, position long, host string, own_host string"
+    host = lambda c, i: "x" if c % 3 == 0 and i in (1, 2) else "home" if i % 2 else f"y{i}"
+    batches = [[(start + dt.timedelta(minutes=10 * i, seconds=c), c, 10 * c + i, host(c, i), "home") for c in range(90) for i in few] for few in ((0, 2), (1, 3))]
+    batches += [[(start + dt.timedelta(days=d), 500 + d, 0, "home", "home")] for d in (1, 3, 5)]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/log/f{n}")
+        for f in os.listdir(tmp_path / "log" / f"f{n}"):
+            os.utime(tmp_path / "log" / f"f{n}" / f, (1_700_000_000 + 60 * n,) * 2)
+    pages, got = logs.source(spark, f"{tmp_path}/log/*", spark.createDataFrame([], schema).schema, 1), []
+    q = logs.drift(pages, 2, "2 hours", 4).writeStream.option("checkpointLocation", str(tmp_path / "mark"))
+    q = q.foreachBatch(lambda batch, n: got.extend(map(tuple, batch.collect()))).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(got) == [(c, 10 * c + 2) for c in range(0, 90, 3)]
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress]
+    assert max(states) == 4 and states[-1] < 3, states
