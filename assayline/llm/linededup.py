@@ -32,6 +32,8 @@ from assayline.sources.tables import ship, table
 
 #: Buckets of the rarity counts: a bounded table, whatever the corpus.
 BUCKETS = 1 << 17
+#: Sets of up to so many words have 64 parities, larger ones 128: those of a short set tell it from others well enough.
+SHORT = 96
 #: Columns that name a set of words.
 SET = ("k1", "m1", "n")
 #: A line's place: its document, and its number with the rank of its row among rows of that doc_id in the high bits.
@@ -58,10 +60,11 @@ def _shift(a: Column | int, b: Column | int) -> Column:
 
 
 def _split(line: Column) -> Column:
-    """Lower-case words, with empty ones between several spaces. Splitting by one character takes no pattern."""
+    """Lower-case words, with empty ones between several blanks. Splitting by one character takes no pattern."""
     low = F.lower(line)
-    other = line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\f")
-    return F.when(other, F.split(low, r"[ \t\x0B\f\r]")).otherwise(F.split(low, " "))
+    for blank in "\t\x0b\f\r":
+        low = F.replace(low, F.lit(blank), F.lit(" "))
+    return F.split(low, " ")
 
 
 def _hashes(line: Column) -> Column:
@@ -87,10 +90,10 @@ def _lines(rows: DataFrame) -> DataFrame:
     return real.select(F.col("doc_id").cast("long").alias("d"), "line_base", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def rarity(rows: DataFrame) -> list[int]:
-    """The level of each bucket of word hashes, by the number of its words: BUCKETS numbers under 128, rarest least."""
-    words = _lines(rows).select(F.explode(_split(F.col("line"))).alias("w")).where("w <> ''")
-    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+def rarity(sets: DataFrame) -> list[int]:
+    """The level of each bucket of word hashes, by the number of lines with its words: BUCKETS numbers under 128, rarest least.
+    sets: a column w of the word hashes of each line."""
+    counts = sets.select(F.explode("w").alias("w")).groupBy(_bucket(F.col("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     levels = [0] * BUCKETS
     for r in counts.select("b", F.least(F.floor(F.log2("n") * 4), F.lit(127)).cast("int").alias("level")).collect():  # at most BUCKETS rows
         levels[r["b"]] = r["level"]
@@ -99,8 +102,8 @@ def rarity(rows: DataFrame) -> list[int]:
 
 def _from_rarest(words: Column, levels: list[int]) -> Column:
     """Word hashes ordered by rarity, then hash; a word is its level and 56 bits of its hash."""
-    table_ = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")  # folded into one constant
-    level = lambda h: F.coalesce(F.get(table_, _bucket(h)), F.lit(0)).cast("long")
+    table_ = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<long>")  # folded into one constant
+    level = lambda h: F.coalesce(F.get(table_, _bucket(h)), F.lit(0).cast("long"))
     return F.sort_array(F.transform(words, lambda h: _shift(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
@@ -116,9 +119,9 @@ def _needed(a: Column, b: Column, percent: int) -> Column:
 
 
 def _distance(a: str, b: str) -> Column:
-    """A lower bound of the number of words that two sets differ by: unequal bits of 128 parities."""
+    """A lower bound of the number of words that two sets differ by: unequal bits of 128 parities, or of 64 if one set is short."""
     whole, half = F.col(f"{a}.p").bitwiseXOR(F.col(f"{b}.p")), F.col(f"{a}.q").bitwiseXOR(F.col(f"{b}.q"))
-    return F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))
+    return F.coalesce(F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half)), F.bit_count(whole))
 
 
 def _compatible(a: str, b: str, percent: int) -> Column:
@@ -155,12 +158,14 @@ def removals(docs: DataFrame, cfg: LineConfig = LineConfig()) -> tuple[DataFrame
     """(docs with line_base, (d, gone_base, removed_lines) of its rows that lose lines)."""
     ship(docs.sparkSession)
     rows = _rows(docs)
-    levels = rarity(rows)
-    lines = _lines(rows).select("d", (F.col("line_base") + F.col("line_no")).alias("l"), _hashes(F.col("line")).alias("w"))
-    lines = lines.select("d", "l", F.size("w").alias("n"), F.array_min("w").alias("m1"), F.array_max("w").alias("m2"), _from_rarest(F.col("w"), levels).alias("o"), _parity(F.col("w")).alias("p"), _parity(F.col("w"), lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(1)).alias("q"))
+    # Words are split and hashed once, for their counts and for their sets.
+    hashed = stored(_lines(rows).select("d", (F.col("line_base") + F.col("line_no")).alias("l"), _hashes(F.col("line")).alias("w")), "line-hashes")
+    levels = rarity(hashed)
+    lines = hashed.select("d", "l", F.size("w").alias("n"), F.array_min("w").alias("m1"), F.array_max("w").alias("m2"), _from_rarest(F.col("w"), levels).alias("o"), _parity(F.col("w")).alias("p"), F.when(F.size("w") > SHORT, _parity(F.col("w"), lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(1))).alias("q"))
     size = F.col("n") - F.ceil(F.col("n") * cfg.percent / F.lit(100) - 1e-9).cast("int") + 1
     prefix = F.transform(F.slice("o", F.lit(1), size), lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int"))
-    lines = stored(lines.select("d", "l", "n", "m1", "m2", F.xxhash64("o").alias("k1"), "p", "q", prefix.alias("prefix")), "lines").where("n > 0")  # a filter before that would split the lines twice
+    lines = stored(lines.select("d", "l", "n", "m1", "m2", F.xxhash64("o").alias("k1"), "p", "q", prefix.alias("prefix")).where("n > 0"), "lines")
+    discard(hashed)
 
     # Classes: the first line of each set.
     first = lines.groupBy(*SET).agg(F.min(F.struct("d", "l")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select(*SET, F.col("f.d").alias("fd"), F.col("f.l").alias("fl"))

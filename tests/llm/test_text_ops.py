@@ -57,6 +57,24 @@ def test_lines_of_rows_with_one_id(spark):
     assert sorted((r["text"] for r in linededup.drop_lines(wide).where("doc_id = 1").collect())) == ["", "a b c", "new line"]
 
 
+def test_long_lines_and_one_split(spark, monkeypatch):
+    """Variants of lines on both sides of the size from which sets have 128 parities; all words are split once, those of found pairs again."""
+    rng, calls, split = random.Random(4), [], linededup._split
+    monkeypatch.setattr(linededup, "_split", lambda *a: calls.append(a) or split(*a))
+    rows = []
+    for i in range(12):
+        base = [f"v{rng.randrange(4000)}" for _ in range(rng.choice([80, 96, 97, 115, 300]))]
+        for k in range(5):
+            n = len(base) * rng.randrange(14) // 100
+            said = [f"x{i}{k}{j}" if j < n else w for j, w in enumerate(base)] if k % 2 else base[: len(base) - 2 * n]
+            rng.shuffle(said)
+            rows.append((10 * i + k, rng.choice(" \t\x0b\f\r").join(said)))
+    want = removed_by_brute_force(rows)
+    got = linededup.mark_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()
+    assert {r["doc_id"]: r["removed_lines"] for r in got} == want and 15 < len(want) < 48
+    assert len(calls) == 3
+
+
 ITEM = "A train leaves Paris at 60 km per hour and meets Paul after 3 hours near Paris said the driver."
 
 
