@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ from assayline.sources.tables import ship, table
 
 #: Buckets of the rarity counts: a bounded table, whatever the corpus.
 BUCKETS = 1 << 17
+#: Buckets whose counts are columns of one row: so few rows stay in the fast map of an aggregate, which has room for 65,536.
+_BESIDE = 8
 #: Sets of up to so many words have 64 parities, larger ones 128: those of a short set tell it from others well enough.
 SHORT = 96
 #: Columns that name a set of words.
@@ -39,6 +42,8 @@ SET = ("k1", "m1", "n")
 #: A line's place: its document, and its number with the rank of its row among rows of that doc_id in the high bits.
 AT = ("d", "l")
 _ROW_BITS = 32
+#: Hashes are written as they are: a dictionary of them costs more time than it saves room.
+PLAIN = {"parquet.enable.dictionary": "false"}
 
 
 @dataclass(frozen=True)
@@ -93,10 +98,12 @@ def _lines(rows: DataFrame) -> DataFrame:
 def rarity(sets: DataFrame) -> list[int]:
     """The level of each bucket of word hashes, by the number of lines with its words: BUCKETS numbers under 128, rarest least.
     sets: a column w of the word hashes of each line."""
-    counts = sets.select(F.explode("w").alias("w")).groupBy(_bucket(F.col("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    b = sets.select(F.explode("w").alias("w")).select(_bucket(F.col("w")).alias("b")).select(F.shiftright("b", 3).alias("row"), F.col("b").bitwiseAND(_BESIDE - 1).alias("i"))
+    counts = b.groupBy("row").agg(*(F.count_if(F.col("i") == i).alias(f"n{i}") for i in range(_BESIDE)))
+    level = lambda n: F.when(F.col(n) > 0, F.least(F.floor(F.log2(n) * 4), F.lit(127))).otherwise(0).cast("int").alias(n)
     levels = [0] * BUCKETS
-    for r in counts.select("b", F.least(F.floor(F.log2("n") * 4), F.lit(127)).cast("int").alias("level")).collect():  # at most BUCKETS rows
-        levels[r["b"]] = r["level"]
+    for row, *some in counts.select("row", *(level(f"n{i}") for i in range(_BESIDE))).collect():  # at most BUCKETS / _BESIDE rows
+        levels[row * _BESIDE : (row + 1) * _BESIDE] = some
     return levels
 
 
@@ -154,18 +161,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, cfg: LineConfig) -> DataFrame:
     return stored(both.where(F.col("o") * 100 >= (F.size("wa") + F.size("wb") - F.col("o")) * cfg.percent).select("d", "l").distinct(), "lines-matched")
 
 
+def _candidates(classes: DataFrame, cfg: LineConfig) -> DataFrame:
+    """(d, l, ed, el, apart): classes (d, l, n, p, q, prefix, asks) that ask, and earlier ones that may be similar."""
+    posted = lambda prefix: classes.select(*AT, "n", "p", "q", "asks", F.posexplode(prefix).alias("pos", "w"))
+    short = (F.col("n") - _needed(F.col("n"), F.col("n"), cfg.percent) + 1).cast("int")
+    a, b = posted(F.col("prefix")).alias("a"), posted(F.slice("prefix", F.lit(1), short)).alias("b")
+    na, nb, later = F.col("a.n"), F.col("b.n"), _later("a", "b")
+    once = (na > nb) | later  # sets of one size probe each other
+    sizes = (na >= nb) & (nb * 100 >= na * cfg.percent)  # most pairs end here, so it is asked first
+    asking = F.when(later, F.col("a.asks")).otherwise(F.col("b.asks")) == 1
+    room = F.least(na - F.col("a.pos"), nb - F.col("b.pos")) >= _needed(na, nb, cfg.percent)
+    both = a.join(b, F.col("a.w") == F.col("b.w")).where(sizes & once & asking & room & _compatible("a", "b", cfg.percent))
+    ends = [F.when(later, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")).alias(name) for x, y, names in (("a", "b", AT), ("b", "a", ("ed", "el"))) for c, name in zip(AT, names, strict=True)]
+    return both.select(*ends, _distance("a", "b").alias("apart")).groupBy(*AT, "ed", "el").agg(F.min("apart").alias("apart"))
+
+
 def removals(docs: DataFrame, cfg: LineConfig = LineConfig()) -> tuple[DataFrame, DataFrame]:
     """(docs with line_base, (d, gone_base, removed_lines) of its rows that lose lines)."""
     ship(docs.sparkSession)
     rows = _rows(docs)
-    # Words are split and hashed once, for their counts and for their sets.
-    hashed = stored(_lines(rows).select("d", (F.col("line_base") + F.col("line_no")).alias("l"), _hashes(F.col("line")).alias("w")), "line-hashes")
+    # Words are split and hashed once, for their counts and for their sets. The executors keep them, as arrays, which Parquet takes apart.
+    hashed = _lines(rows).select("d", (F.col("line_base") + F.col("line_no")).alias("l"), _hashes(F.col("line")).alias("w")).persist(StorageLevel.DISK_ONLY)
     levels = rarity(hashed)
     lines = hashed.select("d", "l", F.size("w").alias("n"), F.array_min("w").alias("m1"), F.array_max("w").alias("m2"), _from_rarest(F.col("w"), levels).alias("o"), _parity(F.col("w")).alias("p"), F.when(F.size("w") > SHORT, _parity(F.col("w"), lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(1))).alias("q"))
     size = F.col("n") - F.ceil(F.col("n") * cfg.percent / F.lit(100) - 1e-9).cast("int") + 1
     prefix = F.transform(F.slice("o", F.lit(1), size), lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int"))
-    lines = stored(lines.select("d", "l", "n", "m1", "m2", F.xxhash64("o").alias("k1"), "p", "q", prefix.alias("prefix")).where("n > 0"), "lines")
-    discard(hashed)
+    lines = stored(lines.select("d", "l", "n", "m1", "m2", F.xxhash64("o").alias("k1"), "p", "q", prefix.alias("prefix")).where("n > 0"), "lines", **PLAIN)
+    hashed.unpersist()
 
     # Classes: the first line of each set.
     first = lines.groupBy(*SET).agg(F.min(F.struct("d", "l")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select(*SET, F.col("f.d").alias("fd"), F.col("f.l").alias("fl"))
@@ -187,16 +209,10 @@ def removals(docs: DataFrame, cfg: LineConfig = LineConfig()) -> tuple[DataFrame
     matched = _verified(tried, sets, cfg)
     discard(heads, tried, sets)
 
-    # Prefix join; a: a class without a match, b: an earlier class. One exchange serves both sides.
+    # Prefix join. Sets of which the other is no smaller share a word in a shorter prefix, so only that of each is indexed; all prefixes probe.
     asks = F.when(F.col("matched").isNull(), 1).otherwise(0)
     known = classes.select(*AT, "n", "p", "q", "prefix").join(_small(matched.withColumn("matched", F.lit(True)), cfg), list(AT), "left")
-    posted = known.select(*AT, "n", "p", "q", asks.alias("asks"), F.posexplode("prefix").alias("pos", "w"))
-    a, b = posted.alias("a"), posted.alias("b")
-    na, nb = F.col("a.n"), F.col("b.n")
-    room = F.least(na - F.col("a.pos"), nb - F.col("b.pos")) >= _needed(na, nb, cfg.percent)
-    asking = F.col("a.asks") * 2 > F.col("b.asks")  # that a asks, said of both sides, so that it stays in the join
-    found = a.join(b, F.col("a.w") == F.col("b.w")).where(asking & _later("a", "b") & room & _compatible("a", "b", cfg.percent))
-    found = found.groupBy("a.d", "a.l", F.col("b.d").alias("ed"), F.col("b.l").alias("el")).agg(F.min(_distance("a", "b")).alias("apart"))
+    found = _candidates(known.select(*AT, "n", "p", "q", "prefix", asks.alias("asks")), cfg)
     found = stored(found, "line-candidates")
     nearest = found.groupBy(*AT).agg(F.min(F.struct("apart", "ed", "el")).alias("e")).select(*AT, F.col("e.ed").alias("ed"), F.col("e.el").alias("el"))
     nearest = stored(nearest, "line-nearest")
@@ -222,7 +238,8 @@ def mark_lines(docs: DataFrame, cfg: LineConfig = LineConfig()) -> DataFrame:
     repeat a doc_id count as documents of their own, in the order of their texts.
     """
     rows, gone = removals(docs.select("doc_id", "text"), cfg)
-    counted = rows.select("doc_id", "line_base", F.greatest(F.coalesce(F.size(F.split("text", "\n")), F.lit(0)), F.lit(0)).alias("n_lines"))
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    counted = rows.select("doc_id", "line_base", F.coalesce(n_lines, F.lit(0)).alias("n_lines"))
     out = counted.join(_small(gone, cfg), (F.col("doc_id") == F.col("d")) & (F.col("line_base") == F.col("gone_base")), "left")
     removed = F.coalesce("removed_lines", F.array().cast("array<int>"))
     return out.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed_lines"))
