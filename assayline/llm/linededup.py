@@ -98,7 +98,7 @@ def _lines(rows: DataFrame) -> DataFrame:
 def rarity(sets: DataFrame) -> list[int]:
     """The level of each bucket of word hashes, by the number of lines with its words: BUCKETS numbers under 128, rarest least.
     sets: a column w of the word hashes of each line."""
-    b = sets.select(F.explode("w").alias("w")).select(_bucket(F.col("w")).alias("b")).select(F.shiftright("b", 3).alias("row"), F.col("b").bitwiseAND(_BESIDE - 1).alias("i"))
+    b = sets.select(F.explode("w").alias("w")).select(_bucket(F.col("w")).alias("b")).select(F.shiftright("b", _BESIDE.bit_length() - 1).alias("row"), F.col("b").bitwiseAND(_BESIDE - 1).alias("i"))
     counts = b.groupBy("row").agg(*(F.count_if(F.col("i") == i).alias(f"n{i}") for i in range(_BESIDE)))
     level = lambda n: F.when(F.col(n) > 0, F.least(F.floor(F.log2(n) * 4), F.lit(127))).otherwise(0).cast("int").alias(n)
     levels = [0] * BUCKETS

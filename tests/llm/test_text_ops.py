@@ -75,6 +75,45 @@ def test_long_lines_and_one_split(spark, monkeypatch):
     assert len(calls) == 3
 
 
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_candidates_from_short_prefixes(spark, monkeypatch, percent):
+    """One side of the join has the prefixes that sets of no smaller others need; every similar pair of which the later asks is found."""
+    rng, posted, explode = random.Random(percent), [], F.posexplode
+    sets = [set(rng.sample(range(60), rng.randint(1, 40))) for _ in range(60)]
+    sets += [set(list(s)[: len(s) - rng.randint(0, 3)]) | set(rng.sample(range(60, 90), rng.randint(0, 2))) for s in sets]
+    sets = [s for s in sets if s]
+    rows = []
+    for i, s in enumerate(sets):
+        parity = sum(1 << w % 64 for w in s if w % 64 < 63 and (w + 64 not in s) and (w < 64 or w - 64 not in s))
+        if 63 in s:
+            parity -= 1 << 63
+        rows.append((i // 4, i % 4, len(s), parity, None, sorted(s)[: len(s) - -(-len(s) * percent // 100) + 1], i % 5 and 1))
+    classes = spark.createDataFrame(rows, "d long, l long, n int, p long, q long, prefix array<int>, asks int")
+    monkeypatch.setattr(linededup.F, "posexplode", lambda c: posted.append(c) or explode(c))
+    got = {(r["d"] * 4 + r["l"], r["ed"] * 4 + r["el"]) for r in linededup._candidates(classes, linededup.LineConfig(percent)).collect()}
+    like = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+    want = {(i, j) for i in range(len(sets)) if i % 5 for j in range(i) if like(sets[i], sets[j])}
+    assert len(want) > 5 and want <= got and all(i > j and i % 5 for i, j in got)
+    probing, indexed = classes.select(*(F.sum(F.size(c)) for c in posted)).first()
+    assert indexed < 0.8 * probing
+
+
+def test_rarity_and_kept_hashes(spark, monkeypatch):
+    """Eight counts a row, so that an eighth of the rows is grouped and collected; hashes are not written out, and not kept for longer."""
+    words = [h for h in range(256) for _ in range(h % 7)] + [(5 << 40) + 3]
+    collected, collect, names, stored = [], type(spark.range(1)).collect, [], linededup.stored
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda df: collected.extend(out := collect(df)) or out)
+    levels = linededup.rarity(spark.createDataFrame([(words[:100],), (words[100:],), ([],)], "w array<long>"))
+    monkeypatch.undo()
+    counts = [sum(w % linededup.BUCKETS == b for w in words) for b in range(256)]
+    assert levels == [min(int(np.log2(n) * 4), 127) if n else 0 for n in counts] + [0] * (linededup.BUCKETS - 256)
+    assert len(collected) == 32
+    monkeypatch.setattr(linededup, "stored", lambda df, name, **kw: names.append(name) or stored(df, name, **kw))
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert linededup.mark_lines(spark.createDataFrame([(1, "a b c\nc b a")], "doc_id long, text string")).first()["removed_lines"] == [1]
+    assert "lines" in names and "line-hashes" not in names and spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
 ITEM = "A train leaves Paris at 60 km per hour and meets Paul after 3 hours near Paris said the driver."
 
 
